@@ -1,5 +1,7 @@
 """Price baselines, overpaid items, price increases and the best store per product.
 
+``places`` overrides the usual rounding of the shown numbers.
+
 Observations have ``product_id, store_name, observed_at, unit_price, unit_type, line_item_id``; ``keys``
 are optional leading columns (a tenant) that join every grouping.
 """
@@ -8,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tillwise.config import Config
 from tillwise.functions.dates import days_before, instant, iso_week
@@ -38,7 +40,8 @@ def price_baselines(obs: DataFrame, window_n: int = 5, keys: Sequence[str] = ())
 
 
 def overpaid_items(
-    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int = 10
+    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int = 10,
+    places: int | None = None,
 ) -> DataFrame:
     """This week's purchases well above the product's own baseline."""
     group = [*keys, "product_id"]
@@ -54,14 +57,15 @@ def overpaid_items(
     order = [F.col("overpaid_pct").desc(), F.col("observed_at"), F.col("line_item_id")]
     best = with_product_names(top_rows(over, order, limit, keys), products, keys)
     return best.select(
-        *keys, "product", F.col("store_name").alias("store"), F.round("unit_price", 2).alias("unit_price"),
-        F.round("baseline", 2).alias("baseline"), F.round("overpaid_pct", 3).alias("overpaid_pct"),
+        *keys, "product", F.col("store_name").alias("store"), F.round("unit_price", places or 2).alias("unit_price"),
+        F.round("baseline", places or 2).alias("baseline"), F.round("overpaid_pct", places or 3).alias("overpaid_pct"),
         "observed_at", "line_item_id",
     )
 
 
 def top_price_increases(
-    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int = 10
+    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int = 10,
+    places: int | None = None,
 ) -> DataFrame:
     """Products whose recent median price is above their earlier one."""
     group = [*keys, "product_id"]
@@ -93,14 +97,15 @@ def top_price_increases(
     )
     best = top_rows(rising, [F.col("increase_pct").desc(), F.col("product_id")], limit, keys)
     return with_product_names(best, products, keys).select(
-        *keys, "product", F.round("increase_pct", 3).alias("increase_pct"),
-        F.round("recent_median", 2).alias("recent_median"), F.round("prior_median", 2).alias("prior_median"),
+        *keys, "product", F.round("increase_pct", places or 3).alias("increase_pct"),
+        F.round("recent_median", places or 2).alias("recent_median"), F.round("prior_median", places or 2).alias("prior_median"),
         F.coalesce("_first.unit_type", F.lit("unknown")).alias("unit_type"), "observations",
     )
 
 
 def best_store_by_item(
-    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int = 10
+    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int = 10,
+    places: int | None = None,
 ) -> DataFrame:
     """The store with the lowest median price of each product, when it saves at least five percent."""
     group = [*keys, "product_id"]
@@ -133,7 +138,7 @@ def best_store_by_item(
     )
     best = top_rows(found, [F.col("savings_pct").desc(), F.col("product_id")], limit, keys)
     return with_product_names(best, products, keys).select(
-        *keys, "product", F.col("_best._store").alias("best_store"), F.round("_best._median", 2).alias("best_median"),
-        F.round("overall_median", 2).alias("overall_median"), F.round("savings_pct", 3).alias("savings_pct"),
+        *keys, "product", F.col("_best._store").alias("best_store"), F.round("_best._median", places or 2).alias("best_median"),
+        F.round("overall_median", places or 2).alias("overall_median"), F.round("savings_pct", places or 3).alias("savings_pct"),
         F.coalesce("_unit.unit_type", F.lit("unknown")).alias("unit_type"),
     )

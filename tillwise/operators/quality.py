@@ -137,7 +137,8 @@ def receipt_status_summary(receipts: DataFrame, keys: Sequence[str] = ()) -> Dat
 
 
 def processing_timing(
-    receipts: DataFrame, as_of, keys: Sequence[str] = (), window_n: int = TIMING_WINDOW, model_method: str = "llm"
+    receipts: DataFrame, as_of, keys: Sequence[str] = (), window_n: int = TIMING_WINDOW, model_method: str = "llm",
+    places: int = 2,
 ) -> DataFrame:
     """Seconds per extraction over the newest runs: overall, by method, and by provider of model runs."""
     ts = F.coalesce("extract_finished_at", "created_at", instant(as_of))
@@ -160,6 +161,6 @@ def processing_timing(
     ordered = F.sort_array(F.collect_list("seconds"))
     rank = F.bround((F.count(F.lit(1)) - 1) * F.lit(0.95), 0).cast("int")
     return exploded.groupBy(*keys, "g.group_kind", "g.group_value").agg(
-        F.count(F.lit(1)).alias("count"), F.round(F.avg("seconds"), 2).alias("avg_s"),
-        F.round(F.median("seconds"), 2).alias("median_s"), F.round(F.get(ordered, rank), 2).alias("p95_s"),
+        F.count(F.lit(1)).alias("count"), F.round(F.avg("seconds"), places).alias("avg_s"),
+        F.round(F.median("seconds"), places).alias("median_s"), F.round(F.get(ordered, rank), places).alias("p95_s"),
     )

@@ -160,7 +160,9 @@ def store_prices(
     return stats.join(meta, [*group, "store"])
 
 
-def store_recommendation(prices: DataFrame, as_of, keys: Sequence[str] = ()) -> DataFrame:
+def store_recommendation(
+    prices: DataFrame, as_of, keys: Sequence[str] = (), places: int | None = None
+) -> DataFrame:
     """Cheapest store of each product against its runner-up, from the rows of :func:`store_prices`."""
     group = [*keys, "product_id"]
     now = instant(as_of)
@@ -183,10 +185,10 @@ def store_recommendation(prices: DataFrame, as_of, keys: Sequence[str] = ()) ->
     recency = recency_score(elapsed_days(F.col("w.last_seen"), now))
     confidence = clamp01(sufficiency * (0.45 * margin + 0.30 * stability + 0.25 * recency))
     return rows.select(
-        *group, F.col("w.store").alias("store"), F.bround(confidence, 3).alias("confidence"),
-        F.col("w.unit_type").alias("unit_type"), F.round("w.median", 4).alias("winner_median"),
-        F.col("r.store").alias("runner_up_store"), F.round("r.median", 4).alias("runner_up_median"),
-        F.round("gap_pct", 4).alias("gap_pct"),
+        *group, F.col("w.store").alias("store"), F.bround(confidence, places or 3).alias("confidence"),
+        F.col("w.unit_type").alias("unit_type"), F.round("w.median", places or 4).alias("winner_median"),
+        F.col("r.store").alias("runner_up_store"), F.round("r.median", places or 4).alias("runner_up_median"),
+        F.round("gap_pct", places or 4).alias("gap_pct"),
     )
 
 

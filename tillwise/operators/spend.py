@@ -132,11 +132,11 @@ def category_period_totals(receipts: DataFrame, as_of, keys: Sequence[str] = ())
 
 
 def spend_by_category_periods(
-    receipts: DataFrame, as_of, keys: Sequence[str] = (), limit: int = CATEGORY_ROWS
+    receipts: DataFrame, as_of, keys: Sequence[str] = (), limit: int = CATEGORY_ROWS, places: int = 2
 ) -> DataFrame:
     rows = category_period_totals(receipts, as_of, keys)
     return top_rows(rows, _period_order(), limit, keys).select(
-        *keys, "period", "category", "month", _month_start(), F.round("total", 2).alias("total"), "receipt_count"
+        *keys, "period", "category", "month", _month_start(), F.round("total", places).alias("total"), "receipt_count"
     )
 
 
@@ -153,11 +153,11 @@ def subcategory_period_totals(receipts: DataFrame, as_of, keys: Sequence[str] =
 
 
 def spend_by_subcategory_periods(
-    receipts: DataFrame, as_of, keys: Sequence[str] = (), limit: int = SUBCATEGORY_ROWS
+    receipts: DataFrame, as_of, keys: Sequence[str] = (), limit: int = SUBCATEGORY_ROWS, places: int = 2
 ) -> DataFrame:
     rows = subcategory_period_totals(receipts, as_of, keys)
     return top_rows(rows, _period_order(F.col("subcategory")), limit, keys).select(
-        *keys, "period", "category", "subcategory", "month", _month_start(), F.round("total", 2).alias("total"),
+        *keys, "period", "category", "subcategory", "month", _month_start(), F.round("total", places).alias("total"),
         "receipt_count", F.col("subcategory").isin(*VICE_SUBCATEGORIES).alias("is_vice"),
     )
 
