@@ -11,6 +11,7 @@ from tillwise.functions.amounts import clamp01, iqr_stability, recency_score
 from tillwise.functions.dates import days_after, days_before, elapsed_days, instant
 from tillwise.functions.text import blank_to_null, norm_store_key
 from tillwise.operators.stats import exact_medians, nearest_rank, top_rows
+from tillwise.session import settle
 
 MIN_PURCHASES = 3
 FULL_HISTORY = 8
@@ -65,7 +66,8 @@ def restock_levels(
     now = instant(as_of)
     dated = purchases.where(F.col(product).isNotNull() & F.col(ts).isNotNull())
     totals = dated.groupBy(*group).agg(F.count(F.lit(1)).alias("purchases"), F.max(ts).alias("last_purchase"))
-    gaps = purchase_gaps(dated, group, ts)
+    # The gaps feed two medians, the second of which needs the first; they are stored once.
+    gaps = settle(purchase_gaps(dated, group, ts))
     cadence = exact_medians(gaps, group, "gap", "cadence", weight="weight").drop("n")
     spread = gaps.join(cadence, group).withColumn("_dev", F.abs(F.col("gap") - F.col("cadence")))
     deviation = exact_medians(spread, group, "_dev", "mad", weight="weight").drop("n")

@@ -12,6 +12,7 @@ from tillwise.functions.text import apply_marker, blank_to_null, list_key, split
 from tillwise.operators.restock import (
     RETAG_MARGIN, TAG_CONFIDENCE, plan_stores, restock_candidates, store_plan, store_prices, store_recommendation,
 )
+from tillwise.session import settle
 
 
 def display_names(
@@ -94,9 +95,12 @@ def auto_shopping_run(
 ) -> dict[str, DataFrame]:
     """One restock run as tables: ``decisions``, ``skipped``, ``plan`` and ``state_updates``."""
     group = [*keys, "product_id"]
-    rows = restock_candidates(obs, product_state, as_of, config, keys)
+    # One row per product, and one per product and store below: both are read several times, so they are
+    # stored once instead of being planned and computed again by every reader.
+    rows = settle(restock_candidates(obs, product_state, as_of, config, keys))
     candidates = rows.where((F.col("status") == "candidate") & F.lit(not paused)).select(*group, "confidence", "reason")
-    prices = store_prices(obs.join(candidates.select(*group), group, "left_semi"), store_aliases, as_of, keys)
+    wanted = obs.join(candidates.select(*group), group, "left_semi")
+    prices = settle(store_prices(wanted, store_aliases, as_of, keys))
     recs = store_recommendation(prices, as_of, keys)
     planned = store_plan(recs, prices, keys).select(*group, "planned_store")
     rated = candidates.join(recs.select(*group, F.col("confidence").alias("store_confidence")), group, "left").join(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,7 +25,9 @@ def value_bucket(value: Column) -> Column:
     def magnitude(v: Column) -> Column:
         return F.floor(F.least(F.log2(v), F.lit(2000.0)) * BUCKETS_PER_DOUBLING) + 100_000
 
-    return F.when(value > 0, magnitude(value)).when(value < 0, -magnitude(-value)).otherwise(F.lit(0)).cast("long")
+    # Never null, so that no null filter sets the two readers of the counts apart and their shuffle is shared.
+    bucket = F.when(value > 0, magnitude(value)).when(value < 0, -magnitude(-value))
+    return F.coalesce(bucket, F.lit(0)).cast("long")
 
 
 def order_statistics(
@@ -45,7 +49,7 @@ def order_statistics(
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = (
-        rows.where(F.col(value).isNotNull())
+        rows.where(reduce(and_, [F.col(c).isNotNull() for c in (value, *keys)]))
         .groupBy(*keys, value_bucket(F.col(value)).alias("_bucket"), F.col(value).alias("_value"))
         .agg(amount.alias("_w"))
     )

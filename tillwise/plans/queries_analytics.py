@@ -12,6 +12,7 @@ from tillwise.operators.stats import top_rows
 from tillwise.plans import driver_tables as tables
 from tillwise.plans.driver_tables import AS_OF, EVENTS_AS_OF, load
 from tillwise.plans.snapshot import snapshot, snapshot_sizes
+from tillwise.session import settle
 
 TENANT = ["tenant"]
 
@@ -219,6 +220,11 @@ def _prices(spark, d):
     return restock.store_prices(tables.observations(spark, d), _aliases(spark, d), AS_OF)
 
 
+def _stored_prices(spark, d):
+    """Store prices written once for the queries that read them several times."""
+    return settle(_prices(spark, d))
+
+
 def store_prices(spark, d):
     return _prices(spark, d).select(
         "product_id", "store", "n", F.round("median", 8).alias("median"), F.round("q25", 8).alias("q25"),
@@ -231,12 +237,12 @@ def store_recommendation(spark, d):
 
 
 def plan_stores(spark, d):
-    recs = restock.store_recommendation(_prices(spark, d), AS_OF)
+    recs = restock.store_recommendation(_stored_prices(spark, d), AS_OF)
     return restock.plan_stores(recs).withColumn("place", F.col("place").cast("long"))
 
 
 def store_plan(spark, d):
-    prices_ = _prices(spark, d)
+    prices_ = _stored_prices(spark, d)
     recs = restock.store_recommendation(prices_, AS_OF)
     return restock.store_plan(recs, prices_).select("product_id", "planned_store", "best")
 

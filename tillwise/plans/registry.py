@@ -1,6 +1,6 @@
 """All registered queries and SQL twins."""
 
-from tillwise.plans import oracle_analytics, queries_analytics
+from tillwise.plans import oracle_analytics, oracle_data, queries_analytics, queries_data
 
-QUERIES = {**queries_analytics.QUERIES}
-ORACLE = {**oracle_analytics.ORACLE}
+QUERIES = {**queries_analytics.QUERIES, **queries_data.QUERIES}
+ORACLE = {**oracle_analytics.ORACLE, **oracle_data.ORACLE}
