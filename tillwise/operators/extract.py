@@ -18,6 +18,7 @@ from tillwise.functions.dates import days_after, instant, make_day
 from tillwise.functions.text import (
     any_of, blank_to_null, fold, normalize_store_name, squeeze, strip, text_lines,
 )
+from tillwise.session import pin
 
 ITEM_CAP = 80
 DATE_LINES = 80
@@ -411,8 +412,8 @@ def extract_receipts(df: DataFrame, as_of, overwrite: bool = False) -> DataFrame
     ``df`` has ``text, filename, locale, model`` and the current ``total, purchased_at, store_name,
     line_items_raw``. A field is set when it is empty or ``overwrite`` is given.
     """
-    found = with_items(with_store(with_date(with_total(with_lines(df)), as_of), use_filename=False))
-    found = sanitize_model_fields(found, as_of)
+    found = pin(with_items(with_store(with_date(with_total(with_lines(df)), as_of), use_filename=False)).drop("_lines"))
+    found = pin(sanitize_model_fields(found, as_of))
 
     def settled(current: str, value: Column) -> Column:
         return F.coalesce(value, F.col(current)) if overwrite else F.coalesce(F.col(current), value)
@@ -430,7 +431,7 @@ def extract_receipts(df: DataFrame, as_of, overwrite: bool = False) -> DataFrame
     cleaned = F.when(F.size("_new_items") > 0, clean_items(F.col("_new_items"), F.col("total")))
     result = result.withColumn("line_items_raw", F.coalesce(cleaned, F.col("line_items_raw")))
     return result.drop(
-        "_lines", "_new_items", "found_total", "found_date", "found_store", "found_items", "m_store", "m_total",
+        "_new_items", "found_total", "found_date", "found_store", "found_items", "m_store", "m_total",
         "m_date", "m_items", "model",
     ).withColumnRenamed("m_category", "receipt_category_model").withColumnRenamed(
         "m_subcategories", "receipt_subcategories_model"

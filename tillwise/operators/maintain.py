@@ -12,6 +12,7 @@ from tillwise.functions.dates import in_date_range, instant, ms_between
 from tillwise.functions.text import blank_to_null, is_image, is_pdf, normalize_store_name, semantic_store_key
 from tillwise.operators.extract import clean_items, extract_receipts, sanitize_rows
 from tillwise.operators.stats import top_rows
+from tillwise.session import pin
 
 SUBCATEGORY_ROWS = "array<struct<subcategory:string,total:double>>"
 MERGED_FIELDS = ("total", "purchased_at", "store_name", "currency", "raw_text", "ocr_text", "ocr_confidence", "merchant_hints", "store_entity_id")
@@ -189,7 +190,7 @@ def reparse_receipts(
     before = rows.where(text.isNotNull()).withColumn("text", text)
     for c in compared:
         before = before.withColumn(f"_old_{c}", F.col(c))
-    after = extract_receipts(before, as_of, overwrite)
+    after = pin(extract_receipts(before, as_of, overwrite))
     differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_old_{c}"))
     has_items = F.coalesce(F.size("line_items_raw") > 0, F.lit(False))
     needs_items = differs("line_items_raw") | ((differs("store_name") | differs("purchased_at")) & has_items)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillwise.functions.text import (
     blank_to_null, fold, norm_digits, norm_store_key, norm_text, token_overlap, tokens_of,
 )
+from tillwise.session import settle
 
 DETAIL_FIELDS = ("branch_name", "address", "postal_code", "city", "org_number", "phone", "store_id")
 HINT_FIELDS = ("org_number", "phone", "store_id", "address", "postal_code", "city")
@@ -273,6 +274,8 @@ def match_stores(hints: DataFrame, stores: DataFrame, keys: Sequence[str] = ())
         .withColumn("_target", F.col("store_entity_id"))
         .withColumn("_order", F.struct("created_at", "store_entity_id"))
     )
+    # Distinct hints and stores per chain name are far fewer than receipts and are read many times below.
+    distinct, by_chain = settle(distinct), settle(by_chain)
     detailed = _has_any("_org", "_phone", "_sid", "_addr", "_postal", "_city")
 
     def allowed(subset: tuple[str, ...]) -> bool:
@@ -284,6 +287,7 @@ def match_stores(hints: DataFrame, stores: DataFrame, keys: Sequence[str] = ())
     names = ["org", "phone", "sid", "chain", "postal", "city"]
     best = _best_by_hints(distinct.where(detailed | F.col("_chain").isNull()), by_chain, keys, names, allowed, "_order")
     given_id = _has_any("_org", "_phone", "_sid")
+    best = settle(best)
     by_hints = best.join(distinct, [*keys, "_probe"]).where(
         (F.col("_score") >= ACCEPT) | ((F.col("_score") >= ACCEPT_WITH_ID) & given_id)
     ).select(*keys, "_probe", F.col("_target").alias("_hint_store"), "_chain_hit")

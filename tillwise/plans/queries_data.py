@@ -364,7 +364,7 @@ def derive_observations(spark, d):
     receipts = tables.receipts(spark, d)
     items = tables.items(spark, d).withColumn("arrival", F.col("receipt_id") * 100_000_000_0 + F.col("pos"))
     found = derive.derive_observations(receipts, items)
-    return found["observations"].select("receipt_id", "line_item_id", "store_name", day("observed_at"), "pack_price", F.round("unit_price", 6).alias("unit_price"), "unit_type")
+    return found["observations"].select("receipt_id", "line_item_id", "store_name", day("observed_at"), "pack_price", "unit_price", "unit_type")
 
 
 def _hints(spark, d):
@@ -456,23 +456,28 @@ def auto_category(spark, d):
 def auto_subcategories(spark, d):
     rows_type = maintain.SUBCATEGORY_ROWS
     none = F.lit(None).cast(rows_type)
-    pair = lambda name, share: F.struct(F.lit(name).alias("subcategory"), (F.col("o_totalprice") * share).alias("total"))
+    whole = F.floor("o_totalprice").cast("double")
+    pair = lambda name, share: F.struct(F.lit(name).alias("subcategory"), (whole * share).alias("total"))
     p = F.col("o_orderpriority")
     explicit = F.when(p == "1-URGENT", F.array(pair("Dairy Eggs", 0.5), pair("dairy", 0.25), pair("restaurant", 0.25))).otherwise(none)
     model = F.when(p == "2-HIGH", F.array(pair("bakery", 0.5), pair("fast_food", 0.25), pair("weird", 0.25))).otherwise(none)
     stored = F.when(p == "3-MEDIUM", F.array(pair("eggs", 0.5))).otherwise(none)
     category = F.when(F.col("o_orderstatus") == "F", "grocery").when(F.col("o_orderstatus") == "O", "dining")
-    rows = maintain.auto_subcategories(explicit, model, stored, category, F.lit(False), F.col("o_totalprice"))
-    found = load(spark, d, "orders").select("o_orderkey", F.inline(rows))
-    return found.withColumn("total", F.round("total", 1))
+    rows = maintain.auto_subcategories(explicit, model, stored, category, F.lit(False), whole)
+    return load(spark, d, "orders").select("o_orderkey", F.inline(rows))
 
 
 def sanitize_subcategories(spark, d):
-    nested = tables.receipts(spark, d, True).select("receipt_id", "total", F.transform("receipt_subcategories", lambda s: F.struct(
-        F.when(s["subcategory"] == "promo", "Dairy-Eggs").when(s["subcategory"] == "small", "Dairy").when(s["subcategory"] == "large", "Eggs").otherwise(s["subcategory"]).alias("subcategory"),
-        s["total"].alias("total"))).alias("rows"))
-    rows = nested.select("receipt_id", F.inline(extract.sanitize_rows(F.col("rows"), F.col("total"))))
-    return rows.withColumn("total", F.round("total", 0))
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    kind = F.col("p_type")
+    name = F.when(kind == "PROMO", "Dairy-Eggs").when(kind == "SMALL", "Dairy").when(kind == "LARGE", "Eggs").otherwise(kind)
+    whole = load(spark, d, "lineitem").join(part, "l_partkey").groupBy("l_orderkey", name.alias("subcategory")).agg(
+        F.sum(F.floor("l_extendedprice")).cast("double").alias("total"))
+    # One entry per part type, six at most.
+    nested = whole.groupBy("l_orderkey").agg(F.collect_list(F.struct("subcategory", "total")).alias("rows"))
+    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor("o_totalprice").cast("double").alias("total"))
+    rows = orders.join(nested, "l_orderkey", "left")
+    return rows.select(F.col("l_orderkey").alias("receipt_id"), F.inline(extract.sanitize_rows(F.col("rows"), F.col("total"))))
 
 
 def _full_receipts(spark, d):

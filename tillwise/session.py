@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -43,6 +43,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """Keep the optimizer from copying the column expressions of ``df`` into the filters and columns above it.
+
+    Filters are pushed through plain columns by repeating their expressions, which for long derivations
+    means working them out once per mention. They are not pushed through a generated row.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through reliable storage, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
