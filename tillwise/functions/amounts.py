@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tillwise.functions.text import blank_to_null, strip
+from tillwise.functions.text import blank_to_null, bound, strip
 
 # Money patterns, with and without a sign.
 AMOUNT = r"[0-9]{1,3}(?:[.,][0-9]{3})*(?:[.,][0-9]{2})"
@@ -16,21 +16,22 @@ COUNT = r"([0-9]+(?:\.[0-9]+)?)"
 
 def total_num(c: Column) -> Column:
     """A double, null when the text is no number."""
-    s = strip(c.cast("string"))
-    return F.when(s.rlike(NUMBER), s.try_cast("double"))
+    return bound(strip(c.cast("string")), lambda s: F.when(s.rlike(NUMBER), s.try_cast("double")))
 
 
 def parse_amount(c: Column) -> Column:
     """Money text to a number; handles both separators and the decimal comma."""
-    s = strip(c)
-    has_comma, has_dot = s.contains(","), s.contains(".")
-    last = F.element_at(F.split(s, ","), -1)
-    plain = (
-        F.when(has_comma & ~has_dot & (F.length(last) == 2), F.replace(s, F.lit(","), F.lit(".")))
-        .when(has_comma, F.replace(s, F.lit(","), F.lit("")))
-        .otherwise(s)
-    )
-    return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
+
+    def plain(s: Column) -> Column:
+        last = F.substring_index(s, ",", -1)
+        return (
+            F.when(~s.contains(","), s)
+            .when(~s.contains(".") & (F.length(last) == 2), F.replace(s, F.lit(","), F.lit(".")))
+            .otherwise(F.replace(s, F.lit(","), F.lit("")))
+        )
+
+    number = lambda p: F.when(p.rlike(NUMBER), p.try_cast("double"))
+    return bound(bound(strip(c), plain), number)
 
 
 def extract_amounts(c: Column) -> Column:
@@ -41,34 +42,38 @@ def extract_amounts(c: Column) -> Column:
 
 def unit_price(line_total: Column, qty_raw: Column, unit_price_raw: Column) -> tuple[Column, Column]:
     """(price per unit, unit): the stated price, else the total over the quantity text."""
-    qty_text = F.lower(blank_to_null(qty_raw))
-    qty = F.regexp_extract(qty_text, QUANTITY, 1).try_cast("double")
-    unit = F.regexp_extract(qty_text, QUANTITY, 2)
-    count = F.regexp_extract(qty_text, COUNT, 1).try_cast("double")
-    scaled = F.when(unit.isin("g", "ml"), qty / 1000.0).otherwise(qty)
-    price = (
-        F.when(unit_price_raw.isNotNull(), unit_price_raw)
-        .when(qty > 0, line_total / scaled)
-        .when(qty.isNull() & (count > 0), line_total / count)
-    )
-    kind = (
-        F.when(unit_price_raw.isNotNull(), F.lit("unknown"))
-        .when(qty > 0, F.when(unit == "g", "kg").when(unit == "ml", "l").when(unit == "pc", "pcs").otherwise(unit))
-        .when(qty.isNull() & (count > 0), F.lit("pcs"))
-        .otherwise(F.lit("unknown"))
-    )
-    return price, kind
+
+    def read(text: Column) -> Column:
+        qty = F.regexp_extract(text, QUANTITY, 1).try_cast("double")
+        count = F.regexp_extract(text, COUNT, 1).try_cast("double")
+        return F.struct(qty.alias("qty"), F.regexp_extract(text, QUANTITY, 2).alias("unit"), count.alias("count"))
+
+    def priced(q: Column) -> Column:
+        qty, unit, count = q["qty"], q["unit"], q["count"]
+        scaled = F.when(unit.isin("g", "ml"), qty / 1000.0).otherwise(qty)
+        name = F.when(unit == "g", "kg").when(unit == "ml", "l").when(unit == "pc", "pcs").otherwise(unit)
+        pair = lambda price, kind: F.struct(price.alias("price"), kind.alias("unit"))
+        return (
+            F.when(unit_price_raw.isNotNull(), pair(unit_price_raw, F.lit("unknown")))
+            .when(qty > 0, pair(F.try_divide(line_total, scaled), name))
+            .when(qty.isNull() & (count > 0), pair(F.try_divide(line_total, count), F.lit("pcs")))
+            .otherwise(pair(F.lit(None).cast("double"), F.lit("unknown")))
+        )
+
+    found = bound(bound(F.lower(blank_to_null(qty_raw)), read), priced)
+    return found["price"], found["unit"]
 
 
 def norm_confidence(c: Column) -> Column:
     """0..1 or 0..100 to a whole number in 0..100."""
     n = total_num(c)
     scaled = F.when((n >= 0) & (n <= 1), n * 100).otherwise(n)
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(scaled).cast("int")))
+    return F.when(n.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), F.bround(scaled).cast("int"))))
 
 
 def clamp01(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    # greatest and least skip nulls, so a null has to be kept apart.
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def recency_score(days: Column) -> Column:

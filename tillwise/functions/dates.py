@@ -44,15 +44,15 @@ def days_after(ts: Column, days: int) -> Column:
 
 
 def elapsed_days(start: Column, end: Column) -> Column:
-    """Elapsed days, never below zero."""
+    """Elapsed days, never below zero; null when either end is missing."""
     micros = F.unix_micros(end) - F.unix_micros(start)
-    return F.greatest(F.lit(0.0), micros / 86_400_000_000.0)
+    return F.when(micros.isNotNull(), F.greatest(F.lit(0.0), micros / 86_400_000_000.0))
 
 
 def ms_between(start: Column, end: Column) -> Column:
     """Whole milliseconds from start to end, never below zero; null when either is missing."""
     micros = F.unix_micros(end) - F.unix_micros(start)
-    return F.greatest(F.lit(0), F.floor(micros / 1000)).cast("long")
+    return F.when(micros.isNotNull(), F.greatest(F.lit(0), F.floor(micros / 1000)).cast("long"))
 
 
 def in_date_range(ts: Column, since: str | None, until: str | None, include_undated: bool = False) -> Column:

@@ -43,8 +43,20 @@ def contains_any(c: Column, words) -> Column:
     return c.rlike(any_of(words))
 
 
+# Every character that counts as white space.
+WHITESPACE = (
+    " \t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(WHITESPACE))
+
+
+def bound(c: Column, fn) -> Column:
+    """``fn(c)`` with ``c`` worked out once, however often ``fn`` mentions it."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -90,7 +102,7 @@ def tokens_of(c: Column, min_len: int = 3) -> Column:
 def token_overlap(left: Column, right: Column) -> Column:
     """Share of the left tokens that also occur on the right; 0 when either side has none."""
     common = F.size(F.array_intersect(left, right))
-    return F.when((F.size(left) > 0) & (F.size(right) > 0), common / F.size(left)).otherwise(F.lit(0.0))
+    return F.when((F.size(left) > 0) & (F.size(right) > 0), F.try_divide(common, F.size(left))).otherwise(F.lit(0.0))
 
 
 def alcohol_class(c: Column) -> Column:
@@ -138,7 +150,7 @@ def normalize_store_name(c: Column) -> Column:
     name = squeeze(F.regexp_replace(name, r"^[ \-–—|]+|[ \-–—|]+$", ""))
     letters = F.length(F.regexp_replace(name, r"[^\p{L}]", ""))
     upper = F.length(F.regexp_replace(name, r"[^\p{Lu}]", ""))
-    cased = F.when((letters > 0) & (upper / letters >= 0.85), F.initcap(F.lower(name))).otherwise(name)
+    cased = F.when((letters > 0) & (F.try_divide(upper, letters) >= 0.85), F.initcap(F.lower(name))).otherwise(name)
     return F.when(~rejected & (F.length(name) >= 2), cased)
 
 
@@ -156,8 +168,8 @@ def low_text_quality(c: Column) -> Column:
     n = F.length(dense)
     letters = F.length(F.regexp_replace(dense, r"[^\p{L}]", ""))
     digits = F.length(F.regexp_replace(dense, r"[^0-9]", ""))
-    letter_ratio = letters / n
-    other_ratio = (n - letters - digits) / n
+    letter_ratio = F.try_divide(letters, n)
+    other_ratio = F.try_divide(n - letters - digits, n)
     return (
         (F.length(s) < 80)
         | (n < 80)

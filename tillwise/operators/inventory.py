@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillwise.functions.amounts import clamp01
 from tillwise.functions.dates import days_after, instant
-from tillwise.functions.text import blank_to_null, strip
+from tillwise.functions.text import strip
 from tillwise.operators.stats import top_rows
 
 SEEN_ROWS = 100
@@ -49,7 +49,6 @@ def inventory_by_day(seen: DataFrame, keys: Sequence[str] = (), limit: int = DAY
 def detected_items(raw: Column) -> Column:
     """Labels and confidences of a detection JSON: a list of texts or objects, or an object of flags."""
     text = strip(F.coalesce(raw, F.lit("")))
-    objects = F.from_json(text, "array<struct<label:string,name:string,confidence:string>>")
     texts = F.from_json(text, "array<string>")
     flags = F.from_json(text, "map<string,string>")
 
@@ -57,15 +56,15 @@ def detected_items(raw: Column) -> Column:
         return F.struct(strip(label).alias("label"), clamp01(F.coalesce(confidence, F.lit(DEFAULT_CONFIDENCE))).alias("confidence"))
 
     # A list element that is an object keeps its JSON text in the plain reading; others are labels.
+    parsed = F.transform(
+        texts, lambda t: F.struct(t.alias("t"), F.from_json(t, "label string, name string, confidence string").alias("o"))
+    )
     listed = F.transform(
-        texts,
-        lambda t, i: F.when(
-            t.startswith("{"),
-            entry(
-                F.coalesce(F.nullif(F.get(objects, i)["label"], F.lit("")), F.get(objects, i)["name"], F.lit("")),
-                F.get(objects, i)["confidence"].try_cast("double"),
-            ),
-        ).otherwise(entry(F.coalesce(t, F.lit("")), F.lit(None).cast("double"))),
+        parsed,
+        lambda p: F.when(
+            p["t"].startswith("{"),
+            entry(F.coalesce(F.nullif(p["o"]["label"], F.lit("")), p["o"]["name"], F.lit("")), p["o"]["confidence"].try_cast("double")),
+        ).otherwise(entry(F.coalesce(p["t"], F.lit("")), F.lit(None).cast("double"))),
     )
     truthy = F.map_filter(flags, lambda k, v: ~F.coalesce(F.lower(v), F.lit("")).isin("", "false", "0", "0.0", "[]", "{}", "null"))
     mapped = F.transform(F.map_keys(truthy), lambda k: entry(k, F.lit(None).cast("double")))

@@ -53,7 +53,7 @@ def overpaid_items(
     over = current.join(baselines, group).where(
         (F.col("unit_price") >= F.col("baseline") * (1 + config.overpaid_pct))
         & (F.col("unit_price") - F.col("baseline") >= config.overpaid_floor)
-    ).withColumn("overpaid_pct", (F.col("unit_price") - F.col("baseline")) / F.col("baseline"))
+    ).withColumn("overpaid_pct", F.try_divide(F.col("unit_price") - F.col("baseline"), F.col("baseline")))
     order = [F.col("overpaid_pct").desc(), F.col("observed_at"), F.col("line_item_id")]
     best = with_product_names(top_rows(over, order, limit, keys), products, keys)
     return best.select(
@@ -93,7 +93,7 @@ def top_price_increases(
         wide.where("recent_n >= 1 and prior_n >= 1 and prior_median > 0 and recent_median > prior_median")
         .join(totals, group)
         .where("recent_n >= 2 or observations >= 3")
-        .withColumn("increase_pct", (F.col("recent_median") - F.col("prior_median")) / F.col("prior_median"))
+        .withColumn("increase_pct", F.try_divide(F.col("recent_median") - F.col("prior_median"), F.col("prior_median")))
     )
     best = top_rows(rising, [F.col("increase_pct").desc(), F.col("product_id")], limit, keys)
     return with_product_names(best, products, keys).select(
@@ -131,7 +131,7 @@ def best_store_by_item(
     cheapest = per_store.join(first_seen, [*group, "_store"]).groupBy(*group).agg(
         F.min(F.struct("_median", "_seen", "_store")).alias("_best")
     )
-    savings = (F.col("overall_median") - F.col("_best._median")) / F.col("overall_median")
+    savings = F.try_divide(F.col("overall_median") - F.col("_best._median"), F.col("overall_median"))
     found = (
         totals.join(overall.drop("n"), group).join(cheapest, group)
         .withColumn("savings_pct", savings).where(F.col("savings_pct") >= MIN_SAVINGS)

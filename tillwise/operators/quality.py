@@ -73,16 +73,18 @@ def unknown_subcategory_items(
             _unknown_sum(F.col("_totals")).alias("_unknown"),
         )
     )
-    lines = items.select(*keys, "receipt_id", "pos", "raw_name", "line_total", F.lit(True).alias("_item"))
-    joined = flagged.join(lines, [*keys, "receipt_id"], "left")
-    name = F.when(F.col("_item"), blank_to_null(F.col("raw_name"))).otherwise(
-        F.concat(F.lit("[No line items] "), F.col("_store"))
+    # An inner join, so that the items of one huge receipt can be split over tasks; receipts without items are
+    # found separately by their ids alone.
+    lines = items.select(*keys, "receipt_id", "pos", "raw_name", F.coalesce("line_total", F.lit(0.0)).alias("_a"))
+    with_items = lines.join(flagged, [*keys, "receipt_id"]).withColumn("_name", blank_to_null(F.col("raw_name")))
+    bare = flagged.join(items.select(*keys, "receipt_id").distinct(), [*keys, "receipt_id"], "left_anti").withColumn(
+        "_name", F.concat(F.lit("[No line items] "), F.col("_store"))
+    ).withColumn("pos", F.lit(0)).withColumn("_a", F.col("_unknown"))
+    columns = [*keys, "receipt_id", "pos", "purchased_at", "_category", "_store", "_name", "_a"]
+    named = with_items.select(*columns).unionByName(bare.select(*columns)).where("_name is not null").withColumn(
+        "_amount", F.greatest("_a", F.lit(0.0))
     )
-    amount = F.when(F.col("_item"), F.coalesce("line_total", F.lit(0.0))).otherwise(F.col("_unknown"))
-    named = joined.withColumn("_name", name).where("_name is not null").withColumn(
-        "_amount", F.greatest(amount, F.lit(0.0))
-    )
-    seen = [F.col("receipt_id"), F.coalesce("pos", F.lit(0)).alias("pos")]
+    seen = ["receipt_id", "pos"]
     rows = named.groupBy(*keys, F.lower("_name").alias("_key")).agg(
         F.sum("_amount").alias("total"), F.count(F.lit(1)).alias("count"),
         F.min(F.struct(*seen, F.col("_name").alias("name"), F.col("_category").alias("category"), F.col("_store").alias("store"))).alias("_f"),
@@ -103,8 +105,8 @@ def unknown_item_report(
     """Formatted item lines of receipts with unknown spend: (receipt_id, line_no, line)."""
     flagged = receipts.where(_unknown_sum(F.coalesce("receipt_subcategories", F.array().cast(
         "array<struct<subcategory:string,total:double>>"))) > 0).select(*keys, "receipt_id")
-    lines = items.select(*keys, "receipt_id", "pos", "raw_name", "line_total", "qty_raw")
-    joined = flagged.join(lines, [*keys, "receipt_id"], "left")
+    joined = items.select(*keys, "receipt_id", "pos", "raw_name", "line_total", "qty_raw").join(flagged, [*keys, "receipt_id"])
+    bare = flagged.join(items.select(*keys, "receipt_id").distinct(), [*keys, "receipt_id"], "left_anti")
     amount = F.when(
         F.col("line_total").isNotNull(), F.concat(F.format_string("%.2f", "line_total"), F.lit(f" {currency}".rstrip()))
     )
@@ -113,8 +115,9 @@ def unknown_item_report(
         F.lit("- "),
         F.concat_ws(" | ", F.coalesce(blank_to_null(F.col("raw_name")), F.lit("Unknown item")), qty, amount),
     )
-    line = F.when(F.col("pos").isNull(), "- No line items extracted for this receipt.").otherwise(text)
-    return joined.select(*keys, "receipt_id", F.coalesce("pos", F.lit(0)).cast("long").alias("line_no"), line.alias("line"))
+    listed = joined.select(*keys, "receipt_id", F.col("pos").cast("long").alias("line_no"), text.alias("line"))
+    none = F.lit("- No line items extracted for this receipt.")
+    return listed.unionByName(bare.select(*keys, "receipt_id", F.lit(0).cast("long").alias("line_no"), none.alias("line")))
 
 
 def receipt_status_counts(receipts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -73,8 +73,8 @@ def restock_levels(
     deviation = exact_medians(spread, group, "_dev", "mad", weight="weight").drop("n")
     joined = totals.join(cadence.join(deviation, group), group, "left")
     known = (F.col("purchases") >= MIN_PURCHASES) & (F.col("cadence") > 0)
-    ratio = F.col("days_since_last") / F.col("cadence")
-    stability = 1.0 - F.least(F.lit(1.0), F.col("mad") / F.col("cadence"))
+    ratio = F.try_divide(F.col("days_since_last"), F.col("cadence"))
+    stability = 1.0 - F.least(F.lit(1.0), F.try_divide(F.col("mad"), F.col("cadence")))
     history = F.least(F.lit(1.0), F.col("purchases") / float(FULL_HISTORY))
     return (
         joined.withColumn("_known", F.coalesce(known, F.lit(False)))
@@ -175,7 +175,7 @@ def store_recommendation(
     )
     entry = F.struct("median", "_seen", "store", "n", "q25", "q75", "last_seen", "unit_type")
     pairs = ranked.groupBy(*group).agg(F.min(entry).alias("w"), F.max(entry).alias("r"), F.count(F.lit(1)).alias("_k"))
-    gap = (F.col("r.median") - F.col("w.median")) / F.col("r.median")
+    gap = F.try_divide(F.col("r.median") - F.col("w.median"), F.col("r.median"))
     rows = pairs.where("_k = 2 and w.median > 0 and r.median > 0").withColumn("gap_pct", gap).where(
         F.col("gap_pct") >= MIN_GAP
     )
@@ -226,7 +226,7 @@ def store_plan(recs: DataFrame, prices: DataFrame, keys: Sequence[str] = ()) ->
         F.max(F.when(F.col("store") == F.col("best"), F.col("place"))).alias("_best_place"),
         F.min(F.when(F.col("place").isNotNull(), F.struct("median", "place", "store"))).alias("_cheapest"),
     ).where("best_price > 0")
-    penalty = (F.col("_primary.median") - F.col("best_price")) / F.col("best_price")
+    penalty = F.try_divide(F.col("_primary.median") - F.col("best_price"), F.col("best_price"))
     chosen = (
         F.when(penalty <= SWITCH_PENALTY, F.col("_primary.store"))
         .when(F.col("_best_place").isNotNull(), F.col("best"))

@@ -83,8 +83,9 @@ matched AS (
   LEFT JOIN accepted a ON a.chain IS NOT DISTINCT FROM h.chain AND a.address IS NOT DISTINCT FROM h.address AND a.postal_code IS NOT DISTINCT FROM h.postal_code
     AND a.city IS NOT DISTINCT FROM h.city AND a.org_number IS NOT DISTINCT FROM h.org_number AND a.phone IS NOT DISTINCT FROM h.phone
   LEFT JOIN rich r ON r.chain = h.chain AND coalesce(h.address, h.postal_code, h.city, h.org_number, h.phone) IS NULL)"""
-# Dates more than two days ahead are not believed, which leaves the best-before line of the text.
-READ_DAY = f"CASE WHEN o_orderdate > {AS_OF} + INTERVAL 2 DAY THEN '2001-07-26' ELSE strftime(o_orderdate, '%Y-%m-%d') END"
+# Dates more than two days ahead are not believed (two-digit years are read as 20yy), which leaves the best-before line.
+READ_DAY = f"""CASE WHEN o_orderdate > {AS_OF} + INTERVAL 2 DAY OR (o_orderpriority = '1-URGENT' AND o_orderdate < TIMESTAMP '2000-01-01')
+  THEN '2001-07-26' ELSE strftime(o_orderdate, '%Y-%m-%d') END"""
 
 ORACLE = {
     "scan_receipt_files": scan("'.pdf', '.jpg', '.png', '.heic'"),
@@ -281,6 +282,18 @@ UNION ALL SELECT 'inventory_images', count(*) FROM pages UNION ALL SELECT 'activ
   FROM (SELECT *, date_diff('hour', o_orderdate, timezone('Europe/Stockholm', timezone('UTC', o_orderdate))) = 2 AS dst FROM orders))
 SELECT strftime(date_trunc('week', t), {DAY}) AS week_start, category, round(sum(total), 2) AS total, count(*) AS receipt_count FROM l
 WHERE date_trunc('week', t) + INTERVAL 7 DAY <= (SELECT max(t) - INTERVAL 30 DAY FROM l) GROUP BY date_trunc('week', t), category""",
+    "stream_observations": f"""SELECT l_orderkey AS receipt_id, {LINE_ID} AS line_item_id, 'Store ' || (o_custkey % 40) AS store_name, l_extendedprice / l_quantity AS unit_price
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "write_tables": "SELECT strftime(o_orderdate, '%Y-%m') AS purchase_month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
+    "emit_activity": f"""SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'receipt_added' ELSE 'llm_completed' END AS kind, 'Receipt ' || o_orderkey AS description,
+  '{{"receipt_id":' || o_orderkey || '}}' AS payload, strftime({AS_OF}, {DAY}) AS timestamp, CAST(32 AS BIGINT) AS id_length FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""",
+    "undo_receipts": """SELECT 'receipts' AS table_name, count(*) AS row_count FROM orders WHERE o_orderpriority <> '1-URGENT'
+UNION ALL SELECT 'line_items', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority <> '1-URGENT'""",
+    "undo_extraction": """SELECT o_orderkey AS receipt_id, CASE WHEN o_orderpriority = '2-HIGH' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'P' THEN 'running' END AS extract_status,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'LLM' WHEN o_orderpriority = '3-MEDIUM' THEN 'heuristic' END AS extract_method FROM orders""",
+    "undo_shopping_run": """SELECT 'i' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id,
+  CASE WHEN c_acctbal < 0 THEN 'renamed since' WHEN c_mktsegment = 'MACHINERY' THEN c_name ELSE c_name || ' @ X' END AS name, false AS complete
+FROM customer WHERE c_mktsegment <> 'FURNITURE'""",
     "stream_activity_counts": f"""SELECT strftime(date_trunc('day', ts), {DAY}) AS window_start, event_type AS kind, count(*) AS n FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY date_trunc('day', ts), event_type""",
 }

@@ -10,11 +10,11 @@ from tillwise.functions import amounts, text
 from tillwise.functions.categories import category_alias, failure_reason, infer_category, subcategory_alias
 from tillwise.functions.dates import in_date_range as in_range
 from tillwise.functions.locale import locale_id
-from tillwise.operators import derive, extract, maintain, products, stores
+from tillwise.operators import activities, derive, extract, maintain, products, stores
 from tillwise.plans import driver_tables as tables
 from tillwise.plans.driver_tables import AS_OF, load
 from tillwise.plans.queries_analytics import day
-from tillwise.session import ensure_checkpoint_dir
+from tillwise.session import ensure_checkpoint_dir, spread
 from tillwise.sources import documents, export, files
 from tillwise.streaming import jobs
 
@@ -143,11 +143,11 @@ def parse_model_json(spark, d):
 # ---------------------------------------------------------------- text
 
 def low_text_quality(spark, d):
-    return load(spark, d, "documents").select("doc_id", text.low_text_quality(F.col("text")).alias("low_quality"))
+    return spread(load(spark, d, "documents")).select("doc_id", text.low_text_quality(F.col("text")).alias("low_quality"))
 
 
 def _documents(spark, d):
-    return load(spark, d, "documents").select(
+    return spread(load(spark, d, "documents")).select(
         F.col("doc_id").alias("receipt_id"), "text", F.lit("").alias("filename"),
         locale_id(F.col("lang"), F.when(F.col("lang") == "en", "SE")).alias("locale"),
     )
@@ -164,7 +164,7 @@ def extract_items_documents(spark, d):
 
 
 def extract_amounts_documents(spark, d):
-    found = load(spark, d, "documents").select("doc_id", F.posexplode(amounts.extract_amounts(F.col("text"))).alias("pos", "amount"))
+    found = spread(load(spark, d, "documents")).select("doc_id", F.posexplode(amounts.extract_amounts(F.col("text"))).alias("pos", "amount"))
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "amount")
 
 
@@ -185,7 +185,7 @@ def _rendered_heads(spark, d):
         F.concat(F.when(swedish, "Att betala ").otherwise("Total to pay "), F.format_number("o_totalprice", 2)),
         F.lit("Best before 2001-07-26"),
     )
-    return load(spark, d, "orders").select(
+    return spread(load(spark, d, "orders")).select(
         F.col("o_orderkey").alias("receipt_id"), body.alias("text"), F.lit("scan.pdf").alias("filename"),
         locale_id(F.when(swedish, "sv-SE").otherwise("en"), F.when(swedish, "SE").otherwise("US")).alias("locale"),
     )
@@ -207,7 +207,8 @@ def extract_store(spark, d):
 def _rendered_lines(spark, d):
     """One short receipt text per line item."""
     item = F.concat(F.col("p_name"), F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit(" pcs "), F.format_number("l_extendedprice", 2))
-    return load(spark, d, "lineitem").join(load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").select(
+    lines = spread(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    return lines.join(load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey").select(
         tables.line_item_id().alias("receipt_id"),
         F.concat_ws("\n", F.lit("*** kvitto ***"), item, F.lit("Moms 12% 2,77"), F.lit("Kort 9,99")).alias("text"),
         F.lit("").alias("filename"), F.lit("sv-SE").alias("locale"),
@@ -311,7 +312,7 @@ def unit_prices(spark, d):
         F.col("l_returnflag") == "N", F.col("l_quantity").cast("int").cast("string")).when(F.col("l_linestatus") == "O", "0 kg")
     stated = F.when(F.col("l_linenumber") == 1, F.lit(2.5))
     price, unit = amounts.unit_price(F.col("l_extendedprice"), qty, stated)
-    return load(spark, d, "lineitem").select(tables.line_item_id().alias("line_item_id"), F.round(price, 6).alias("unit_price"), unit.alias("unit_type"))
+    return spread(load(spark, d, "lineitem")).select(tables.line_item_id().alias("line_item_id"), F.round(price, 6).alias("unit_price"), unit.alias("unit_type"))
 
 
 def parsed_amounts(spark, d):
@@ -625,6 +626,60 @@ def stream_ingest_files(spark, d):
     return _drain(spark, jobs.new_files(inbox).select("fingerprint"))
 
 
+def stream_observations(spark, d):
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    items = _stream(spark, d, "lineitem", schema).select(
+        F.col("l_orderkey").alias("receipt_id"), tables.line_item_id().alias("line_item_id"), F.lit("Thing").alias("raw_name"), F.col("l_extendedprice").alias("line_total"),
+        F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" pcs")).alias("qty_raw"), F.lit(None).cast("double").alias("unit_price_raw"))
+    base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    sink = lambda df, epoch: df.select("receipt_id", "line_item_id", "store_name", "unit_price").write.mode("append").parquet(f"{base}/rows")
+    jobs.stream_observations(items, tables.receipts(spark, d), sink, f"{base}/state").awaitTermination()
+    return spark.read.schema("receipt_id long, line_item_id string, store_name string, unit_price double").parquet(f"{base}/rows")
+
+
+def write_tables(spark, d):
+    """Receipts written by purchase month and read back."""
+    base = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    documents.write_tables({"receipts": tables.receipts(spark, d)}, base)
+    back = spark.read.parquet(f"{base}/receipts")
+    return back.groupBy(F.col("purchase_month").cast("string").alias("purchase_month")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("total"), 2).alias("total"))
+
+
+def _audit_log(spark, d):
+    """Arrivals of urgent orders and extraction runs of high-priority ones, as audit rows."""
+    rows = tables.receipts(spark, d).join(load(spark, d, "orders").select(F.col("o_orderkey").alias("receipt_id"), "o_orderpriority"), "receipt_id")
+    note = F.concat(F.lit("Receipt "), F.col("receipt_id").cast("string"))
+    arrived = activities.emit_activity(rows.where("o_orderpriority = '1-URGENT'"), "receipt_added", note, ["receipt_id"], AS_OF)
+    read = activities.emit_activity(rows.where("o_orderpriority = '2-HIGH'"), "llm_completed", note, ["receipt_id"], AS_OF)
+    return arrived.unionByName(read)
+
+
+def emit_activity(spark, d):
+    return _audit_log(spark, d).select("kind", "description", "payload", day("timestamp"), F.length("activity_id").cast("long").alias("id_length"))
+
+
+def undo_receipts(spark, d):
+    kept = activities.undo_receipts(_audit_log(spark, d), {"receipts": tables.receipts(spark, d), "line_items": tables.items(spark, d)})
+    return export.export_counts(kept)
+
+
+def undo_extraction(spark, d):
+    rows = activities.undo_extraction(_audit_log(spark, d), tables.receipts(spark, d))
+    return rows.select("receipt_id", "extract_status", "extract_method")
+
+
+def undo_shopping_run(spark, d):
+    """A run that added furniture buyers' entries and renamed those of machinery buyers is undone."""
+    entries = load(spark, d, "customer").select(
+        F.format_string("i%09d", "c_custkey").alias("id"), F.when(F.col("c_acctbal") < 0, "renamed since").otherwise(F.concat(F.col("c_name"), F.lit(" @ X"))).alias("name"),
+        F.lit(False).alias("complete"), "c_mktsegment", "c_name")
+    added = entries.where("c_mktsegment = 'FURNITURE'").select(F.to_json(F.struct(F.array(F.struct(F.col("id").alias("shopping_list_item_id"))).alias("added"))).alias("payload"))
+    renamed = entries.where("c_mktsegment = 'MACHINERY'").select(F.to_json(F.struct(F.array(F.struct(
+        F.col("id").alias("shopping_list_item_id"), F.col("c_name").alias("old_name"), F.concat(F.col("c_name"), F.lit(" @ X")).alias("new_name"))).alias("renamed"))).alias("payload"))
+    log = added.unionByName(renamed).withColumn("kind", F.lit("shopping_list_auto_run"))
+    return activities.undo_shopping_run(log, entries.select("id", "name", "complete"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         scan_receipt_files, scan_inventory_images, known_fingerprints, new_files_only, dedupe_by_content, ingest_uploads, classify_upload, file_names,
@@ -635,6 +690,7 @@ QUERIES = {
         store_usage, dedupe_stores, dedupe_stores_strict, dedupe_stores_chain_only, dedupe_report, learn_store_alias, auto_category,
         auto_subcategories, sanitize_subcategories, apply_receipt_updates, delete_receipts, reparse_receipts, semantic_duplicates,
         merge_semantic_duplicates, extraction_backlog, image_backlog, stuck_receipts, reset_stuck_receipts, mark_extract_failed, export_counts,
-        export_receipts, in_date_range, stream_spend_by_week, stream_activity_counts, stream_ingest_files,
+        export_receipts, in_date_range, stream_spend_by_week, stream_activity_counts, stream_ingest_files, stream_observations,
+        write_tables, emit_activity, undo_receipts, undo_extraction, undo_shopping_run,
     )
 }

@@ -52,6 +52,16 @@ def pin(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input over all cores before costly work on each row.
+
+    Inputs that already have a partition per core, as any large one does, are returned as they are: nothing
+    is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through reliable storage, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)

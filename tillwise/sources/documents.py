@@ -100,7 +100,6 @@ def _top_level_parts(ddl: str) -> list[str]:
 
 def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
     """Every table as parquet; tables with a time column are partitioned by its month.
-
     """
     months = {"receipts": "purchased_at", "observations": "observed_at", "activities": "timestamp"}
     for name, df in tables.items():
