@@ -153,7 +153,7 @@ QUALIFY row_number() OVER (PARTITION BY receipt_id ORDER BY idx) <= 80""",
   CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice + 1 <= 50000 THEN round(o_totalprice + 1, 2) ELSE o_totalprice END AS total,
   {READ_DAY} AS purchased_at,
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'Ica Maxi' WHEN o_orderstatus = 'F' THEN 'WILLYS Helsingborg' ELSE 'Corner Market' END AS store_name,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN 1 END AS n_items, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Latte' END AS first_item,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 1 WHEN o_orderstatus <> 'F' THEN 0 END AS n_items, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Latte' END AS first_item,
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'dining' END AS receipt_category_model,
   CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice + 1 <= 50000 THEN 'bar_pub' END AS subcategory_model FROM orders""",
     "clean_line_items": f"""WITH i AS (

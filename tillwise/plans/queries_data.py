@@ -351,9 +351,9 @@ def locale_choice(spark, d):
 # ---------------------------------------------------------------- products and stores
 
 def _named_items(spark, d):
-    """Part names with sizes, in the order of their keys."""
+    """Part names with their type, in the order of their keys; spelling varies with the size."""
     return load(spark, d, "part").select(
-        F.col("p_partkey").alias("arrival"), F.concat_ws(" ", F.initcap("p_name"), F.col("p_size").cast("string"), F.lower("p_type")).alias("raw_name"))
+        F.col("p_partkey").alias("arrival"), F.when(F.col("p_size") > 25, F.upper(F.concat_ws("  ", "p_name", "p_type"))).otherwise(F.concat_ws(" ", "p_name", "p_type")).alias("raw_name"))
 
 
 def match_products(spark, d):

@@ -99,13 +99,11 @@ def _top_level_parts(ddl: str) -> list[str]:
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
-    """Every table as parquet; tables with a time column are partitioned by its month.
-    """
+    """Every table as parquet; tables with a time column are partitioned by its month."""
     months = {"receipts": "purchased_at", "observations": "observed_at", "activities": "timestamp"}
     for name, df in tables.items():
-        writer = df
         if name in months and months[name] in df.columns:
-            writer = df.withColumn("purchase_month", F.date_format(months[name], "yyyy-MM"))
-            writer.write.mode(mode).partitionBy("purchase_month").parquet(f"{path}/{name}")
+            dated = df.withColumn("purchase_month", F.date_format(months[name], "yyyy-MM"))
+            dated.write.mode(mode).partitionBy("purchase_month").parquet(f"{path}/{name}")
         else:
-            writer.write.mode(mode).parquet(f"{path}/{name}")
+            df.write.mode(mode).parquet(f"{path}/{name}")
