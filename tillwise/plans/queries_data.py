@@ -186,7 +186,7 @@ def _rendered_heads(spark, d):
         F.lit("Best before 2001-07-26"),
     )
     return spread(load(spark, d, "orders")).select(
-        F.col("o_orderkey").alias("receipt_id"), body.alias("text"), F.lit("scan.pdf").alias("filename"),
+        F.col("o_orderkey").alias("receipt_id"), _answer().alias("answer"), body.alias("text"), F.lit("scan.pdf").alias("filename"),
         locale_id(F.when(swedish, "sv-SE").otherwise("en"), F.when(swedish, "SE").otherwise("US")).alias("locale"),
     )
 
@@ -220,7 +220,7 @@ def extract_line_items(spark, d):
     return found.select("receipt_id", F.inline("found_items")).drop("unit_price_raw")
 
 
-def _model_answers(spark, d):
+def _answer():
     """Model answers for urgent orders only; other receipts rely on their text."""
     answer = F.to_json(F.struct(
         F.lit("ICA MAXI").alias("store_name"), (F.col("o_totalprice") + 1).cast("string").alias("total"),
@@ -229,12 +229,11 @@ def _model_answers(spark, d):
         F.array(F.struct(F.lit("Latte").alias("raw_name"), F.lit("3,50").alias("line_total")),
                 F.struct(F.lit("Total").alias("raw_name"), F.lit("9.00").alias("line_total"))).alias("line_items"),
     ))
-    return load(spark, d, "orders").select(
-        F.col("o_orderkey").alias("receipt_id"), F.when(F.col("o_orderpriority") == "1-URGENT", answer).alias("answer"))
+    return F.when(F.col("o_orderpriority") == "1-URGENT", answer)
 
 
 def _receipt_inputs(spark, d):
-    heads = _rendered_heads(spark, d).join(documents.parse_model_json(_model_answers(spark, d), "answer").drop("answer"), "receipt_id")
+    heads = documents.parse_model_json(_rendered_heads(spark, d), "answer").drop("answer")
     return heads.select(
         "*", F.lit(None).cast("double").alias("total"), F.lit(None).cast("timestamp").alias("purchased_at"), _none().alias("store_name"),
         F.lit(None).cast(f"array<{extract.ITEM}>").alias("line_items_raw"))
@@ -251,7 +250,8 @@ def extract_receipts(spark, d):
 
 
 def sanitize_model_fields(spark, d):
-    rows = extract.sanitize_model_fields(documents.parse_model_json(_model_answers(spark, d), "answer"), AS_OF)
+    answers = spread(load(spark, d, "orders")).select(F.col("o_orderkey").alias("receipt_id"), _answer().alias("answer"))
+    rows = extract.sanitize_model_fields(documents.parse_model_json(answers, "answer"), AS_OF)
     return rows.select("receipt_id", "m_store", F.round("m_total", 2).alias("m_total"), F.date_format("m_date", "yyyy-MM-dd").alias("m_date"), "m_category",
                        F.size("m_items").cast("long").alias("n_items"))
 

@@ -56,7 +56,7 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small input over all cores before costly work on each row.
 
     Inputs that already have a partition per core, as any large one does, are returned as they are: nothing
-    is shuffled.
+    is shuffled. Meant for plain scans; asking an input with shuffles for its partitions would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
