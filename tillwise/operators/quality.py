@@ -13,6 +13,7 @@ from tillwise.functions.dates import instant
 from tillwise.functions.text import blank_to_null
 from tillwise.operators.spend import with_subcategory_totals
 from tillwise.operators.stats import top_rows
+from tillwise.session import settle
 
 RECENT_ROWS = 20
 DEDUPED_ROWS = 15
@@ -73,6 +74,8 @@ def unknown_subcategory_items(
             _unknown_sum(F.col("_totals")).alias("_unknown"),
         )
     )
+    # Read twice below, and costly to derive where the subcategories come from a join.
+    flagged = settle(flagged)
     # An inner join, so that the items of one huge receipt can be split over tasks; receipts without items are
     # found separately by their ids alone.
     lines = items.select(*keys, "receipt_id", "pos", "raw_name", F.coalesce("line_total", F.lit(0.0)).alias("_a"))
