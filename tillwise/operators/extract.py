@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillwise.functions import locale as packs
 from tillwise.functions.amounts import AMOUNT, SIGNED_AMOUNT, extract_amounts, parse_amount
 from tillwise.functions.categories import (
-    GROCERY_SUBCATEGORIES, RESIDUAL_TOLERANCE, category_alias, subcategory_alias,
+    RESIDUAL_TOLERANCE, category_alias, subcategory_alias,
 )
 from tillwise.functions.dates import days_after, instant, make_day
 from tillwise.functions.text import (

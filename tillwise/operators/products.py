@@ -11,7 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tillwise.functions.text import blank_to_null, canonical_name, norm_name
+from tillwise.functions.text import canonical_name, norm_name
 from tillwise.session import settle
 
 THRESHOLD = 0.75

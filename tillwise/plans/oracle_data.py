@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillwise.plans.oracle_analytics import AS_OF, DAY, ITEMS, LINE_ID, OBS, RECEIPTS, SUBS, capital
+from tillwise.plans.oracle_analytics import AS_OF, DAY, ITEMS, LINE_ID, OBS, RECEIPTS
 
 AMOUNT = r"[0-9]{1,3}(?:[.,][0-9]{3})*(?:[.,][0-9]{2})"
 INBOX = """inbox AS (
