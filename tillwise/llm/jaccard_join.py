@@ -203,11 +203,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLO
     their own that link with each other; of rows alike in doc_id and text one is kept. class_id is null where all
     ids of a class are null. Other columns are ignored; an empty table gives no rows.
     """
-    from pyspark.sql import Window
-
     rows = settle(prints(docs))
-    pick = F.min(F.struct("_id", "_th")).alias("pick")
-    classes = settle(rows.where("digest is not null").groupBy("digest").agg(pick, F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")))
+    row = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_th")  # null ids last
+    classes = settle(rows.where("digest is not null").groupBy("digest").agg(F.min(row).alias("pick"), F.count(F.lit(1)).alias("weight"), F.first("bands").alias("bands")))
     keys = classes.select("digest", F.posexplode("bands").alias("band", "h"))
     shared = keys.groupBy("band", "h").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high")
     met = keys.join(shared, ["band", "h"]).select(F.col("digest").alias("a"), F.col("low").alias("b")).distinct()
@@ -223,12 +221,12 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLO
     counts = links.groupBy("digest").agg(F.sum("n").alias("n"))
     per_class = classes.select("digest", "pick", "weight").join(counts, "digest", "left").join(joined.withColumnRenamed("id", "digest"), "digest", "left")
     per_class = per_class.withColumn("component", F.coalesce("component", "digest"))
-    names = per_class.groupBy("component").agg(F.min("pick").alias("keep"), F.min("pick._id").alias("class_id"))
-    per_class = per_class.join(names, "component").select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "keep", "class_id")
+    names = per_class.groupBy("component").agg(F.min("pick").alias("keep"))
+    per_class = per_class.join(names, "component").select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "keep")
     out = rows.select("_id", "_th", "digest").join(per_class, "digest", "left")
     wordless = F.col("digest").isNull()
-    kept = wordless | (F.struct("_id", "_th") == F.col("keep"))
+    kept = wordless | (row == F.col("keep"))
     return out.select(
-        F.col("_id").alias("doc_id"), F.when(wordless, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.col("_id").alias("doc_id"), F.when(wordless, F.col("_id")).otherwise(F.col("keep._id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"), "_th",
     )
