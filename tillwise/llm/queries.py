@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillwise.llm import (
     decontaminate as dc, embedding_dedup as ed, jaccard_join as jj, language_id as li, line_dedup as ld, packing as pk,
@@ -48,10 +48,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sa.find_personal(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, kind=kind: x.kind == kind)).cast("long").alias(f"n_{kind}") for kind in sa.PATTERNS]
+    counts = [_of_kind(kind).alias(f"n_{kind}") for kind in sa.PATTERNS]
     return out.select("doc_id", *counts, F.sha2(sa.span_text(F.col("base")), 256).alias("base_sha256"), sa.span_text(F.col("spans")).alias("spans"))
 
 
+def _of_kind(kind: str) -> Column:
+    return F.size(F.filter("base", lambda x: x.kind == kind)).cast("long")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jj.jaccard_join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
 

@@ -121,12 +121,12 @@ def disclosing(beside: DataFrame, counts: DataFrame, entities: DataFrame) -> Dat
 
     beside: (entity, term) per occurrence; counts: (term, n) over the corpus; entities: (entity, n_e) occurrences.
     """
-    total = entities.agg(F.sum("n_e").alias("n_all"))
+    total = entities.agg(F.sum("n_e")).first()[0] or 1
     pairs = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
     known = F.least(F.lit(1.0), F.col("n_te") / F.col("n"))
     pairs = pairs.join(counts, "term").withColumn("p", known).where(F.col("p") >= GENERALISE)
-    pairs = pairs.join(entities, "entity").join(F.broadcast(total))  # one row
-    told = F.log2(F.col("p") / (F.col("n_e") / F.col("n_all")))
+    told = F.log2(F.col("p") / (F.col("n_e") / F.lit(total)))
+    pairs = pairs.join(entities, "entity")
     return pairs.where(told >= BITS).select("entity", "term", F.when(F.col("p") >= REMOVE, "term").otherwise("hint").alias("kind"))
 
 
