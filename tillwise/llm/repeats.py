@@ -13,22 +13,28 @@ def windows(docs: DataFrame, units: Column, run: int, min_words: int) -> DataFra
     Units are compared without surrounding white space. a and b are the places of its first and last unit.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_th"), units.alias("units"))
-    full = F.filter(
-        F.transform("units", lambda u, i: F.struct(F.regexp_replace(u, r"^\s+|\s+$", "").alias("s"), i.alias("i"))),
-        lambda x: x.s != "",
-    )
-    rows = rows.where(F.size("units") > 0).select("_id", "_th", full.alias("full")).where(F.size("full") >= run)
+    # Each unit is trimmed, hashed and counted once; a window's hashes are those of its units' hashes.
+    trimmed = F.transform(units, lambda u: F.trim(u, F.lit(" \t\n\x0b\f\r")))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_th"), trimmed.alias("units")).where(F.size("units") >= run)
+
+    def unit(s: Column, i: Column) -> Column:
+        words = F.size(F.split(s, r"\s+")) if min_words > 1 else F.lit(1)
+        return F.struct(F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), words.alias("n"), i.alias("i"), (s == "").alias("blank"))
+
+    full = F.filter(F.transform("units", unit), lambda x: ~x.blank)
+    rows = rows.select("_id", "_th", full.alias("full")).where(F.size("full") >= run)
     rows = rows.select("_id", "_th", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("full") - (run - 1)), lambda j: F.slice("full", j, run)
     )).alias("w"))
-    rows = rows.select(
-        "_id", "_th", F.array_join(F.col("w.s"), "\n").alias("s"),
+    if min_words > 1:
+        n = F.col("w")[0].n
+        for k in range(1, run):
+            n = n + F.col("w")[k].n
+        rows = rows.where(n >= min_words)
+    return rows.select(
+        "_id", "_th", F.xxhash64("w.h1").alias("h1"), F.xxhash64("w.h2").alias("h2"),
         F.col("w")[0].i.alias("a"), F.col("w")[run - 1].i.alias("b"),
     )
-    if min_words > 1:
-        rows = rows.where(F.size(F.split("s", r"\s+")) >= min_words)
-    return rows.select("_id", "_th", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "a", "b")
 
 
 def covered(wins: DataFrame) -> DataFrame:
