@@ -81,15 +81,32 @@ def test_file_stream_sees_each_content_once(spark, tmp_path):
     assert got.count() == 1 and got.first().fingerprint == "sha256:" + __import__("hashlib").sha256(b"one").hexdigest()
 
 
+def test_file_stream_keeps_old_files(spark, tmp_path):
+    import os
+
+    inbox, target = tmp_path / "in", str(tmp_path / "out")
+    known = lambda: spark.createDataFrame([], "fingerprint string")
+    sink = lambda df, epoch: df.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+    write_inbox(inbox, {"a.pdf": b"one"})
+    for names in ({"epoch.pdf": b"two", "old.pdf": b"three", "copy.pdf": b"one"}, {}):
+        jobs.stream_ingest_files(jobs.stream_inbox(spark, str(inbox)), known, sink, str(tmp_path / "cp")).awaitTermination()
+        write_inbox(inbox, names)
+        for name, when in (("epoch.pdf", 1), ("old.pdf", 10**8)):
+            os.utime(inbox / name, (when, when))
+    assert sorted(r.filename for r in spark.read.parquet(target).collect()) == ["a.pdf", "epoch.pdf", "old.pdf"]
+
+
 def test_weeks_are_local_monday_weeks(spark, tmp_path):
     rows = [("2024-03-10 23:30:00", 1.0), ("2024-03-11 10:00:00", 2.0), ("2024-03-18 10:00:00", 4.0), ("2024-06-01 00:00:00", 0.0)]
     df = spark.createDataFrame(rows, "purchased_at string, total double").select(F.col("purchased_at").cast("timestamp"), "total", F.lit("grocery").alias("receipt_category"))
     df.write.parquet(str(tmp_path / "r"))
     stream = jobs.stream_spend_by_week(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r")), "Europe/Stockholm")
-    query = stream.writeStream.format("memory").queryName("weeks").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = {str(r.week_start): r.total for r in spark.table("weeks").collect()}
-    assert got == {"2024-03-11 00:00:00": 3.0, "2024-03-18 00:00:00": 4.0}
+    for late in ("2024-03-12 08:00:00", None):
+        jobs.upsert(stream, str(tmp_path / "weeks"), str(tmp_path / "state")).awaitTermination()
+        if late:  # months after the newest row
+            df.limit(1).select(F.lit(late).cast("timestamp").alias("purchased_at"), F.lit(8.0).alias("total"), "receipt_category").write.mode("append").parquet(str(tmp_path / "r"))
+    got = {str(r.week_start): r.total for r in jobs.latest(spark, str(tmp_path / "weeks"), stream.schema, ["week_start", "category"]).collect()}
+    assert got == {"2024-03-11 00:00:00": 11.0, "2024-03-18 00:00:00": 4.0, "2024-05-27 00:00:00": 0.0}
 
 
 def test_observation_stream(spark, tmp_path):

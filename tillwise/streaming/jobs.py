@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,34 +14,65 @@ from tillwise.sources.files import RECEIPT_EXTENSIONS, hashed_listing, split_new
 INBOX_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def stream_inbox(spark: SparkSession, path: str) -> DataFrame:
-    """New files of a folder as a stream."""
-    return spark.readStream.format("binaryFile").schema(INBOX_SCHEMA).load(path)
+def stream_inbox(spark: SparkSession, path: str, max_age: str = "36500d") -> DataFrame:
+    """New files of a folder as a stream.
 
-
-def new_files(files: DataFrame, extensions=RECEIPT_EXTENSIONS, horizon: str = "7 days") -> DataFrame:
-    """Stream of first arrivals per content inside the horizon; older state is dropped by the watermark."""
-    listing = hashed_listing(files, extensions)
-    return listing.withWatermark("mtime", horizon).dropDuplicatesWithinWatermark(["fingerprint"])
+    The source skips files whose time stamp lies ``max_age`` before the newest one it has seen, and remembers the names of
+    the others; the default skips none. A folder that files are moved out of stays small.
+    """
+    return spark.readStream.format("binaryFile").schema(INBOX_SCHEMA).option("maxFileAge", max_age).load(path)
 
 
 def stream_ingest_files(
-    files: DataFrame, known: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger
+    files: DataFrame, known: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str,
+    extensions=RECEIPT_EXTENSIONS, **trigger
 ) -> StreamingQuery:
-    """Feed new files to ``sink``; contents that ``known()`` already lists are left out, however old they are."""
+    """Feed the first file of each new content to ``sink``, however old the file is.
+
+    Contents that ``known()`` lists or that an earlier batch fed are left out. The fingerprints of each batch
+    are written beside the stream's checkpoint under the batch number before the sink runs, and a batch compares with earlier
+    numbers only: a batch that is run again gives the same rows. The sink has to write by batch number to be exactly-once.
+    """
+    seen = f"{checkpoint.rstrip('/')}-seen"
 
     def batch(df: DataFrame, epoch: int) -> None:
-        fresh = split_new_and_duplicate(df, known()).where("status = 'imported'")
+        spark = df.sparkSession
+        spark.createDataFrame([], "fingerprint string").write.mode("overwrite").parquet(f"{seen}/epoch=-1")
+        earlier = spark.read.schema("fingerprint string, epoch long").parquet(seen).where(F.col("epoch") < epoch)
+        old = known().select("fingerprint").union(earlier.select("fingerprint")).distinct()
+        fresh = split_new_and_duplicate(hashed_listing(df, extensions), old).where("status = 'imported'")
+        fresh.select("fingerprint").write.mode("overwrite").parquet(f"{seen}/epoch={epoch}")
         sink(fresh, epoch)
 
     return (
-        new_files(files).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+        files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def upsert(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Write the changed rows of a running aggregate under their batch number; :func:`latest` reads the current ones."""
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return (
+        rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
-def stream_spend_by_week(receipts: DataFrame, zone: str = "UTC", horizon: str = "30 days") -> DataFrame:
-    """Spend per local Monday week and category. Late rows inside the horizon change their week.
+def latest(spark: SparkSession, path: str, schema, keys: Sequence[str]) -> DataFrame:
+    """The last written row of each key of an :func:`upsert` table."""
+    values = [f.name for f in schema if f.name not in keys]
+    rows = spark.read.schema(schema.add("epoch", "long")).parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
+def stream_spend_by_week(receipts: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Spend per local Monday week and category, for :func:`upsert`. A late row changes its week, however late it is: the
+    state is one row per week and category.
 
     Receipts are shifted to wall-clock time first: windows start at fixed UTC instants, and the shift of four
     days moves their start from the epoch's Thursday to Monday.
@@ -50,17 +81,17 @@ def stream_spend_by_week(receipts: DataFrame, zone: str = "UTC", horizon: str =
         "category", category_key(F.col("receipt_category"))
     )
     week = F.window("local_time", "7 days", "7 days", "4 days")
-    return local.withWatermark("local_time", horizon).groupBy(week.alias("week"), "category").agg(
+    return local.groupBy(week.alias("week"), "category").agg(
         F.sum("total").alias("total"), F.count(F.lit(1)).alias("receipt_count")
     ).select(F.col("week.start").alias("week_start"), "category", "total", "receipt_count")
 
 
-def stream_spend_by_day(receipts: DataFrame, zone: str = "UTC", horizon: str = "30 days") -> DataFrame:
-    """Spend per local day and category; :func:`months_of` rolls finished days up."""
+def stream_spend_by_day(receipts: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Spend per local day and category; :func:`months_of` rolls days up."""
     local = receipts.withColumn("local_time", F.from_utc_timestamp("purchased_at", zone)).withColumn(
         "category", category_key(F.col("receipt_category"))
     )
-    return local.withWatermark("local_time", horizon).groupBy(F.window("local_time", "1 day").alias("day"), "category").agg(
+    return local.groupBy(F.window("local_time", "1 day").alias("day"), "category").agg(
         F.sum("total").alias("total"), F.count(F.lit(1)).alias("receipt_count")
     ).select(F.col("day.start").alias("day_start"), "category", "total", "receipt_count")
 
@@ -86,8 +117,8 @@ def stream_observations(
     )
 
 
-def stream_activity_counts(activities: DataFrame, size: str = "1 day", horizon: str = "7 days") -> DataFrame:
-    """Rows per window and kind."""
-    return activities.withWatermark("timestamp", horizon).groupBy(
+def stream_activity_counts(activities: DataFrame, size: str = "1 day") -> DataFrame:
+    """Rows per window and kind, for :func:`upsert`; open windows included."""
+    return activities.groupBy(
         F.window("timestamp", size).alias("w"), "kind"
     ).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "kind", "n")
