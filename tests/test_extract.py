@@ -47,9 +47,19 @@ def test_items(spark):
     assert [(i.raw_name, i.line_total, i.qty_raw) for i in got] == [("Milk 2 st", 25.9, "2 st"), ("Cheese old", -3.5, None)]
 
 
-def test_item_cap(spark):
-    text = "\n".join(f"Thing {chr(65 + i % 26)} 1,{i % 100:02d}" for i in range(100))
-    assert len(read(spark, [(text, "", "base")])[0].found_items) == 80
+def test_whole_texts_are_read(spark):
+    things = [f"Thing {chr(65 + i % 26)} 1,{i % 100:02d}" for i in range(250)]
+    filler = [f"x {i}" for i in range(200)]
+    rows = read(spark, [("\n".join(things), "", "base"), ("\n".join([*filler, "Date 2024-03-02"]), "", "base"), ("\n".join(["1"] * 60 + ["WILLYS"]), "", "sv-SE")])
+    assert len(rows[0].found_items) == 250
+    assert rows[1].found_date == datetime(2024, 3, 2)
+    assert rows[2].found_store == "WILLYS"
+
+
+def test_receipts_take_no_date_from_the_file_name(spark):
+    lines = extract.with_lines(spark.createDataFrame([("no date here", "x 2001-02-03.pdf", "base")], "text string, filename string, locale string"))
+    assert extract.with_date(lines, AS_OF, use_filename=False).first().found_date is None
+    assert extract.with_date(lines, AS_OF).first().found_date == datetime(2001, 2, 3)
 
 
 def test_cleaning(spark):

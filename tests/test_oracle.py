@@ -4,6 +4,7 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
+from tillwise.plans import registry
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
@@ -15,7 +16,7 @@ def con(sf_dir):
 
 def test_twins_belong_to_queries():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"match_products", "snapshot"}
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"match_products", "snapshot"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

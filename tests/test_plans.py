@@ -31,6 +31,6 @@ def test_no_cross_joins(spark, sf_dir, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["recent_receipts", "unknown_category"])
+@pytest.mark.parametrize("name", ["recent_receipts", "dedupe_recent_receipts"])
 def test_top_rows_need_no_full_sort(spark, sf_dir, name):
     assert "TakeOrderedAndProject" in plan_of(spark, sf_dir, name)

@@ -57,7 +57,7 @@ def compact_payload(payload: Column) -> Column:
     return F.when(F.size(compacted) > 0, compacted)
 
 
-def recent_activities(activities: DataFrame, keys: Sequence[str] = (), limit: int = RECENT_ROWS) -> DataFrame:
+def recent_activities(activities: DataFrame, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     newest = top_rows(activities, [F.col("timestamp").desc(), F.col("activity_id")], limit, keys)
     return newest.select(
         *keys, "activity_id", "timestamp", "kind", shorten(F.col("description"), 180).alias("description"),

@@ -20,9 +20,6 @@ from tillwise.functions.text import (
 )
 from tillwise.session import pin
 
-ITEM_CAP = 80
-DATE_LINES = 80
-STORE_LINES = 40
 MAX_TOTAL = 50_000.0
 # Words of rows that are no items, in cleaning and in reading.
 CLEAN_WORDS = (
@@ -120,14 +117,14 @@ def filename_day(filename: Column) -> Column:
     return F.when(name.rlike(split), rx(split)).when(name.rlike(joined), rx(joined)).cast("timestamp")
 
 
-def with_date(df: DataFrame, as_of) -> DataFrame:
-    """Adds ``found_date``: the best-scored date of the first lines, else a date in the file name."""
+def with_date(df: DataFrame, as_of, use_filename: bool = True) -> DataFrame:
+    """Adds ``found_date``: the best-scored date of all lines, else, with ``use_filename``, a date in the file name."""
     loc, cutoff = F.col("locale"), days_after(instant(as_of), 2)
     staged = df.withColumn("_good", packs.pattern(loc, "date_positive")).withColumn(
         "_bad", packs.pattern(loc, "date_negative")
     ).withColumn("_months", packs.months(loc))
     # Lines without two digits in a row or next to a separator cannot hold a date.
-    lines = F.filter(F.slice("_lines", 1, DATE_LINES), lambda line: line.rlike(r"\d"))
+    lines = F.filter("_lines", lambda line: line.rlike(r"\d"))
     staged = staged.withColumn(
         "_dated",
         F.transform(
@@ -164,7 +161,8 @@ def with_date(df: DataFrame, as_of) -> DataFrame:
     )
     best = F.array_max(F.filter(dated, lambda o: o["ts"].isNotNull() & (o["ts"] <= cutoff)))
     staged = staged.withColumn("_best", best)
-    return staged.withColumn("found_date", F.coalesce("_best.ts", filename_day(F.col("filename")))).drop(
+    named = filename_day(F.col("filename")) if use_filename else F.lit(None).cast("timestamp")
+    return staged.withColumn("found_date", F.coalesce("_best.ts", named)).drop(
         "_good", "_bad", "_months", "_dated", "_offers", "_best"
     )
 
@@ -203,7 +201,7 @@ def has_brand(candidate: Column, brands: Column) -> Column:
 
 
 def with_store(df: DataFrame, use_filename: bool = True) -> DataFrame:
-    """Adds ``found_store``: the best-scored header line, with its location lines when it is a chain."""
+    """Adds ``found_store``: the best-scored line of the whole text, with its location lines when it is a chain."""
     loc = F.col("locale")
     staged = df.withColumn("_stop", packs.words(loc, "stop_exact")).withColumn(
         "_stop_in", packs.pattern(loc, "stop_contains")
@@ -212,7 +210,7 @@ def with_store(df: DataFrame, use_filename: bool = True) -> DataFrame:
         "_heads",
         F.filter(
             F.transform(
-                F.slice("_lines", 1, STORE_LINES),
+                "_lines",
                 lambda line, i: F.struct(
                     i.alias("idx"), line.alias("line"),
                     letters_only(F.when(line.rlike(r"\d"), without_contact(line)).otherwise(line)).alias("name"),
@@ -282,7 +280,7 @@ def with_store(df: DataFrame, use_filename: bool = True) -> DataFrame:
 # ---------------------------------------------------------------- line items
 
 def with_items(df: DataFrame) -> DataFrame:
-    """Adds ``found_items``: lines that end in an amount, at most 80."""
+    """Adds ``found_items``: lines that end in an amount."""
     split = rf"^(.*?)({SIGNED_AMOUNT})\s*$"
 
     def item(line: Column) -> Column:
@@ -304,7 +302,7 @@ def with_items(df: DataFrame) -> DataFrame:
     items = F.filter(
         F.transform(candidates, item), lambda i: i["line_total"].isNotNull() & (F.length(i["raw_name"]) >= 2)
     )
-    return df.withColumn("found_items", F.slice(items, 1, ITEM_CAP).cast(f"array<{ITEM}>"))
+    return df.withColumn("found_items", items.cast(f"array<{ITEM}>"))
 
 
 def clean_items(items: Column, total: Column) -> Column:
@@ -324,16 +322,16 @@ def clean_items(items: Column, total: Column) -> Column:
         F.coalesce(blank_to_null(i["raw_name"]), F.lit("")).alias("raw_name"), i["line_total"].alias("line_total"),
         blank_to_null(i["qty_raw"]).alias("qty_raw"), i["unit_price_raw"].alias("unit_price_raw"),
     ))
-    return F.slice(F.filter(trimmed, keep), 1, ITEM_CAP)
+    return F.filter(trimmed, keep)
 
 
 def coerce_items(items: Column) -> Column:
-    """Model items (all fields text) with a name and a readable total, at most 80."""
+    """Model items (all fields text) with a name and a readable total."""
     typed = F.transform(items, lambda i: F.struct(
         blank_to_null(i["raw_name"]).alias("raw_name"), parse_amount(i["line_total"]).alias("line_total"),
         blank_to_null(i["qty_raw"]).alias("qty_raw"), parse_amount(i["unit_price_raw"]).alias("unit_price_raw"),
     ))
-    return F.slice(F.filter(typed, lambda i: i["raw_name"].isNotNull() & i["line_total"].isNotNull()), 1, ITEM_CAP)
+    return F.filter(typed, lambda i: i["raw_name"].isNotNull() & i["line_total"].isNotNull())
 
 
 # ---------------------------------------------------------------- model output
@@ -412,7 +410,7 @@ def extract_receipts(df: DataFrame, as_of, overwrite: bool = False) -> DataFrame
     ``df`` has ``text, filename, locale, model`` and the current ``total, purchased_at, store_name,
     line_items_raw``. A field is set when it is empty or ``overwrite`` is given.
     """
-    found = pin(with_items(with_store(with_date(with_total(with_lines(df)), as_of), use_filename=False)).drop("_lines"))
+    found = pin(with_items(with_store(with_date(with_total(with_lines(df)), as_of, use_filename=False), use_filename=False)).drop("_lines"))
     found = pin(sanitize_model_fields(found, as_of))
 
     def settled(current: str, value: Column) -> Column:

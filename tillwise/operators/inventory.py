@@ -11,14 +11,12 @@ from tillwise.functions.dates import days_after, instant
 from tillwise.functions.text import strip
 from tillwise.operators.stats import top_rows
 
-SEEN_ROWS = 100
 DAY_ROWS = 50
-MAX_DETECTIONS = 100
 DEFAULT_CONFIDENCE = 0.7
 
 
 def inventory_recently_seen(
-    products: DataFrame, product_state: DataFrame, as_of, ttl_days: int = 7, keys: Sequence[str] = (), limit: int = SEEN_ROWS
+    products: DataFrame, product_state: DataFrame, as_of, ttl_days: int = 7, keys: Sequence[str] = (), limit: int | None = None
 ) -> DataFrame:
     """Products whose last sighting has not expired, newest first."""
     group = [*keys, "product_id"]
@@ -69,8 +67,7 @@ def detected_items(raw: Column) -> Column:
     truthy = F.map_filter(flags, lambda k, v: ~F.coalesce(F.lower(v), F.lit("")).isin("", "false", "0", "0.0", "[]", "{}", "null"))
     mapped = F.transform(F.map_keys(truthy), lambda k: entry(k, F.lit(None).cast("double")))
     chosen = F.when(text.startswith("["), listed).when(text.startswith("{"), mapped)
-    kept = F.filter(F.coalesce(chosen, F.array().cast("array<struct<label:string,confidence:double>>")), lambda d: d["label"] != "")
-    return F.slice(kept, 1, MAX_DETECTIONS)
+    return F.filter(F.coalesce(chosen, F.array().cast("array<struct<label:string,confidence:double>>")), lambda d: d["label"] != "")
 
 
 def explode_detections(images: DataFrame) -> DataFrame:

@@ -239,7 +239,7 @@ def merge_semantic_duplicates(receipts: DataFrame, duplicates: DataFrame) -> Dat
 
     item_count = F.coalesce(F.size("line_items_raw"), F.lit(0))
     merged = gone.groupBy(F.col("kept_receipt_id").alias("receipt_id")).agg(
-        *[first_value(c) for c in fields], F.max_by("line_items_raw", item_count).alias("_d_items"),
+        *[first_value(c) for c in fields], F.max_by("line_items_raw", F.struct(item_count, "created_at", "receipt_id")).alias("_d_items"),
     )
     kept = receipts.join(pairs.select("receipt_id"), "receipt_id", "left_anti").join(merged, "receipt_id", "left")
     for c in fields:

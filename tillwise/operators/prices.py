@@ -40,7 +40,7 @@ def price_baselines(obs: DataFrame, window_n: int = 5, keys: Sequence[str] = ())
 
 
 def overpaid_items(
-    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int = 10,
+    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int | None = None,
     places: int | None = None,
 ) -> DataFrame:
     """This week's purchases well above the product's own baseline."""
@@ -64,7 +64,7 @@ def overpaid_items(
 
 
 def top_price_increases(
-    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int = 10,
+    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int | None = None,
     places: int | None = None,
 ) -> DataFrame:
     """Products whose recent median price is above their earlier one."""
@@ -104,7 +104,7 @@ def top_price_increases(
 
 
 def best_store_by_item(
-    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int = 10,
+    obs: DataFrame, products: DataFrame, as_of, config: Config = Config(), keys: Sequence[str] = (), limit: int | None = None,
     places: int | None = None,
 ) -> DataFrame:
     """The store with the lowest median price of each product, when it saves at least five percent."""

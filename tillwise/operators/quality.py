@@ -17,20 +17,18 @@ from tillwise.session import settle
 
 RECENT_ROWS = 20
 DEDUPED_ROWS = 15
-UNKNOWN_CATEGORY_ROWS = 100
-UNKNOWN_ITEM_ROWS = 150
 TIMING_WINDOW = 200
 LIST_COLUMNS = (
     "receipt_id", "purchased_at", "store_name", "total", "filename", "receipt_category", "receipt_category_source",
 )
 
 
-def recent_receipts(receipts: DataFrame, keys: Sequence[str] = (), limit: int = RECENT_ROWS) -> DataFrame:
+def recent_receipts(receipts: DataFrame, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     dated = receipts.where(F.col("purchased_at").isNotNull()).select(*keys, *LIST_COLUMNS)
     return top_rows(dated, [F.col("purchased_at").desc(), F.col("receipt_id")], limit, keys)
 
 
-def dedupe_recent_receipts(receipts: DataFrame, keys: Sequence[str] = (), limit: int = DEDUPED_ROWS) -> DataFrame:
+def dedupe_recent_receipts(receipts: DataFrame, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Recent receipts once per local day, store and total."""
     recent = recent_receipts(receipts, keys)
     same = [
@@ -43,7 +41,7 @@ def dedupe_recent_receipts(receipts: DataFrame, keys: Sequence[str] = (), limit:
 
 
 def unknown_category_receipts(
-    receipts: DataFrame, keys: Sequence[str] = (), limit: int = UNKNOWN_CATEGORY_ROWS
+    receipts: DataFrame, keys: Sequence[str] = (), limit: int | None = None
 ) -> DataFrame:
     """Receipts without a usable category, newest first, undated last."""
     rows = receipts.where(is_unknown_category(F.col("receipt_category"))).select(*keys, *LIST_COLUMNS)
@@ -59,7 +57,7 @@ def _unknown_sum(totals):
 
 
 def unknown_subcategory_items(
-    receipts: DataFrame, items: DataFrame, keys: Sequence[str] = (), limit: int = UNKNOWN_ITEM_ROWS
+    receipts: DataFrame, items: DataFrame, keys: Sequence[str] = (), limit: int | None = None
 ) -> DataFrame:
     """Item names of receipts with unknown spend; receipts without items give one row per store.
 

@@ -132,7 +132,7 @@ def category_period_totals(receipts: DataFrame, as_of, keys: Sequence[str] = ())
 
 
 def spend_by_category_periods(
-    receipts: DataFrame, as_of, keys: Sequence[str] = (), limit: int = CATEGORY_ROWS, places: int = 2
+    receipts: DataFrame, as_of, keys: Sequence[str] = (), limit: int | None = None, places: int = 2
 ) -> DataFrame:
     rows = category_period_totals(receipts, as_of, keys)
     return top_rows(rows, _period_order(), limit, keys).select(
@@ -153,7 +153,7 @@ def subcategory_period_totals(receipts: DataFrame, as_of, keys: Sequence[str] =
 
 
 def spend_by_subcategory_periods(
-    receipts: DataFrame, as_of, keys: Sequence[str] = (), limit: int = SUBCATEGORY_ROWS, places: int = 2
+    receipts: DataFrame, as_of, keys: Sequence[str] = (), limit: int | None = None, places: int = 2
 ) -> DataFrame:
     rows = subcategory_period_totals(receipts, as_of, keys)
     return top_rows(rows, _period_order(F.col("subcategory")), limit, keys).select(

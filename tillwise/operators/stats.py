@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BUCKETS_PER_DOUBLING = 16
 
 
-def top_rows(df: DataFrame, order: Sequence[Column], n: int, keys: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows, per key when there are keys. Each task keeps at most ``n`` rows per key before the shuffle."""
+def top_rows(df: DataFrame, order: Sequence[Column], n: int | None, keys: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows, per key when there are keys; all rows, in no order, without ``n``.
+
+    Each task keeps at most ``n`` rows per key before the shuffle.
+    """
+    if n is None:
+        return df
     if not keys:
         return df.orderBy(*order).limit(n)
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -145,7 +145,7 @@ ORACLE = {
     "receipt_subcategory_totals": f"WITH {RECEIPTS}, {SUBS}, {A7} SELECT receipt_id, subcategory, round(total, 4) AS total FROM a7",
     "spend_by_category_periods": f"""WITH {RECEIPTS}, {PERIODS}, {CATEGORY_ROWS.format(keys='', src='periods')}
 SELECT period, category, month, month || '-01' AS month_start, round(total, 4) AS total, receipt_count FROM cats
-ORDER BY {PERIOD_RANK}, category, month DESC, total DESC LIMIT 120""",
+ORDER BY {PERIOD_RANK}, category, month DESC, total DESC""",
     "spend_by_category_periods_by_tenant": f"""WITH {RECEIPTS}, {PERIODS.replace('SELECT receipt_id, category', 'SELECT receipt_id, customer_id % 20 AS tenant, category')},
 {CATEGORY_ROWS.format(keys='tenant,', src='periods')}
 SELECT tenant, period, category, month, month || '-01' AS month_start, round(total, 4) AS total, receipt_count FROM cats
@@ -154,7 +154,7 @@ QUALIFY row_number() OVER (PARTITION BY tenant ORDER BY {PERIOD_RANK}, category,
 rows_ AS (SELECT period, category, subcategory, month, sum(a7.total) AS total, count(*) AS receipt_count
   FROM periods JOIN a7 USING (receipt_id) WHERE a7.total > 0 GROUP BY ALL)
 SELECT period, category, subcategory, month, month || '-01' AS month_start, round(total, 4) AS total, receipt_count, false AS is_vice
-FROM rows_ ORDER BY {PERIOD_RANK}, category, month DESC NULLS LAST, total DESC, subcategory LIMIT 180""",
+FROM rows_ ORDER BY {PERIOD_RANK}, category, month DESC NULLS LAST, total DESC, subcategory""",
     "truncation_meta": f"""WITH {RECEIPTS}, {SUBS}, {A7}, {PERIODS},
 rows_ AS (SELECT DISTINCT period, category, subcategory, month FROM periods JOIN a7 USING (receipt_id))
 SELECT count(*) > 180 AS truncated, CAST(180 AS BIGINT) AS max_rows, least(count(*), 180) AS returned_rows,
@@ -184,13 +184,13 @@ FROM receipts ORDER BY receipts.purchased_at DESC, receipt_id LIMIT 20""",
     "recent_receipts_by_tenant": f"""WITH {RECEIPTS}
 SELECT customer_id % 20 AS tenant, receipt_id, strftime(purchased_at, {DAY}) AS purchased_at, total FROM receipts
 QUALIFY row_number() OVER (PARTITION BY customer_id % 20 ORDER BY receipts.purchased_at DESC, receipt_id) <= 5""",
-    "dedupe_recent_receipts": f"""WITH {RECEIPTS}, recent AS (SELECT * FROM receipts ORDER BY purchased_at DESC, receipt_id LIMIT 20),
+    "dedupe_recent_receipts": f"""WITH {RECEIPTS}, recent AS (SELECT * FROM receipts),
 one AS (SELECT *, row_number() OVER (PARTITION BY CAST(purchased_at AS DATE), store_name, round(total, 2) ORDER BY purchased_at DESC, receipt_id) AS rn FROM recent)
 SELECT receipt_id, strftime(purchased_at, {DAY}) AS purchased_at, store_name, total, filename, receipt_category, receipt_category_source
 FROM one WHERE rn = 1 ORDER BY one.purchased_at DESC, receipt_id LIMIT 15""",
     "unknown_category": f"""WITH {RECEIPTS}
 SELECT receipt_id, strftime(purchased_at, {DAY}) AS purchased_at, store_name, total, filename, receipt_category, receipt_category_source
-FROM receipts WHERE receipt_category = '' ORDER BY receipts.purchased_at DESC, receipt_id LIMIT 100""",
+FROM receipts WHERE receipt_category = '' ORDER BY receipts.purchased_at DESC, receipt_id""",
     "is_unknown_subcategory": """WITH p AS (SELECT CASE p_type WHEN 'PROMO' THEN ' Misc ' WHEN 'SMALL' THEN '' WHEN 'LARGE' THEN 'Other' ELSE p_type END AS subcategory FROM part)
 SELECT subcategory, count(*) AS n, trim(lower(subcategory)) IN ('misc', '', 'other') AS is_unknown FROM p GROUP BY 1""",
     "unknown_subcategory_items": f"""WITH {RECEIPTS}, {SUBS}, {A7}, {ITEMS},
@@ -206,7 +206,7 @@ agg AS (
     max(CASE WHEN rn = 1 THEN receipt_id END) AS sample_receipt_id, max(CASE WHEN rn = 1 THEN strftime(purchased_at, {DAY}) END) AS sample_purchased_at
   FROM firsts GROUP BY 1)
 SELECT item, total, count, category, sample_store_name, sample_receipt_id, sample_purchased_at FROM agg
-ORDER BY total DESC, count DESC, item, key LIMIT 150""",
+ORDER BY total DESC, count DESC, item, key""",
     "unknown_item_report": f"""WITH {SUBS}, {ITEMS}, flagged AS (SELECT receipt_id FROM subs WHERE subcategory = 'promo' GROUP BY 1 HAVING sum(total) > 0)
 SELECT receipt_id, coalesce(pos, 0) AS line_no, CASE WHEN pos IS NULL THEN '- No line items extracted for this receipt.'
   ELSE '- ' || raw_name || ' | qty ' || qty_raw || ' | ' || printf('%.2f', line_total) || ' kr' END AS line
@@ -220,7 +220,7 @@ SELECT {capital('product_id')} AS product, store_name AS store, round(unit_price
   round((unit_price - baseline) / baseline, 8) AS overpaid_pct, strftime(observed_at, {DAY}) AS observed_at, line_item_id
 FROM obs JOIN base USING (product_id)
 WHERE date_trunc('week', observed_at) = date_trunc('week', {AS_OF}) AND baseline > 0 AND unit_price >= baseline * (1 + 0.15::DOUBLE) AND unit_price - baseline >= 2
-ORDER BY (unit_price - baseline) / baseline DESC, obs.observed_at, line_item_id LIMIT 10""",
+ORDER BY (unit_price - baseline) / baseline DESC, obs.observed_at, line_item_id""",
     "overpaid_items_by_tenant": f"""WITH {OBS}, {BASELINES.replace('PARTITION BY product_id', 'PARTITION BY store_name, product_id').replace('SELECT product_id, median', 'SELECT store_name, product_id, median').replace('GROUP BY 1)', 'GROUP BY 1, 2)')}
 SELECT store_name AS tenant, {capital('product_id')} AS product, round(unit_price, 8) AS unit_price, round(baseline, 8) AS baseline,
   round((unit_price - baseline) / baseline, 8) AS overpaid_pct, line_item_id
@@ -234,7 +234,7 @@ QUALIFY row_number() OVER (PARTITION BY store_name ORDER BY (unit_price - baseli
   FROM obs GROUP BY 1)
 SELECT {capital('product_id')} AS product, round((rm - pm) / pm, 8) AS increase_pct, round(rm, 8) AS recent_median, round(pm, 8) AS prior_median,
   'pcs' AS unit_type, observations FROM g WHERE rm > pm AND pm > 0 AND (rn >= 2 OR observations >= 3)
-ORDER BY (rm - pm) / pm DESC, product_id LIMIT 10""",
+ORDER BY (rm - pm) / pm DESC, product_id""",
     "best_store_by_item": f"""WITH {OBS}, w AS (SELECT * FROM obs WHERE observed_at >= {AS_OF} - INTERVAL 90 DAY),
 t AS (SELECT product_id, count(*) AS n, count(*) FILTER (observed_at >= {AS_OF} - INTERVAL 60 DAY) AS recent, median(unit_price) AS overall FROM w GROUP BY 1),
 s AS (SELECT product_id, store_name, count(*) AS n, median(unit_price) AS m, min(strftime(observed_at, '%Y%m%d') || line_item_id) AS seen FROM w GROUP BY 1, 2),
@@ -242,7 +242,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY m, seen) AS
 SELECT {capital('product_id')} AS product, store_name AS best_store, round(m, 8) AS best_median, round(overall, 8) AS overall_median,
   round((overall - m) / overall, 8) AS savings_pct, 'pcs' AS unit_type
 FROM t JOIN b USING (product_id) WHERE rn = 1 AND (t.n >= 4 OR recent >= 2) AND t.n >= 2 AND overall > 0 AND (overall - m) / overall >= 0.05
-ORDER BY (overall - m) / overall DESC, product_id LIMIT 10""",
+ORDER BY (overall - m) / overall DESC, product_id""",
     "purchase_gaps": f"WITH {LEVELS} SELECT product_id, round(gap, 6) AS gap, count(*) AS weight FROM gaps WHERE gap IS NOT NULL GROUP BY 1, 2",
     "restock_levels": f"WITH {LEVELS} SELECT product_id, purchases, {_round('cadence days_since_last', 6)}, level, round(confidence, 6) AS confidence FROM levels",
     "restock_candidates": f"WITH {LEVELS}, {STATE}, {STATUSES} SELECT product_id, status, level, round(confidence, 6) AS confidence FROM statuses",
@@ -286,7 +286,7 @@ FROM statuses s JOIN customer ON c_custkey = s.product_id LEFT JOIN list l ON l.
 {LEVELS.split('FROM orders),', 1)[1]}, {STATE}, {STATUSES} SELECT product_id, status FROM statuses WHERE status <> 'candidate'""",
     "inventory_recently_seen": f"""WITH s AS (SELECT user_id AS product_id, max(ts) AS seen, max(value) / 500 AS conf FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT product_id, c_name AS product, strftime(seen, {DAY}) AS last_seen_at, strftime(seen + INTERVAL 7 DAY, {DAY}) AS expires_at, round(conf, 3) AS confidence
-FROM s JOIN customer ON c_custkey = product_id WHERE seen + INTERVAL 7 DAY > {EVENTS_AS_OF} ORDER BY seen DESC, product_id LIMIT 100""",
+FROM s JOIN customer ON c_custkey = product_id WHERE seen + INTERVAL 7 DAY > {EVENTS_AS_OF} ORDER BY seen DESC, product_id""",
     "inventory_by_day": f"""WITH s AS (SELECT user_id AS product_id, max(ts) AS seen, max(value) / 500 AS conf FROM events WHERE event_type = 'view' GROUP BY 1),
 top AS (SELECT product_id, c_name, seen, round(conf, 3) AS conf FROM s JOIN customer ON c_custkey = product_id
   WHERE seen + INTERVAL 7 DAY > {EVENTS_AS_OF} ORDER BY seen DESC, product_id LIMIT 50)

@@ -88,7 +88,7 @@ def processing_timing(spark, d):
 
 
 def recent_receipts(spark, d):
-    rows = quality.recent_receipts(tables.receipts(spark, d))
+    rows = quality.recent_receipts(tables.receipts(spark, d), limit=quality.RECENT_ROWS)
     return rows.withColumn("purchased_at", day("purchased_at"))
 
 
@@ -98,7 +98,7 @@ def recent_receipts_by_tenant(spark, d):
 
 
 def dedupe_recent_receipts(spark, d):
-    rows = quality.dedupe_recent_receipts(tables.receipts(spark, d))
+    rows = quality.dedupe_recent_receipts(tables.receipts(spark, d), limit=quality.DEDUPED_ROWS)
     return rows.withColumn("purchased_at", day("purchased_at"))
 
 
@@ -341,7 +341,7 @@ def _activities(spark, d):
 
 
 def recent_activities(spark, d):
-    rows = activities.recent_activities(_activities(spark, d))
+    rows = activities.recent_activities(_activities(spark, d), limit=activities.RECENT_ROWS)
     return rows.select(
         "activity_id", "kind", "description", *[F.element_at("payload", k).alias(k) for k in ("k", "seen", "note", "sub")],
         F.size("payload").cast("long").alias("n_keys"),

@@ -597,12 +597,11 @@ def _stream(spark, d, name, schema):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def _drain(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and read its result table from the shared checkpoint folder."""
+def _drain(spark, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a running aggregate over what is there and read its current rows from the shared checkpoint folder."""
     base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").option("path", f"{base}/rows").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    jobs.upsert(stream, f"{base}/rows", f"{base}/state").awaitTermination()
+    return jobs.latest(spark, f"{base}/rows", stream.schema, keys)
 
 
 def stream_spend_by_week(spark, d):
@@ -610,20 +609,24 @@ def stream_spend_by_week(spark, d):
     receipts = _stream(spark, d, "orders", schema).select(
         F.col("o_orderdate").alias("purchased_at"), F.col("o_totalprice").alias("total"), F.when(F.col("o_orderpriority") == "1-URGENT", "dining").otherwise("grocery").alias("receipt_category"))
     weeks = jobs.stream_spend_by_week(receipts, "Europe/Stockholm")
-    return _drain(spark, weeks).select(day("week_start"), "category", F.round("total", 2).alias("total"), "receipt_count")
+    return _drain(spark, weeks, ["week_start", "category"]).select(day("week_start"), "category", F.round("total", 2).alias("total"), "receipt_count")
 
 
 def stream_activity_counts(spark, d):
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
     rows = _stream(spark, d, "events", schema).select(F.col("ts").alias("timestamp"), F.col("event_type").alias("kind"))
-    return _drain(spark, jobs.stream_activity_counts(rows)).withColumn("window_start", day("window_start"))
+    return _drain(spark, jobs.stream_activity_counts(rows), ["window_start", "kind"]).withColumn("window_start", day("window_start"))
 
 
 def stream_ingest_files(spark, d):
     docs = _stream(spark, d, "documents", "doc_id long, text string, lang string, source string, n_chars long")
     inbox = docs.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.timestamp_seconds("doc_id").alias("modificationTime"),
                         F.length("text").cast("long").alias("length"), F.encode("text", "UTF-8").alias("content"))
-    return _drain(spark, jobs.new_files(inbox).select("fingerprint"))
+    base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
+    known = lambda: spark.createDataFrame([], "fingerprint string")
+    sink = lambda df, epoch: df.select("fingerprint").write.mode("overwrite").parquet(f"{base}/rows/epoch={epoch}")
+    jobs.stream_ingest_files(inbox, known, sink, f"{base}/state").awaitTermination()
+    return spark.read.schema("fingerprint string, epoch long").parquet(f"{base}/rows").select("fingerprint")
 
 
 def stream_observations(spark, d):
