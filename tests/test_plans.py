@@ -25,7 +25,7 @@ def test_reading_text_only_deals_out_rows(spark, sf_dir, name):
     assert plan.count("Exchange") == plan.count("Exchange RoundRobinPartitioning")
 
 
-@pytest.mark.parametrize("name", ["top_price_increases", "store_prices", "dedupe_stores", "semantic_duplicates", "scan_receipt_files"])
+@pytest.mark.parametrize("name", ["top_price_increases", "store_prices", "dedupe_stores", "dedupe_report", "semantic_duplicates", "scan_receipt_files"])
 def test_no_cross_joins(spark, sf_dir, name):
     plan = plan_of(spark, sf_dir, name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -121,12 +121,14 @@ def dedupe_report(
     left = stores.join(referenced, [*keys, "store_entity_id"], "left_semi")
 
     def size(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).withColumn("_one", F.lit(1))
-
-    report = size(stores, "stores_before")
-    for part in (size(merges, "store_merges"), size(left, "stores_after_projected"), moved.withColumn("_one", F.lit(1))):
-        report = report.join(part, [*keys, "_one"], "left")
-    report = report.drop("_one").fillna(0)
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    # One row per measure and key, folded into one row per key: no join.
+    parts = size(stores, "stores_before")
+    for part in (size(merges, "store_merges"), size(left, "stores_after_projected"), moved):
+        parts = parts.unionByName(part, allowMissingColumns=True)
+    measures = [c for c in parts.columns if c not in keys]
+    report = parts.groupBy(*keys).agg(*[F.max(c).alias(c) for c in measures]).where("stores_before is not null").fillna(0)
     orphans = F.col("stores_before") - F.col("stores_after_projected")
     after = F.col("stores_after_projected") if delete_orphans else F.col("stores_before")
     return report.withColumn("orphans_projected", orphans).withColumn("stores_after", after)
