@@ -70,6 +70,14 @@ def test_write_and_export(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "e" / "manifest")).where("schema_version = 1").count() == 4
 
 
+def test_refused_uploads(spark, monkeypatch):
+    monkeypatch.setattr(files, "MAX_UPLOAD_BYTES", 3)
+    uploads = spark.createDataFrame([("u1", "c1", b"1234"), ("u2", "c1", b"123"), ("u3", "c9", b"1"), ("u4", None, b"1")], "upload_id string, chat_id string, content binary")
+    allowed = spark.createDataFrame([("c1",), ("c1",)], "chat_id string")
+    assert {r.upload_id: r.reason for r in files.refused_uploads(uploads, allowed).collect()} == {"u1": "too_large", "u3": "chat_not_allowed", "u4": "chat_not_allowed"}
+    assert [r.upload_id for r in files.refused_uploads(uploads, None).collect()] == ["u1"]
+
+
 def test_file_stream_sees_each_content_once(spark, tmp_path):
     inbox, target = tmp_path / "in", str(tmp_path / "out")
     write_inbox(inbox, {"a.pdf": b"one", "b.pdf": b"one", "c.pdf": b"two", "d.txt": b"three"})

@@ -134,7 +134,7 @@ def canonical_name(c: Column) -> Column:
 
     kept = F.array_join(F.filter(F.split(raw, r"(?U)\s+"), keep), " ")
     plain = F.when(kept == "", raw).otherwise(kept)
-    return F.coalesce(alcohol_class(raw), F.substring(strip(plain), 1, 128))
+    return F.coalesce(alcohol_class(raw), strip(plain))
 
 
 def normalize_store_name(c: Column) -> Column:
@@ -213,11 +213,14 @@ def list_key(c: Column) -> Column:
 
 
 def safe_filename(c: Column, fallback: str) -> Column:
-    """Last path component without control characters, at most 255 characters."""
+    """Last path component without control characters. Longer than 255 characters, a file system's limit, its stem is shortened; the extension stays."""
     raw = F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("/"))
     last = strip(F.element_at(F.split(strip(raw), "/"), -1))
     last = F.regexp_replace(last, r"[\x00-\x1f]", "")
-    return F.substring(F.when(last.isin("", ".", ".."), F.lit(fallback)).otherwise(last), 1, 255)
+    named = F.when(last.isin("", ".", ".."), F.lit(fallback)).otherwise(last)
+    ext = F.regexp_extract(named, r"\.[^.]{1,16}$", 0)
+    short = F.concat(F.substring(named, F.lit(1), 255 - F.length(ext)), ext)
+    return F.when(F.length(named) > 255, short).otherwise(named)
 
 
 def file_ext(c: Column) -> Column:

@@ -173,7 +173,7 @@ def delete_receipts(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, D
 
 
 def reparse_receipts(
-    receipts: DataFrame, as_of, since: str | None = None, until: str | None = None, limit: int | None = 50, overwrite: bool = False
+    receipts: DataFrame, as_of, since: str | None = None, until: str | None = None, limit: int | None = None, overwrite: bool = False
 ) -> DataFrame:
     """Receipts read again from their stored text: new values, ``changed`` and ``items_changed``.
 
@@ -184,7 +184,7 @@ def reparse_receipts(
         raise ValueError("since must be <= until")
     rows = receipts.where(in_date_range(F.col("purchased_at"), since, until))
     if limit is not None:
-        rows = top_rows(rows, [F.col("created_at").desc(), F.col("receipt_id")], max(1, min(int(limit), 500)))
+        rows = top_rows(rows, [F.col("created_at").desc(), F.col("receipt_id")], max(1, int(limit)))
     text = F.coalesce(F.nullif("ocr_text", F.lit("")), F.nullif("raw_text", F.lit("")))
     compared = ("total", "purchased_at", "store_name", "line_items_raw")
     before = rows.where(text.isNotNull()).withColumn("text", text)

@@ -113,9 +113,21 @@ def classify_upload(filename: Column, caption: Column, content: Column) -> Colum
     )
 
 
+def refused_uploads(uploads: DataFrame, allowed_chats: DataFrame | None) -> DataFrame:
+    """(upload_id, chat_id, reason) of the uploads that :func:`ingest_uploads` leaves out: ``too_large`` or ``chat_not_allowed``."""
+    rows = uploads.select("upload_id", "chat_id", (F.length("content") > MAX_UPLOAD_BYTES).alias("_large"))
+    reason = F.when(F.col("_large"), "too_large")
+    if allowed_chats is not None:
+        rows = rows.join(allowed_chats.select("chat_id", F.lit(True).alias("_on_list")).distinct(), "chat_id", "left")
+        reason = F.when(F.col("_on_list").isNull(), "chat_not_allowed").otherwise(reason)
+    return rows.select("upload_id", "chat_id", reason.alias("reason")).where("reason is not null")
+
+
 def ingest_uploads(uploads: DataFrame, allowed_chats: DataFrame | None, known: DataFrame) -> DataFrame:
     """Uploads of allowed chats within the size limit, classified, hashed and marked new or duplicate.
 
+    The others are told by :func:`refused_uploads`.
+
     ``uploads`` has ``upload_id, chat_id, filename, caption, content``; without an allow-list every chat passes.
     """
     rows = uploads.where(F.length("content") <= MAX_UPLOAD_BYTES)
