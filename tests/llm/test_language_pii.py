@@ -29,6 +29,8 @@ def test_language_edges(spark):
     got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in li.identify(docs, li.learn(docs)).collect()}
     assert got[200, None] == got[201, ""] == got[202, "123 !!"] == ("und", 0.0)
     assert got[203, "the dog"][0] == "en" and got[None, "die katze"][0] == "de" and got[205, "und das haus " * 60_000][0] == "de"
+    alone = li.identify(documents(spark, [(1, "a"), (2, "1. B 2. c"), (3, "\u0301 4")]), li.learn(docs)).collect()
+    assert [(r.lang_pred in ("de", "en"), r.score) for r in sorted(alone)] == [(True, 0.0), (True, 0.0), (False, 0.0)]
     assert li.identify(documents(spark, []), li.learn(docs)).count() == 0
     nothing = li.identify(docs, li.learn(docs.where("lang is null"))).collect()
     assert all(r.lang_pred == "und" and r.score == 0 for r in nothing)

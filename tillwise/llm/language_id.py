@@ -87,8 +87,10 @@ class LanguageFilter:
         return masks
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """(language, score) per text; ties go to the first language by name."""
+        """(language, score) per text; ties go to the first language by name. A text whose letters all stand alone has
+        no n-gram: every language scores 0."""
         h, offsets = text_grams(texts)
+        lettered = [k > 0 or any(map(str.isalpha, t)) for k, t in zip(np.diff(offsets), texts)]
         masks = self.lookup(h)
         n = np.diff(offsets)
         shares = np.zeros((len(texts), len(self.languages)))
@@ -98,7 +100,7 @@ class LanguageFilter:
             shares[:, i] = (hits - n * self.false[i]) / (np.maximum(n, 1) * (1 - self.false[i]))
         best = shares.argmax(axis=1)
         score = np.clip(shares[np.arange(len(texts)), best], 0, 1)
-        names = [self.languages[b] if k else UNKNOWN for b, k in zip(best, n)]
+        names = [self.languages[b] if k else UNKNOWN for b, k in zip(best, lettered)]
         return names, np.where(n > 0, score, 0.0)
 
 
