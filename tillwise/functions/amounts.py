@@ -93,6 +93,6 @@ def iqr_stability(q25: Column, q75: Column, median: Column) -> Column:
     return clamp01(1.0 - spread / 0.25)
 
 
-def half_even(c: Column, places: int) -> Column:
+def half_even(c: Column | str, places: int) -> Column:
     """Presentation rounding; ties go to the even digit."""
     return F.bround(c, places)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillwise.functions.amounts import clamp01
+from tillwise.functions.amounts import clamp01, half_even
 from tillwise.functions.dates import days_after, instant
 from tillwise.functions.text import strip
 from tillwise.operators.stats import top_rows
@@ -27,7 +27,7 @@ def inventory_recently_seen(
     fresh = state.where((F.col("expires_at") > now) & F.lit(ttl_days > 0))
     rows = products.select(*group, "canonical_name").join(fresh, group).select(
         *group, F.coalesce("canonical_name", F.col("product_id").cast("string")).alias("product"), "last_seen_at", "expires_at",
-        F.round("last_seen_confidence", 3).alias("confidence"),
+        half_even("last_seen_confidence", 3).alias("confidence"),
     )
     return top_rows(rows, [F.col("last_seen_at").desc(), F.col("product_id")], limit, keys)
 
@@ -35,7 +35,7 @@ def inventory_recently_seen(
 def inventory_by_day(seen: DataFrame, keys: Sequence[str] = (), limit: int = DAY_ROWS) -> DataFrame:
     """The newest sightings grouped by local day, with confidence in percent."""
     newest = top_rows(seen, [F.col("last_seen_at").desc(), F.col("product_id")], limit, keys)
-    percent = F.round(F.col("confidence") * 100, 0).cast("long").cast("string")
+    percent = half_even(F.col("confidence") * 100, 0).cast("long").cast("string")
     label = F.concat(F.col("product"), F.lit(" ("), F.coalesce(percent, F.lit("None")), F.lit("%)"))
     # At most ``limit`` rows are left, so the lists are bounded.
     entries = F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("last_seen_at")).alias("at"), "product_id", label.alias("label"))), False)

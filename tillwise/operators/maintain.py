@@ -10,7 +10,7 @@ from tillwise.functions.categories import (
 )
 from tillwise.functions.dates import in_date_range, instant, ms_between
 from tillwise.functions.text import blank_to_null, is_image, is_pdf, normalize_store_name, semantic_store_key
-from tillwise.operators.extract import clean_items, extract_receipts, sanitize_rows
+from tillwise.operators.extract import ITEM, clean_items, extract_receipts, sanitize_rows
 from tillwise.operators.stats import top_rows
 from tillwise.session import pin
 
@@ -82,9 +82,10 @@ def subcategory_error(rows: Column, category: Column) -> Column:
 
 def load_receipts(rows: DataFrame, as_of, currency: str = "kr") -> tuple[DataFrame, DataFrame]:
     """(receipts, rejects) from typed rows: ``receipt_id, total, date, store, receipt_category, raw_text,
-    receipt_subcategories``.
+    receipt_subcategories`` and, where there are any, ``line_items_raw``.
 
-    The category is inferred when none is given. Rows with an unreadable date or bad subcategories are rejected.
+    The category is inferred when none is given; items are cleaned against the total. Rows without a total, with an
+    unreadable date or with bad subcategories are rejected.
     A row without a date stays undated.
     """
     typed = F.coalesce(blank_to_null(F.col("receipt_category")), F.lit("")) != ""
@@ -94,7 +95,8 @@ def load_receipts(rows: DataFrame, as_of, currency: str = "kr") -> tuple[DataFra
         infer_category(store, F.lit(None).cast("string"), F.col("raw_text"), F.lit(None).cast("string")),
     )
     staged = rows.withColumn("_category", category).withColumn("_ts", F.trim("date").try_cast("timestamp"))
-    error = F.when(blank_to_null(F.col("date")).isNotNull() & F.col("_ts").isNull(), "invalid_date").otherwise(
+    bad_date = blank_to_null(F.col("date")).isNotNull() & F.col("_ts").isNull()
+    error = F.when(F.col("total").isNull(), "missing_total").when(bad_date, "invalid_date").otherwise(
         F.when(F.col("receipt_subcategories").isNotNull(), subcategory_error(F.col("receipt_subcategories"), F.col("_category")))
     )
     staged = staged.withColumn("error", error)
@@ -103,10 +105,11 @@ def load_receipts(rows: DataFrame, as_of, currency: str = "kr") -> tuple[DataFra
         "_rows",
         auto_subcategories(F.col("receipt_subcategories"), empty, empty, F.col("_category"), F.lit(False), F.col("total")),
     )
+    items = clean_items(F.col("line_items_raw"), F.col("total")) if "line_items_raw" in rows.columns else F.array().cast(f"array<{ITEM}>")
     receipts = good.select(
         "receipt_id", "total", F.col("_ts").alias("purchased_at"), F.col("store").alias("store_name"),
         F.col("_category").alias("receipt_category"), F.when(typed, MANUAL).otherwise(AUTO).alias("receipt_category_source"),
-        F.col("_rows").alias("receipt_subcategories"), F.lit(currency).alias("currency"), "raw_text",
+        F.col("_rows").alias("receipt_subcategories"), items.alias("line_items_raw"), F.lit(currency).alias("currency"), "raw_text",
         F.lit("done").alias("extract_status"), instant(as_of).alias("created_at"),
     )
     return receipts, staged.where("error is not null").select(*rows.columns, "error")

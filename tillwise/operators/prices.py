@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tillwise.config import Config
+from tillwise.functions.amounts import half_even
 from tillwise.functions.dates import days_before, instant, iso_week
 from tillwise.operators.stats import exact_medians, top_rows
 
@@ -57,8 +58,8 @@ def overpaid_items(
     order = [F.col("overpaid_pct").desc(), F.col("observed_at"), F.col("line_item_id")]
     best = with_product_names(top_rows(over, order, limit, keys), products, keys)
     return best.select(
-        *keys, "product", F.col("store_name").alias("store"), F.round("unit_price", places or 2).alias("unit_price"),
-        F.round("baseline", places or 2).alias("baseline"), F.round("overpaid_pct", places or 3).alias("overpaid_pct"),
+        *keys, "product", F.col("store_name").alias("store"), half_even("unit_price", places or 2).alias("unit_price"),
+        half_even("baseline", places or 2).alias("baseline"), half_even("overpaid_pct", places or 3).alias("overpaid_pct"),
         "observed_at", "line_item_id",
     )
 
@@ -97,8 +98,8 @@ def top_price_increases(
     )
     best = top_rows(rising, [F.col("increase_pct").desc(), F.col("product_id")], limit, keys)
     return with_product_names(best, products, keys).select(
-        *keys, "product", F.round("increase_pct", places or 3).alias("increase_pct"),
-        F.round("recent_median", places or 2).alias("recent_median"), F.round("prior_median", places or 2).alias("prior_median"),
+        *keys, "product", half_even("increase_pct", places or 3).alias("increase_pct"),
+        half_even("recent_median", places or 2).alias("recent_median"), half_even("prior_median", places or 2).alias("prior_median"),
         F.coalesce("_first.unit_type", F.lit("unknown")).alias("unit_type"), "observations",
     )
 
@@ -138,7 +139,7 @@ def best_store_by_item(
     )
     best = top_rows(found, [F.col("savings_pct").desc(), F.col("product_id")], limit, keys)
     return with_product_names(best, products, keys).select(
-        *keys, "product", F.col("_best._store").alias("best_store"), F.round("_best._median", places or 2).alias("best_median"),
-        F.round("overall_median", places or 2).alias("overall_median"), F.round("savings_pct", places or 3).alias("savings_pct"),
+        *keys, "product", F.col("_best._store").alias("best_store"), half_even("_best._median", places or 2).alias("best_median"),
+        half_even("overall_median", places or 2).alias("overall_median"), half_even("savings_pct", places or 3).alias("savings_pct"),
         F.coalesce("_unit.unit_type", F.lit("unknown")).alias("unit_type"),
     )

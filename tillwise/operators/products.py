@@ -15,7 +15,6 @@ from tillwise.functions.text import canonical_name, norm_name
 from tillwise.session import settle
 
 THRESHOLD = 0.75
-MAX_ROUNDS = 50
 # Characters from rare to common. Any fixed order gives the same pairs; this one keeps the blocks small.
 RARE_FIRST = "qjxzwkvfybhgmpudclnotirsae0123456789 "
 
@@ -71,14 +70,15 @@ def similar_pairs(names: DataFrame, surfaces: DataFrame) -> DataFrame:
     return candidates.withColumn("ratio", similarity("name", "surface")).where(F.col("ratio") >= THRESHOLD)
 
 
-def cluster_names(names: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def cluster_names(names: DataFrame) -> DataFrame:
     """Root name of every distinct name: (name, root, ratio).
 
     ``names`` has ``name`` (normalised, distinct, not empty), ``rank`` (arrival order), ``canonical`` (the
     normalised display name its product would get) and ``fixed_root`` (the root of a name that already belongs
     to a product, else null). The parent of a name is its most similar earlier surface, which is an earlier name or
     the display name of an earlier root; ties go to the product created first. Parents are followed to
-    their roots by doubling. Since ties and display names depend on the roots, this repeats until they are stable.
+    their roots by doubling. Since ties and display names depend on the roots, this repeats until they are stable. It
+    ends: the parent of a name depends on earlier names only, so each round settles at least the first unsettled name.
     """
     names = settle(names.select("name", "rank", "canonical", "fixed_root"))
     surfaces = names.select(F.col("name").alias("surface")).unionByName(
@@ -88,14 +88,13 @@ def cluster_names(names: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     same = open_names.select("name", F.col("name").alias("surface"), F.lit(1.0).alias("ratio"))
     pairs = settle(similar_pairs(open_names, surfaces).unionByName(same))
     roots = names.select("name", F.coalesce("fixed_root", "name").alias("root"), F.lit(None).cast("double").alias("ratio"))
-    for _ in range(max_rounds):
+    while True:
         updated = settle(_follow(_parents(names, pairs, roots)))
         before = roots.select("name", F.col("root").alias("_old"))
         stable = updated.join(before, "name").where("root <> _old").isEmpty()
         roots = updated
         if stable:
             return roots
-    raise RuntimeError(f"product roots did not settle in {max_rounds} rounds")
 
 
 def _parents(names: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:

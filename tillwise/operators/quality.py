@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tillwise.functions.amounts import half_even
 from tillwise.functions.categories import (
     category_key, effective_status, is_unknown_category, is_unknown_subcategory,
 )
@@ -46,7 +47,7 @@ def unknown_category_receipts(
     """Receipts without a usable category, newest first, undated last."""
     rows = receipts.where(is_unknown_category(F.col("receipt_category"))).select(*keys, *LIST_COLUMNS)
     newest = [F.col("purchased_at").desc_nulls_last(), F.col("receipt_id")]
-    return top_rows(rows, newest, limit, keys).withColumn("total", F.round("total", 2))
+    return top_rows(rows, newest, limit, keys).withColumn("total", half_even("total", 2))
 
 
 def _unknown_sum(totals):
@@ -91,7 +92,7 @@ def unknown_subcategory_items(
         F.min(F.struct(*seen, F.col("_name").alias("name"), F.col("_category").alias("category"), F.col("_store").alias("store"))).alias("_f"),
         F.min(F.when(F.col("purchased_at").isNotNull(), F.struct(*seen, "purchased_at"))).alias("_d"),
     )
-    rows = rows.withColumn("total", F.round("total", 2)).withColumn("item", F.col("_f.name"))
+    rows = rows.withColumn("total", half_even("total", 2)).withColumn("item", F.col("_f.name"))
     order = [F.col("total").desc(), F.col("count").desc(), F.col("item"), F.col("_key")]
     return top_rows(rows, order, limit, keys).select(
         *keys, "item", "total", "count", F.col("_f.category").alias("category"),
@@ -165,6 +166,6 @@ def processing_timing(
     ordered = F.sort_array(F.collect_list("seconds"))
     rank = F.bround((F.count(F.lit(1)) - 1) * F.lit(0.95), 0).cast("int")
     return exploded.groupBy(*keys, "g.group_kind", "g.group_value").agg(
-        F.count(F.lit(1)).alias("count"), F.round(F.avg("seconds"), places).alias("avg_s"),
-        F.round(F.median("seconds"), places).alias("median_s"), F.round(F.get(ordered, rank), places).alias("p95_s"),
+        F.count(F.lit(1)).alias("count"), half_even(F.avg("seconds"), places).alias("avg_s"),
+        half_even(F.median("seconds"), places).alias("median_s"), half_even(F.get(ordered, rank), places).alias("p95_s"),
     )

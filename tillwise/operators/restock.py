@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillwise.config import Config
-from tillwise.functions.amounts import clamp01, iqr_stability, recency_score
+from tillwise.functions.amounts import clamp01, half_even, iqr_stability, recency_score
 from tillwise.functions.dates import days_after, days_before, elapsed_days, instant
 from tillwise.functions.text import blank_to_null, norm_store_key
 from tillwise.operators.stats import exact_medians, nearest_rank, top_rows
@@ -187,10 +187,10 @@ def store_recommendation(
     recency = recency_score(elapsed_days(F.col("w.last_seen"), now))
     confidence = clamp01(sufficiency * (0.45 * margin + 0.30 * stability + 0.25 * recency))
     return rows.select(
-        *group, F.col("w.store").alias("store"), F.bround(confidence, places or 3).alias("confidence"),
-        F.col("w.unit_type").alias("unit_type"), F.round("w.median", places or 4).alias("winner_median"),
-        F.col("r.store").alias("runner_up_store"), F.round("r.median", places or 4).alias("runner_up_median"),
-        F.round("gap_pct", places or 4).alias("gap_pct"),
+        *group, F.col("w.store").alias("store"), half_even(confidence, places or 3).alias("confidence"),
+        F.col("w.unit_type").alias("unit_type"), half_even("w.median", places or 4).alias("winner_median"),
+        F.col("r.store").alias("runner_up_store"), half_even("r.median", places or 4).alias("runner_up_median"),
+        half_even("gap_pct", places or 4).alias("gap_pct"),
     )
 
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillwise.functions.amounts import half_even
 from tillwise.functions.categories import RESIDUAL_TOLERANCE, VICE_SUBCATEGORIES, category_key, key_of
 from tillwise.functions.dates import instant, iso_week, month_key, shift_month
 from tillwise.operators.stats import top_rows
@@ -136,7 +137,7 @@ def spend_by_category_periods(
 ) -> DataFrame:
     rows = category_period_totals(receipts, as_of, keys)
     return top_rows(rows, _period_order(), limit, keys).select(
-        *keys, "period", "category", "month", _month_start(), F.round("total", places).alias("total"), "receipt_count"
+        *keys, "period", "category", "month", _month_start(), half_even("total", places).alias("total"), "receipt_count"
     )
 
 
@@ -157,7 +158,7 @@ def spend_by_subcategory_periods(
 ) -> DataFrame:
     rows = subcategory_period_totals(receipts, as_of, keys)
     return top_rows(rows, _period_order(F.col("subcategory")), limit, keys).select(
-        *keys, "period", "category", "subcategory", "month", _month_start(), F.round("total", places).alias("total"),
+        *keys, "period", "category", "subcategory", "month", _month_start(), half_even("total", places).alias("total"),
         "receipt_count", F.col("subcategory").isin(*VICE_SUBCATEGORIES).alias("is_vice"),
     )
 

@@ -168,28 +168,35 @@ def _probe_keys(subsets: list[tuple[str, ...]]) -> Column:
     return F.filter(F.array(*probes), lambda k: k.isNotNull())
 
 
-def _address_matches(probes: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _address_matches(probes: DataFrame, candidates: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """(probe address, candidate address, level) for distinct addresses that share enough tokens.
 
-    At least 40 % of the probe's tokens must occur in the candidate, so one of its
-    ``n - ceil(.4 n) + 1`` rarest tokens does: only those are joined on, and only distinct addresses.
+    An address alone is never enough, so only rows that agree in another field are paired: a common word in addresses
+    brings no two places together. At least 40 % of the probe's tokens must occur in the candidate, so one of its
+    ``n - ceil(.4 n) + 1`` rarest tokens does: only those are joined on, and only distinct addresses per field value.
     """
     keys = list(keys)
-    left = probes.where(F.col("_addr").isNotNull()).select(*keys, "_addr").distinct()
-    right = candidates.where(F.col("_addr").isNotNull()).select(*keys, F.col("_addr").alias("_store_addr")).distinct()
-    left = left.withColumn("_lt", tokens_of(F.col("_addr"))).where(F.size("_lt") > 0)
-    right = right.withColumn("_rt", tokens_of(F.col("_store_addr"))).where(F.size("_rt") > 0)
-    postings = right.select(*keys, "_store_addr", "_rt", F.explode("_rt").alias("_t"))
-    frequency = postings.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = left.select(*keys, "_addr", "_lt", F.explode("_lt").alias("_t")).join(frequency, [*keys, "_t"], "left")
-    ordered = ranked.groupBy(*keys, "_addr", "_lt").agg(
+    given = F.filter(
+        F.array(*[F.concat(F.lit(f"{n}:"), F.col(f"_{n}")) for n in names]), lambda v: v.isNotNull()
+    )
+
+    def addresses(rows: DataFrame, name: str, tokens: str) -> DataFrame:
+        rows = rows.where(F.col("_addr").isNotNull()).select(*keys, F.col("_addr").alias(name), F.explode(given).alias("_f"))
+        return rows.distinct().withColumn(tokens, tokens_of(F.col(name))).where(F.size(tokens) > 0)
+
+    left, right = addresses(probes, "_addr", "_lt"), addresses(candidates, "_store_addr", "_rt")
+    postings = right.select(*keys, "_f", "_store_addr", "_rt", F.explode("_rt").alias("_t"))
+    frequency = postings.groupBy(*keys, "_f", "_t").agg(F.count(F.lit(1)).alias("_df"))
+    ranked = left.select(*keys, "_f", "_addr", "_lt", F.explode("_lt").alias("_t")).join(frequency, [*keys, "_f", "_t"], "left")
+    ordered = ranked.groupBy(*keys, "_f", "_addr", "_lt").agg(
         F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_t"))).alias("_o")
     )
     need = F.ceil(F.size("_lt") * F.lit(0.4)).cast("int")
     rare = F.slice("_o", F.lit(1), F.size("_lt") - need + 1)
     pairs = (
-        ordered.select(*keys, "_addr", "_lt", F.explode(rare).alias("_e")).select(*keys, "_addr", "_lt", F.col("_e._t").alias("_t"))
-        .join(postings, [*keys, "_t"])
+        ordered.select(*keys, "_f", "_addr", "_lt", F.explode(rare).alias("_e"))
+        .select(*keys, "_f", "_addr", "_lt", F.col("_e._t").alias("_t"))
+        .join(postings, [*keys, "_f", "_t"])
         .withColumn("_overlap", token_overlap(F.col("_lt"), F.col("_rt")))
         .where("_overlap >= 0.4")
     )
@@ -208,7 +215,7 @@ def _best_by_hints(
     with the kept ones gives the true best without pairing the members of a large group.
     """
     keys = list(keys)
-    matches = _address_matches(probes, candidates, keys)
+    matches = _address_matches(probes, candidates, keys, names)
     with_addr = [*names, "addr"]
     subsets = _subset_keys(with_addr, allowed)
     score_columns = [f"_{n}" for n in names]

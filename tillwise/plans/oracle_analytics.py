@@ -118,6 +118,16 @@ PLAN = """votes AS (SELECT * FROM recs WHERE round_even(confidence, 3) >= 0.75),
 plan AS (
   SELECT store, count(*) AS wins, row_number() OVER (ORDER BY count(*) DESC, min(product_id), store) AS place FROM votes GROUP BY 1
   QUALIFY place <= 2)"""
+PLANNED = """offer AS (SELECT v.product_id, v.store AS best, v.wm AS best_price, s.store, s.median, p.place
+  FROM votes v JOIN sp s USING (product_id) LEFT JOIN plan p ON p.store = s.store),
+wide AS (
+  SELECT product_id, best, any_value(best_price) AS best_price, max(CASE WHEN place = 1 THEN median END) AS primary_price,
+    max(CASE WHEN place = 1 THEN store END) AS primary_store, max(CASE WHEN store = best THEN place END) AS best_place,
+    arg_min(store, median) FILTER (place IS NOT NULL) AS cheapest FROM offer GROUP BY 1, 2),
+planned AS (
+  SELECT product_id, best, CASE WHEN (primary_price - best_price) / best_price <= 0.05 THEN primary_store WHEN best_place IS NOT NULL THEN best ELSE cheapest END AS planned_store
+  FROM wide WHERE planned_store IS NOT NULL)"""
+RUN_LEVELS = LEVELS.replace("SELECT o_custkey AS product_id", "SELECT o_custkey // 10 AS product_id", 1)
 CUSTOMER_LIST = """raw_list AS (
   SELECT 'i' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id, c_acctbal < 0 AS complete,
     CASE c_mktsegment WHEN 'MACHINERY' THEN lower(c_name) || ' @ AFRICA' WHEN 'FURNITURE' THEN '[Auto] ' || c_name END AS name, c_mktsegment
@@ -254,14 +264,7 @@ SELECT product_id, store, round(confidence, 8) AS confidence, 'pcs' AS unit_type
   round(rm, 8) AS runner_up_median, round(gap, 8) AS gap_pct FROM recs""",
     "plan_stores": f"WITH {OBS}, {STORE_PRICES}, {RECS}, {PLAN} SELECT store, wins, place FROM plan",
     "store_plan": f"""WITH {OBS}, {STORE_PRICES}, {RECS}, {PLAN},
-offer AS (SELECT v.product_id, v.store AS best, v.wm AS best_price, s.store, s.median, p.place
-  FROM votes v JOIN sp s USING (product_id) LEFT JOIN plan p ON p.store = s.store),
-wide AS (
-  SELECT product_id, best, any_value(best_price) AS best_price, max(CASE WHEN place = 1 THEN median END) AS primary_price,
-    max(CASE WHEN place = 1 THEN store END) AS primary_store, max(CASE WHEN store = best THEN place END) AS best_place,
-    arg_min(store, median) FILTER (place IS NOT NULL) AS cheapest FROM offer GROUP BY 1, 2)
-SELECT product_id, CASE WHEN (primary_price - best_price) / best_price <= 0.05 THEN primary_store WHEN best_place IS NOT NULL THEN best ELSE cheapest END AS planned_store, best
-FROM wide WHERE planned_store IS NOT NULL""",
+{PLANNED} SELECT product_id, planned_store, best FROM planned""",
     "reconcile_shopping_list": f"""WITH {STATE}, {CUSTOMER_LIST},
 list AS (SELECT id, name, c_mktsegment, lower(CASE c_mktsegment WHEN 'MACHINERY' THEN split_part(name, ' @ ', 1) ELSE name[8:] END) AS key FROM raw_list
   WHERE name IS NOT NULL AND NOT complete),
@@ -274,16 +277,26 @@ j AS (SELECT n.*, l.id, l.name AS old_name, l.c_mktsegment AS seg, s.tag_confide
 a AS (SELECT *, CASE WHEN id IS NULL THEN 'add' WHEN lower(old_name) = lower(new_name) THEN 'already_present'
   WHEN tagged AND (seg <> 'MACHINERY' OR sc >= greatest(0.75, coalesce(tag_confidence, 0) + 0.10::DOUBLE)) THEN 'rename' ELSE 'already_present' END AS action FROM j)
 SELECT product_id, action, new_name, old_name, CASE WHEN action <> 'add' THEN id END AS shopping_list_item_id, store FROM a""",
-    "auto_shopping_run": f"""WITH l AS (SELECT l_orderkey, o_custkey AS product_id, o_orderdate AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-{LEVELS.split(',', 1)[0].replace('buys AS (SELECT o_custkey AS product_id', 'buys AS (SELECT product_id')}, ts FROM l),
-{LEVELS.split('FROM orders),', 1)[1]}, {STATE}, {STATUSES}, {CUSTOMER_LIST},
-list AS (SELECT id, name, lower(CASE c_mktsegment WHEN 'MACHINERY' THEN split_part(name, ' @ ', 1) ELSE name END) AS key FROM raw_list WHERE name IS NOT NULL AND NOT complete)
-SELECT s.product_id, CASE WHEN l.id IS NULL THEN 'add' ELSE 'already_present' END AS action, l.name AS old_name,
-  l.id AS shopping_list_item_id, round_even(confidence, 2) AS confidence
-FROM statuses s JOIN customer ON c_custkey = s.product_id LEFT JOIN list l ON l.key = lower(c_name) WHERE status = 'candidate'""",
-    "auto_shopping_skipped": f"""WITH l AS (SELECT l_orderkey, o_custkey AS product_id, o_orderdate AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-{LEVELS.split(',', 1)[0].replace('buys AS (SELECT o_custkey AS product_id', 'buys AS (SELECT product_id')}, ts FROM l),
-{LEVELS.split('FROM orders),', 1)[1]}, {STATE}, {STATUSES} SELECT product_id, status FROM statuses WHERE status <> 'candidate'""",
+    "auto_shopping_run": f"""WITH {RUN_LEVELS}, {STATE}, {STATUSES}, {CUSTOMER_LIST},
+obs AS (
+  SELECT o_custkey // 10 AS product_id, CASE WHEN o_orderkey % 4 = 0 THEN 'MIDDLE EAST' WHEN o_orderkey % 2 = 0 THEN 'ASIA' ELSE 'AFRICA' END AS store_name,
+    o_orderdate AS observed_at, CAST(o_orderkey % 7 + CASE WHEN o_orderkey % 2 = 0 THEN 130 ELSE 100 END AS DOUBLE) AS unit_price, 90 AS confidence,
+    lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS line_item_id
+  FROM orders WHERE o_custkey // 10 IN (SELECT product_id FROM statuses WHERE status = 'candidate')),
+{STORE_PRICES}, {RECS}, {PLAN}, {PLANNED},
+list AS (SELECT id, name, c_mktsegment, lower(CASE c_mktsegment WHEN 'MACHINERY' THEN split_part(name, ' @ ', 1) ELSE name[8:] END) AS key FROM raw_list
+  WHERE name IS NOT NULL AND NOT complete),
+named AS (
+  SELECT s.product_id, coalesce(c_name, CAST(s.product_id AS VARCHAR)) AS name, s.confidence, planned_store AS store, round_even(r.confidence, 3) AS sc,
+    planned_store IS NOT NULL AND round_even(r.confidence, 3) >= 0.75 AS tagged
+  FROM statuses s LEFT JOIN customer ON c_custkey = s.product_id LEFT JOIN recs r ON r.product_id = s.product_id
+    LEFT JOIN planned p ON p.product_id = s.product_id WHERE status = 'candidate'),
+j AS (SELECT n.*, '[Auto] ' || n.name || CASE WHEN tagged THEN ' @ ' || store ELSE '' END AS new_name, l.id, l.name AS old_name, l.c_mktsegment AS seg, s.tag_confidence
+  FROM named n LEFT JOIN list l ON l.key = lower(n.name) LEFT JOIN state s ON s.product_id = n.product_id),
+a AS (SELECT *, CASE WHEN id IS NULL THEN 'add' WHEN lower(old_name) = lower(new_name) THEN 'already_present'
+  WHEN tagged AND (seg <> 'MACHINERY' OR sc >= greatest(0.75, coalesce(tag_confidence, 0) + 0.10::DOUBLE)) THEN 'rename' ELSE 'already_present' END AS action FROM j)
+SELECT product_id, action, new_name, old_name, CASE WHEN action <> 'add' THEN id END AS shopping_list_item_id, store, round_even(confidence, 3) AS confidence FROM a""",
+    "auto_shopping_skipped": f"WITH {RUN_LEVELS}, {STATE}, {STATUSES} SELECT product_id, status FROM statuses WHERE status <> 'candidate'",
     "inventory_recently_seen": f"""WITH s AS (SELECT user_id AS product_id, max(ts) AS seen, max(value) / 500 AS conf FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT product_id, c_name AS product, strftime(seen, {DAY}) AS last_seen_at, strftime(seen + INTERVAL 7 DAY, {DAY}) AS expires_at, round(conf, 3) AS confidence
 FROM s JOIN customer ON c_custkey = product_id WHERE seen + INTERVAL 7 DAY > {EVENTS_AS_OF} ORDER BY seen DESC, product_id""",

@@ -32,6 +32,9 @@ TOTAL_SCORE = """CASE WHEN contains(lower(line), 'subtotal') OR (loc = 'sv' AND
     OR (loc = 'sv' AND regexp_matches(lower(line), 'att betala|attbetala')) OR (loc = 'es' AND regexp_matches(lower(line), 'a pagar|importe total')) THEN 5 ELSE 0 END
   + CASE WHEN (loc = 'base' AND regexp_matches(lower(line), 'total|amount|balance|grand')) OR (loc = 'sv' AND regexp_matches(lower(line), 'summa|total|belopp'))
     OR (loc = 'es' AND regexp_matches(lower(line), 'total|importe|saldo')) THEN 3 ELSE 0 END END"""
+LOCAL_ORDERS = """WITH l AS (SELECT o_orderdate + CASE WHEN dst THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS t, o_totalprice AS total,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 'dining' ELSE 'grocery' END AS category
+  FROM (SELECT *, date_diff('hour', o_orderdate, timezone('Europe/Stockholm', timezone('UTC', o_orderdate))) = 2 AS dst FROM orders))"""
 READ_WORDS = "orgnr|org nr|tele|kvitto|receipt|moms|vat|summa|att betala|totalt|subtotal|växel|kort|kontant"
 STORES = """st AS (
   SELECT 's' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS store_entity_id, s_suppkey, 'Nation ' || n_nationkey AS chain_name, n_nationkey,
@@ -110,12 +113,12 @@ SELECT upload_id, chat_id, filename, size, fingerprint, CASE WHEN f = upload_id
     "file_names": "SELECT doc_id, 'Scan ' || doc_id || '.' || upper(lang) AS safe, '.' || lang AS ext, false AS is_pdf FROM documents",
     "load_receipts": f"""WITH r AS (
   SELECT o_orderkey AS receipt_id, o_orderdate, o_totalprice AS total, o_orderpriority AS p, o_orderstatus AS s, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey),
-e AS (SELECT *, CASE WHEN p = '5-LOW' THEN 'invalid_date' WHEN p = '1-URGENT' AND s = 'F' THEN 'not_allowed_for_category' END AS error,
+e AS (SELECT *, CASE WHEN receipt_id % 10 = 3 THEN 'missing_total' WHEN p = '5-LOW' THEN 'invalid_date' WHEN p = '1-URGENT' AND s = 'F' THEN 'not_allowed_for_category' END AS error,
   CASE p WHEN '1-URGENT' THEN 'dining' WHEN '2-HIGH' THEN 'grocery' ELSE CASE WHEN seg = 'BUILDING' OR s = 'O' THEN 'dining' ELSE 'grocery' END END AS category FROM r)
 SELECT receipt_id, CASE WHEN error IS NULL THEN strftime(o_orderdate, {DAY}) END AS purchased_at, CASE WHEN error IS NULL THEN category END AS receipt_category,
   CASE WHEN error IS NULL THEN CASE WHEN p IN ('1-URGENT', '2-HIGH') THEN 'manual' ELSE 'auto' END END AS receipt_category_source,
   CASE WHEN error IS NULL THEN CASE WHEN p = '2-HIGH' AND s = 'F' THEN 'dairy' ELSE 'unclassified' END END AS subcategory,
-  CASE WHEN error IS NULL THEN CASE WHEN p = '2-HIGH' AND s = 'F' THEN 5 ELSE total END END AS sub_total, error FROM e""",
+  CASE WHEN error IS NULL THEN CASE WHEN p = '2-HIGH' AND s = 'F' THEN 5 ELSE total END END AS sub_total, CASE WHEN error IS NULL THEN 'Milk' END AS items, error FROM e""",
     "load_snapshot": f"""SELECT CAST(o_orderkey AS VARCHAR) AS receipt_id, strftime(o_orderdate, {DAY}) AS purchased_at,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'dining' WHEN '2-HIGH' THEN 'grocery' END AS receipt_category,
   CASE WHEN o_orderpriority = '5-LOW' THEN 'pending' ELSE 'done' END AS extract_status,
@@ -276,11 +279,11 @@ UNION ALL SELECT 'inventory_images', count(*) FROM pages UNION ALL SELECT 'activ
   receipt_category_source, filename, customer_id, extract_status FROM receipts WHERE receipts.purchased_at >= TIMESTAMP '2001-07-01' AND receipts.purchased_at < TIMESTAMP '2001-07-11'""",
     "in_date_range": "SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW' OR (o_orderdate >= TIMESTAMP '2000-06-01' AND o_orderdate < TIMESTAMP '2000-07-01')",
     "stream_ingest_files": "SELECT DISTINCT 'sha256:' || sha256(text) AS fingerprint FROM documents",
-    "stream_spend_by_week": f"""WITH l AS (SELECT o_orderdate + CASE WHEN dst THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS t, o_totalprice AS total,
-    CASE WHEN o_orderpriority = '1-URGENT' THEN 'dining' ELSE 'grocery' END AS category
-  FROM (SELECT *, date_diff('hour', o_orderdate, timezone('Europe/Stockholm', timezone('UTC', o_orderdate))) = 2 AS dst FROM orders))
+    "stream_spend_by_week": f"""{LOCAL_ORDERS}
 SELECT strftime(date_trunc('week', t), {DAY}) AS week_start, category, round(sum(total), 2) AS total, count(*) AS receipt_count FROM l
 GROUP BY date_trunc('week', t), category""",
+    "stream_spend_by_month": f"""{LOCAL_ORDERS}
+SELECT strftime(t, '%Y-%m') AS month, category, round(sum(total), 2) AS total, count(*) AS receipt_count FROM l GROUP BY 1, 2""",
     "stream_observations": f"""SELECT l_orderkey AS receipt_id, {LINE_ID} AS line_item_id, 'Store ' || (o_custkey % 40) AS store_name, l_extendedprice / l_quantity AS unit_price
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "write_tables": "SELECT strftime(o_orderdate, '%Y-%m') AS purchase_month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
@@ -293,6 +296,9 @@ UNION ALL SELECT 'line_items', count(*) FROM lineitem JOIN orders ON l_orderkey
     "undo_shopping_run": """SELECT 'i' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS id,
   CASE WHEN c_acctbal < 0 THEN 'renamed since' WHEN c_mktsegment = 'MACHINERY' THEN c_name ELSE c_name || ' @ X' END AS name, false AS complete
 FROM customer WHERE c_mktsegment <> 'FURNITURE'""",
+    "undo_state": f"""SELECT CAST(c_custkey AS VARCHAR) AS product_id, CASE WHEN c_mktsegment IN ('FURNITURE', 'MACHINERY') THEN 'run' ELSE 'image' END AS of,
+  strftime(TIMESTAMP '2000-01-01' + to_days(CAST(c_custkey AS INTEGER)), {DAY}) AS at, CASE WHEN c_mktsegment IN ('FURNITURE', 'MACHINERY') THEN c_mktsegment END AS tag,
+  c_acctbal AS confidence FROM customer""",
     "stream_activity_counts": f"""SELECT strftime(date_trunc('day', ts), {DAY}) AS window_start, event_type AS kind, count(*) AS n FROM events
 GROUP BY date_trunc('day', ts), event_type""",
 }

@@ -279,17 +279,25 @@ def reconcile_shopping_list(spark, d):
 
 
 def _run(spark, d):
-    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("receipt_id"), F.col("o_custkey").alias("customer"))
-    obs = tables.observations(spark, d).join(orders, "receipt_id").withColumn("product_id", F.col("customer")).drop("customer")
+    """A restock run over orders as purchases: ten customers share a product, two stores (one known under an alias) sell it."""
+    key, even = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
+    obs = load(spark, d, "orders").select(
+        F.floor(F.col("o_custkey") / 10).alias("product_id"), F.when(key % 4 == 0, "MIDDLE EAST").when(even, "ASIA").otherwise("AFRICA").alias("store_name"),
+        F.col("o_orderdate").alias("observed_at"), (key % 7 + F.when(even, 130).otherwise(100)).cast("double").alias("unit_price"), F.lit("pcs").alias("unit_type"),
+        F.lit(90).alias("confidence"), F.format_string("%012d", key).alias("line_item_id"),
+    )
     products = load(spark, d, "customer").select(F.col("c_custkey").alias("product_id"), F.col("c_name").alias("canonical_name"))
     return shopping.auto_shopping_run(
-        obs, products, _customer_state(spark, d), _customer_list(spark, d), AS_OF, LOW_BAR, _aliases(spark, d)
+        obs, products, _customer_state(spark, d), _customer_list(spark, d), AS_OF, MARKED_LOW_BAR, _aliases(spark, d)
     )
 
 
+MARKED_LOW_BAR = Config(item_marker="[Auto]", restock_confidence=0.5)
+
+
 def auto_shopping_run(spark, d):
     return _run(spark, d)["decisions"].select(
-        "product_id", "action", "old_name", "shopping_list_item_id", F.round("confidence", 2).alias("confidence")
+        "product_id", "action", "new_name", "old_name", "shopping_list_item_id", "store", "confidence"
     )
 
 

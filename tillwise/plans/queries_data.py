@@ -98,7 +98,9 @@ def load_receipts(spark, d):
     rows = load(spark, d, "orders").join(
         load(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey"
     ).select(
-        F.col("o_orderkey").alias("receipt_id"), F.col("o_totalprice").alias("total"),
+        F.col("o_orderkey").alias("receipt_id"), F.when(F.col("o_orderkey") % 10 != 3, F.col("o_totalprice")).alias("total"),
+        F.array(*[F.struct(F.lit(name).alias("raw_name"), F.lit(price).alias("line_total"), F.lit("2 st").alias("qty_raw"), F.lit(None).cast("double").alias("unit_price_raw"))
+                  for name, price in ((" Milk ", 1.5), ("Too dear", 1e9))]).alias("line_items_raw"),
         F.when(F.col("o_orderpriority") == "5-LOW", "not a date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"),
         F.when(F.col("c_mktsegment") == "BUILDING", "Pizza Corner").otherwise(F.initcap("c_mktsegment")).alias("store"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "Take-Away").when(F.col("o_orderpriority") == "2-HIGH", "groceries").alias("receipt_category"),
@@ -112,7 +114,7 @@ def load_receipts(spark, d):
     first = F.get("receipt_subcategories", F.lit(0))
     return good.select(
         "receipt_id", day("purchased_at"), "receipt_category", "receipt_category_source",
-        first["subcategory"].alias("subcategory"), first["total"].alias("sub_total"), _none().alias("error"),
+        first["subcategory"].alias("subcategory"), first["total"].alias("sub_total"), F.array_join(F.transform("line_items_raw", lambda i: i.raw_name), "|").alias("items"), _none().alias("error"),
     ).unionByName(bad.select("receipt_id", "error"), allowMissingColumns=True)
 
 
@@ -604,14 +606,24 @@ def _drain(spark, stream: DataFrame, keys: list[str]) -> DataFrame:
     return jobs.latest(spark, f"{base}/rows", stream.schema, keys)
 
 
-def stream_spend_by_week(spark, d):
+def _order_stream(spark, d):
     schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
-    receipts = _stream(spark, d, "orders", schema).select(
+    return _stream(spark, d, "orders", schema).select(
         F.col("o_orderdate").alias("purchased_at"), F.col("o_totalprice").alias("total"), F.when(F.col("o_orderpriority") == "1-URGENT", "dining").otherwise("grocery").alias("receipt_category"))
-    weeks = jobs.stream_spend_by_week(receipts, "Europe/Stockholm")
+
+
+def stream_spend_by_week(spark, d):
+    weeks = jobs.stream_spend_by_week(_order_stream(spark, d), "Europe/Stockholm")
     return _drain(spark, weeks, ["week_start", "category"]).select(day("week_start"), "category", F.round("total", 2).alias("total"), "receipt_count")
 
 
+def stream_spend_by_month(spark, d):
+    """Running days, rolled up to months when they are read."""
+    days = jobs.stream_spend_by_day(_order_stream(spark, d), "Europe/Stockholm")
+    months = jobs.months_of(_drain(spark, days, ["day_start", "category"]))
+    return months.select("month", "category", F.round("total", 2).alias("total"), "receipt_count")
+
+
 def stream_activity_counts(spark, d):
     schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
     rows = _stream(spark, d, "events", schema).select(F.col("ts").alias("timestamp"), F.col("event_type").alias("kind"))
@@ -683,6 +695,23 @@ def undo_shopping_run(spark, d):
     return activities.undo_shopping_run(log, entries.select("id", "name", "complete"))
 
 
+def undo_state(spark, d):
+    """What undone runs (of furniture and machinery buyers) and undone image analyses (of the others) give back."""
+    buyers = load(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("product_id"), "c_mktsegment", "c_acctbal")
+    in_runs = F.col("c_mktsegment").isin("FURNITURE", "MACHINERY")
+    stamp = F.timestamp_seconds(F.lit(946684800) + F.col("product_id").cast("long") * 86400)
+    before = F.struct(stamp.alias("last_auto_added_at"), F.col("c_mktsegment").alias("last_store_tag"), F.col("c_acctbal").alias("last_store_tag_confidence"))
+    seen = F.struct(stamp.alias("last_seen_at"), F.col("c_acctbal").alias("last_seen_confidence"))
+    runs = buyers.where(in_runs).select(
+        F.lit("shopping_list_auto_run").alias("kind"), F.to_json(F.struct(F.array(F.struct("product_id", before.alias("previous"))).alias("shopping_state_updates"))).alias("payload"))
+    images = buyers.where(~in_runs).select(
+        F.lit("inventory_image_analyzed").alias("kind"), F.to_json(F.struct(F.array(F.struct("product_id", seen.alias("previous"))).alias("boosts"))).alias("payload"))
+    log = runs.unionByName(images)
+    state = activities.undone_shopping_state(log).select("product_id", F.lit("run").alias("of"), day("last_auto_added_at").alias("at"), F.col("last_store_tag").alias("tag"), F.col("last_store_tag_confidence").alias("confidence"))
+    evidence = activities.undone_evidence(log).select("product_id", F.lit("image").alias("of"), day("last_seen_at").alias("at"), _none().alias("tag"), F.col("last_seen_confidence").alias("confidence"))
+    return state.unionByName(evidence)
+
+
 QUERIES = {
     f.__name__: f for f in (
         scan_receipt_files, scan_inventory_images, known_fingerprints, new_files_only, dedupe_by_content, ingest_uploads, classify_upload, file_names,
@@ -693,7 +722,7 @@ QUERIES = {
         store_usage, dedupe_stores, dedupe_stores_strict, dedupe_stores_chain_only, dedupe_report, learn_store_alias, auto_category,
         auto_subcategories, sanitize_subcategories, apply_receipt_updates, delete_receipts, reparse_receipts, semantic_duplicates,
         merge_semantic_duplicates, extraction_backlog, image_backlog, stuck_receipts, reset_stuck_receipts, mark_extract_failed, export_counts,
-        export_receipts, in_date_range, stream_spend_by_week, stream_activity_counts, stream_ingest_files, stream_observations,
-        write_tables, emit_activity, undo_receipts, undo_extraction, undo_shopping_run,
+        export_receipts, in_date_range, stream_spend_by_week, stream_spend_by_month, stream_activity_counts, stream_ingest_files, stream_observations,
+        write_tables, emit_activity, undo_receipts, undo_extraction, undo_shopping_run, undo_state,
     )
 }
