@@ -298,13 +298,13 @@ a AS (SELECT *, CASE WHEN id IS NULL THEN 'add' WHEN lower(old_name) = lower(new
 SELECT product_id, action, new_name, old_name, CASE WHEN action <> 'add' THEN id END AS shopping_list_item_id, store, round_even(confidence, 3) AS confidence FROM a""",
     "auto_shopping_skipped": f"WITH {RUN_LEVELS}, {STATE}, {STATUSES} SELECT product_id, status FROM statuses WHERE status <> 'candidate'",
     "inventory_recently_seen": f"""WITH s AS (SELECT user_id AS product_id, max(ts) AS seen, max(value) / 500 AS conf FROM events WHERE event_type = 'view' GROUP BY 1)
-SELECT product_id, c_name AS product, strftime(seen, {DAY}) AS last_seen_at, strftime(seen + INTERVAL 7 DAY, {DAY}) AS expires_at, round(conf, 3) AS confidence
+SELECT product_id, c_name AS product, strftime(seen, {DAY}) AS last_seen_at, strftime(seen + INTERVAL 7 DAY, {DAY}) AS expires_at, round_even(conf, 3) AS confidence
 FROM s JOIN customer ON c_custkey = product_id WHERE seen + INTERVAL 7 DAY > {EVENTS_AS_OF} ORDER BY seen DESC, product_id""",
     "inventory_by_day": f"""WITH s AS (SELECT user_id AS product_id, max(ts) AS seen, max(value) / 500 AS conf FROM events WHERE event_type = 'view' GROUP BY 1),
-top AS (SELECT product_id, c_name, seen, round(conf, 3) AS conf FROM s JOIN customer ON c_custkey = product_id
+top AS (SELECT product_id, c_name, seen, round_even(conf, 3) AS conf FROM s JOIN customer ON c_custkey = product_id
   WHERE seen + INTERVAL 7 DAY > {EVENTS_AS_OF} ORDER BY seen DESC, product_id LIMIT 50)
 SELECT CAST(CAST(seen AS DATE) AS VARCHAR) AS day, count(*) AS n,
-  string_agg(c_name || ' (' || CAST(round(conf * 100) AS BIGINT) || '%)', '; ' ORDER BY seen DESC, product_id DESC) AS items FROM top GROUP BY 1""",
+  string_agg(c_name || ' (' || CAST(round_even(conf * 100, 0) AS BIGINT) || '%)', '; ' ORDER BY seen DESC, product_id DESC) AS items FROM top GROUP BY 1""",
     "apply_inventory_evidence": f"""WITH a AS (SELECT user_id AS product_id, max(greatest(0, least(1, value / 500))) AS c FROM events GROUP BY 1),
 s AS (SELECT user_id AS product_id, max(ts) AS seen, max(value) / 500 AS conf FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT product_id, round(greatest(c, coalesce(conf, 0)), 6) AS last_seen_confidence, strftime({EVENTS_AS_OF}, {DAY}) AS last_seen_at,
