@@ -35,6 +35,7 @@ TOTAL_SCORE = """CASE WHEN contains(lower(line), 'subtotal') OR (loc = 'sv' AND
 LOCAL_ORDERS = """WITH l AS (SELECT o_orderdate + CASE WHEN dst THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS t, o_totalprice AS total,
     CASE WHEN o_orderpriority = '1-URGENT' THEN 'dining' ELSE 'grocery' END AS category
   FROM (SELECT *, date_diff('hour', o_orderdate, timezone('Europe/Stockholm', timezone('UTC', o_orderdate))) = 2 AS dst FROM orders))"""
+ITEM_LINES = LINES.replace("receipt_id, text,", """receipt_id, concat_ws(chr(10), text, 'Brown bread ' || (doc_id % 9 + 1) || ' pcs  ' || (doc_id % 50 + 1) || ',' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0')) AS text,""", 1)
 READ_WORDS = "orgnr|org nr|tele|kvitto|receipt|moms|vat|summa|att betala|totalt|subtotal|växel|kort|kontant"
 STORES = """st AS (
   SELECT 's' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS store_entity_id, s_suppkey, 'Nation ' || n_nationkey AS chain_name, n_nationkey,
@@ -137,7 +138,7 @@ a AS (SELECT *, {parse_amount('v')} AS amount FROM v),
 best AS (SELECT receipt_id, amount FROM a WHERE score > 0 AND amount IS NOT NULL QUALIFY row_number() OVER (PARTITION BY receipt_id ORDER BY score DESC, idx DESC, i) = 1),
 largest AS (SELECT receipt_id, max(amount) AS amount FROM a GROUP BY 1)
 SELECT doc.receipt_id, coalesce(best.amount, largest.amount) AS found_total FROM doc LEFT JOIN best USING (receipt_id) LEFT JOIN largest USING (receipt_id)""",
-    "extract_items_documents": rf"""WITH {LINES}, c AS (
+    "extract_items_documents": rf"""WITH {ITEM_LINES}, c AS (
   SELECT receipt_id, idx, lower(line) AS low, regexp_extract(line, '^(.*?)(-?{AMOUNT})\s*$', 1) AS head, regexp_extract(line, '^(.*?)(-?{AMOUNT})\s*$', 2) AS v
   FROM lines WHERE regexp_matches(line, '{AMOUNT}\s*$') AND NOT regexp_matches(lower(line), '^(---|===|\*\*\*)') AND NOT regexp_matches(lower(line), '{READ_WORDS}')),
 i AS (SELECT *, regexp_replace(trim(head), '\s\s+', ' ', 'g') AS raw_name, {parse_amount('v')} AS line_total,

@@ -161,7 +161,11 @@ def extract_total_documents(spark, d):
 
 
 def extract_items_documents(spark, d):
-    found = extract.with_items(extract.with_lines(_documents(spark, d)))
+    """Whole documents with an item line of their own at the end."""
+    number = F.col("receipt_id")
+    item = F.format_string("Brown bread %d pcs  %d,%02d", number % 9 + 1, number % 50 + 1, number % 100)
+    docs = _documents(spark, d).withColumn("text", F.concat_ws("\n", "text", item))
+    found = extract.with_items(extract.with_lines(docs))
     return found.select("receipt_id", F.inline("found_items")).select("receipt_id", "raw_name", "line_total", "qty_raw")
 
 
