@@ -159,6 +159,12 @@ SELECT receipt_id, raw_name, line_total, qty_raw FROM i WHERE line_total IS NOT
   CASE WHEN o_orderpriority = '1-URGENT' THEN 1 WHEN o_orderstatus <> 'F' THEN 0 END AS n_items, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Latte' END AS first_item,
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'dining' END AS receipt_category_model,
   CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice + 1 <= 50000 THEN 'bar_pub' END AS subcategory_model FROM orders""",
+    "intake_receipts": """WITH r AS (SELECT o_orderkey AS receipt_id, o_orderpriority = '1-URGENT' AS model, o_orderstatus AS s, o_totalprice,
+  CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice + 1 <= 50000 THEN round(o_totalprice + 1, 2) ELSE o_totalprice END AS total FROM orders)
+SELECT receipt_id, total, CASE WHEN model THEN 'Nation 3' WHEN s = 'F' THEN 'WILLYS Helsingborg' ELSE 'Corner Market' END AS store_name,
+  CASE WHEN model AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = 3) THEN 'chain' ELSE 'new' END AS match_kind,
+  CASE WHEN model THEN 'dining' ELSE 'grocery' END AS receipt_category,
+  CASE WHEN model AND o_totalprice + 1 <= 50000 THEN 'bar_pub' WHEN total > 0 THEN 'unclassified' END AS subcategory, true AS has_store FROM r""",
     "clean_line_items": f"""WITH i AS (
   SELECT {LINE_ID} AS line_item_id, p_type, l_extendedprice AS line_total, o_totalprice / 4 AS total,
     CASE p_type WHEN 'LARGE' THEN 'Rabatt total ' || p_name ELSE p_name END AS raw_name

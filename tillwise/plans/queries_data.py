@@ -13,6 +13,7 @@ from tillwise.functions.locale import locale_id
 from tillwise.operators import activities, derive, extract, maintain, products, stores
 from tillwise.plans import driver_tables as tables
 from tillwise.plans.driver_tables import AS_OF, load
+from tillwise.plans.intake import intake
 from tillwise.plans.queries_analytics import day
 from tillwise.session import ensure_checkpoint_dir, spread
 from tillwise.sources import documents, export, files
@@ -255,6 +256,16 @@ def extract_receipts(spark, d):
     )
 
 
+def intake_receipts(spark, d):
+    """The receipts of the whole intake: ICA MAXI is an alias of a known chain, the other two names are new stores."""
+    aliases = load(spark, d, "region").where("r_regionkey = 0").select(F.lit("ica maxi").alias("key"), F.lit("Nation 3").alias("canonical"))
+    docs = _receipt_inputs(spark, d).withColumn("arrival", F.col("receipt_id"))
+    rows = intake(docs, tables.stores(spark, d), aliases, AS_OF)["receipts"]
+    first = F.get("receipt_subcategories", F.lit(0))
+    return rows.select("receipt_id", F.round("total", 2).alias("total"), "store_name", "match_kind", "receipt_category", first["subcategory"].alias("subcategory"),
+                       (F.length("store_entity_id") > 0).alias("has_store"))
+
+
 def sanitize_model_fields(spark, d):
     answers = spread(load(spark, d, "orders")).select(F.col("o_orderkey").alias("receipt_id"), _answer().alias("answer"))
     rows = extract.sanitize_model_fields(documents.parse_model_json(answers, "answer"), AS_OF)
@@ -720,7 +731,7 @@ QUERIES = {
     f.__name__: f for f in (
         scan_receipt_files, scan_inventory_images, known_fingerprints, new_files_only, dedupe_by_content, ingest_uploads, classify_upload, file_names,
         load_receipts, load_snapshot, parse_model_json, low_text_quality, extract_total_documents, extract_items_documents,
-        extract_amounts_documents, extract_total, extract_date, extract_store, extract_line_items, extract_receipts, sanitize_model_fields,
+        extract_amounts_documents, extract_total, extract_date, extract_store, extract_line_items, extract_receipts, intake_receipts, sanitize_model_fields,
         clean_line_items, coerce_line_items, names, alcohol_class, store_names, store_tags, unit_prices, parsed_amounts, scores, categories,
         failure_reasons, locale_choice, match_products, derive_observations, match_stores, new_stores, enrich_stores, infer_store_from_history,
         store_usage, dedupe_stores, dedupe_stores_strict, dedupe_stores_chain_only, dedupe_report, learn_store_alias, auto_category,
