@@ -164,3 +164,9 @@ def test_aliases_learnt(spark):
     aliases = spark.createDataFrame([("willy s", "Old")], "key string, canonical string")
     fixes = spark.createDataFrame([("WILLY:S", "Willys", 1), ("WILLY:S", "Willys City", 2), ("x", "x", 3)], "old_name string, new_name string, corrected_at long")
     assert {r.key: r.canonical for r in stores.learn_store_aliases(aliases, fixes).collect()} == {"willy s": "Willys City"}
+
+
+def test_addresses_pair_only_where_a_field_agrees(spark):
+    rows = spark.range(400).selectExpr("concat('house', id, ' street') as _addr", "concat('town', id) as _city", "cast(null as string) as _postal")
+    found = stores._address_matches(rows, rows, [], ["postal", "city"])
+    assert found.count() == 400 and found.where("_addr = _store_addr").count() == 400
