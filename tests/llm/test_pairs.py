@@ -149,6 +149,35 @@ def test_dense_group_of_vectors(spark):
     assert all(r.component_id == 0 for r in dense) and sum(r.n_links for r in dense) > 0.5 * 600 * 599
 
 
+def against_brute_force(spark, x, block):
+    """(n_links, component_id) of embedding_dedup and of all pairs, for vectors with ids 0, 1, ..."""
+    rows = [(i, v) for i, v in enumerate(x.tolist())]
+    out = ed.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=block)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in out.collect())
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    link = unit @ unit.T >= 0.9
+    label = np.arange(len(x))
+    while (low := np.array([label[near].min() for near in link])).tolist() != label.tolist():
+        label = low
+    return got, [(i, int(n), int(c)) for i, (n, c) in enumerate(zip(link.sum(1) - 1, label))]
+
+
+def around(rng, n, dim, cosine):
+    """n vectors around one direction whose mean cosine with each other is ``cosine``."""
+    centre = np.zeros(dim)
+    centre[0] = np.sqrt(cosine)
+    away = rng.standard_normal((n, dim))
+    away[:, 0] = 0
+    return centre + np.sqrt(1 - cosine) * away / np.sqrt((away * away).sum(1, keepdims=True))
+
+
+def test_dense_group_many_windows_wide_is_counted_whole(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([around(rng, 1000, 32, 0.95), rng.standard_normal((2000, 32))])[rng.permutation(3000)]
+    got, want = against_brute_force(spark, x, 64)
+    assert got == want
+
+
 def test_passes_grow_with_the_table():
     assert ed.passes_for(100) == 4 and ed.passes_for(10**5) < ed.passes_for(10**7) < ed.passes_for(10**9)
 

@@ -2,8 +2,9 @@
 
 In each pass the vectors are put in lexicographic order of the signs of seeded random projections (32 signs, as one
 number), the order is cut into blocks of ``BLOCK`` vectors, and each block is compared with itself and the next one by
-cosine in double precision. Every vector carries its block of every pass, so a pair met in several passes is counted
-in the first only and no list of pairs is ever written. Links of all passes are united into components.
+cosine in double precision. Vectors that these links connect are one cluster; clusters are cut into blocks of their
+own, and each pair of blocks is one task that counts its links. Every pair of a cluster is so compared exactly once
+and no list of pairs is ever written: n_links misses nothing inside a cluster, however many vectors it has.
 
 The number of passes follows from the number of vectors: a pair at the threshold agrees on the signs that single out
 a block with a known probability, and enough passes are made to meet such a pair with probability ``RECALL``.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tillwise.llm.common import components, local_labels
 from tillwise.session import settle
 
-THRESHOLD, BLOCK, RECALL, SIGNS, SEED, PER_JOB = 0.9, 512, 0.995, 32, 77, 4
+THRESHOLD, BLOCK, RECALL, SIGNS, SEED, PER_JOB, STRIP, WIDE = 0.9, 512, 0.995, 32, 77, 4, 256, 4
 
 
 def passes_for(n: int, block: int = BLOCK, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -79,39 +80,78 @@ def _blocks(codes: DataFrame, block: int) -> DataFrame:
     return ordered.join(counts, ["dim", "pass", "part"]).select("key", "pass", F.floor((F.col("at") + F.col("shift")) / block).cast("long").alias("block"))
 
 
-def _links(rows: DataFrame, lo: int, hi: int, threshold: float) -> DataFrame:
-    """(key, other, n): per block, key's links into the block met there first, and one link of a spanning forest."""
+def _unit(table: pa.Table) -> np.ndarray:
+    """The vectors of ``table``, all of one length, scaled to norm 1."""
+    x = table.column("embedding").combine_chunks().flatten().to_numpy().astype(float).reshape(table.num_rows, -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _met(rows: DataFrame, lo: int, hi: int, threshold: float) -> DataFrame:
+    """(a, b): per pass and block, one link of a spanning forest for each vector linked within it and the next block."""
     wide = rows.select("*", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("pass"))
     own = F.get("blocks", F.col("pass"))
-    wide = wide.select("key", "dim", "embedding", "weight", "blocks", "pass", F.explode(F.array(own, own - 1)).alias("group"), own.alias("own")).where("group >= 0")
+    wide = wide.select("key", "dim", "embedding", "pass", F.explode(F.array(own, own - 1)).alias("group"), own.alias("own")).where("group >= 0")
 
     def compare(table: pa.Table) -> pa.Table:
-        at = table.column("pass")[0].as_py()
         group = table.column("group")[0].as_py()
         table = table.take(pa.array(np.argsort(table.column("own").to_numpy(), kind="stable")))
         first = int((table.column("own").to_numpy() == group).sum())
         if not first:
-            return pa.Table.from_pydict({"key": [], "other": [], "n": []}, schema=schema)
-        dim = table.column("dim")[0].as_py()
-        x = table.column("embedding").combine_chunks().flatten().to_numpy().astype(float).reshape(-1, dim)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-        weight = table.column("weight").to_numpy()
-        blocks = table.column("blocks").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
+            return schema.empty_table()
+        x = _unit(table)
         a, b = np.nonzero(x[:first] @ x.T >= threshold)
         a, b = a[b > a], b[b > a]
-        new = np.ones(len(a), bool)
-        for q in range(at):
-            new &= np.abs(blocks[a, q] - blocks[b, q]) > 1
-        a, b = a[new], b[new]
-        n = np.bincount(a, weight[b], len(x)) + np.bincount(b, weight[a], len(x))
         label = local_labels(len(x), a, b)
-        some = np.flatnonzero(n)
+        some = np.flatnonzero(label != np.arange(len(x)))
+        key = table.column("key")
+        return pa.Table.from_arrays([key.take(pa.array(some)), key.take(pa.array(label[some]))], schema=schema)
+
+    schema = pa.schema([("a", pa.string()), ("b", pa.string())])
+    return wide.groupBy("dim", "pass", "group").applyInArrow(compare, "a string, b string")
+
+
+def _links(classes: DataFrame, clusters: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+    """(key, other, n): key's links in each pair of blocks of its cluster, and one link of a spanning forest there.
+
+    Clusters of one block share tasks of a few blocks, so that many small clusters are not many tasks.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    packs = max(1, n // block)
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("string")).otherwise(F.col("cluster"))
+    rows = classes.select("key", "dim", "embedding", "weight").join(clusters.join(sizes, "cluster"), "key")
+    rows = rows.withColumn("pack", pack).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    wide = rows.select("key", "dim", "embedding", "weight", "cluster", "pack", "block", F.explode(pair).alias("p"))
+    wide = wide.select("key", "dim", "embedding", "weight", "cluster", "pack", "block", "p.i", "p.j")
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        table = table.sort_by([("cluster", "ascending"), ("block", "ascending")])
+        x, weight, block_of = _unit(table), table.column("weight").to_numpy(), table.column("block").to_numpy()
+        cluster = table.column("cluster").combine_chunks().dictionary_encode().indices.to_numpy()
+        edges = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1], True])
+        count, label = np.zeros(len(x), np.int64), np.arange(len(x))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            mid = lo + int((block_of[lo:hi] == i).sum())
+            right = lo if i == j else mid
+            root = np.arange(hi - lo)
+            for r in range(lo, mid, STRIP):  # a strip of rows at a time, so that the working arrays stay small
+                top = min(mid, r + STRIP)
+                a, b = np.nonzero(x[r:top] @ x[right:hi].T >= threshold)
+                a, b = a + r - lo, b + right - lo
+                if i == j:
+                    a, b = a[a < b], b[a < b]
+                count[lo:hi] += np.bincount(a, weight[lo:hi][b], hi - lo).astype(np.int64) + np.bincount(b, weight[lo:hi][a], hi - lo).astype(np.int64)
+                known = np.flatnonzero(root != np.arange(hi - lo))
+                root = local_labels(hi - lo, np.r_[known, a], np.r_[root[known], b])
+            label[lo:hi] = root + lo
+        some = np.flatnonzero(count)
         key = table.column("key")
-        return pa.Table.from_arrays([key.take(pa.array(some)), key.take(pa.array(label[some])), pa.array(n[some].astype(np.int64))], schema=schema)
+        return pa.Table.from_arrays([key.take(pa.array(some)), key.take(pa.array(label[some])), pa.array(count[some])], schema=schema)
 
     schema = pa.schema([("key", pa.string()), ("other", pa.string()), ("n", pa.int64())])
-    return wide.groupBy("dim", "pass", "group").applyInArrow(compare, "key string, other string, n long")
+    return wide.groupBy("dim", "pack", "i", "j").applyInArrow(compare, "key string, other string, n long")
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, recall: float = RECALL, seed: int = SEED) -> DataFrame:
@@ -133,11 +173,13 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     passes = passes_for(n, block, threshold, recall)
     blocks = _blocks(_codes(classes, passes, seed), block)
     by_pass = blocks.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "block"))), lambda x: x.block).alias("blocks"))
-    located = settle(classes.select("key", "dim", "embedding", "weight").join(by_pass, "key"))
-    links = None
+    located = settle(classes.select("key", "dim", "embedding").join(by_pass, "key"))
+    met = None
     for lo in range(0, passes, PER_JOB):  # a few passes at a time, so that the copies on disk stay few
-        found = settle(_links(located, lo, min(passes, lo + PER_JOB), threshold))
-        links = found if links is None else links.union(found)
+        found = settle(_met(located, lo, min(passes, lo + PER_JOB), threshold))
+        met = found if met is None else met.union(found)
+    clusters = components(met).withColumnRenamed("id", "key").withColumnRenamed("component", "cluster")
+    links = settle(_links(classes, clusters, n, threshold, WIDE * block))
     joined = components(links.select(F.col("key").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("key").agg(F.sum("n").alias("n"))
     per_class = classes.select("key", "least", "weight").join(counts, "key", "left").join(joined.withColumnRenamed("id", "key"), "key", "left")
