@@ -178,6 +178,17 @@ def test_dense_group_many_windows_wide_is_counted_whole(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("cosine, block", [(0.8, 64), (0.84, 64), (0.84, 16)])
+def test_sparse_links_in_a_hot_cone(spark, cosine, block):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([around(rng, 2000, 64, cosine), rng.standard_normal((4000, 64))])[rng.permutation(6000)]
+    got, want = against_brute_force(spark, x, block)
+    assert all(g[1] <= w[1] for g, w in zip(got, want))
+    assert sum(g[1] for g in got) >= ed.RECALL * sum(w[1] for w in want)
+    linked = [g[2] == w[2] for g, w in zip(got, want) if w[1]]
+    assert sum(linked) >= ed.RECALL * len(linked)
+
+
 def test_passes_grow_with_the_table():
     assert ed.passes_for(100) == 4 and ed.passes_for(10**5) < ed.passes_for(10**7) < ed.passes_for(10**9)
 

@@ -7,7 +7,10 @@ own, and each pair of blocks is one task that counts its links. Every pair of a
 and no list of pairs is ever written: n_links misses nothing inside a cluster, however many vectors it has.
 
 The number of passes follows from the number of vectors: a pair at the threshold agrees on the signs that single out
-a block with a known probability, and enough passes are made to meet such a pair with probability ``RECALL``.
+a block with a known probability, and enough passes are made to meet such a pair with probability ``RECALL``. Where
+vectors crowd, those signs single out a cell of more vectors than a block and the next one hold. A cell of up to
+``SPAN`` blocks is then compared whole in its pass, a larger one becomes part of one cluster, so that the probability
+holds however the vectors are spread.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tillwise.llm.common import components, local_labels
 from tillwise.session import settle
 
-THRESHOLD, BLOCK, RECALL, SIGNS, SEED, PER_JOB, STRIP, WIDE = 0.9, 512, 0.995, 32, 77, 4, 256, 4
+THRESHOLD, BLOCK, RECALL, SIGNS, SEED, PER_JOB, STRIP, SPAN, WIDE, COPIES = 0.9, 512, 0.995, 32, 77, 4, 256, 16, 4, 12
 
 
 def passes_for(n: int, block: int = BLOCK, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -32,6 +35,11 @@ def passes_for(n: int, block: int = BLOCK, threshold: float = THRESHOLD, recall:
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - met))) if met < 1 else 4
 
 
+def cell_signs(n: int, block: int = BLOCK) -> int:
+    """Leading signs that single out a cell: of n vectors spread evenly, a cell holds one to two blocks."""
+    return min(SIGNS, max(0, int(math.log2(max(1, n) / block))))
+
+
 def usable(vector: Column) -> Column:
     """Vectors that can be compared: not null, no null or non-finite component, not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -63,21 +71,31 @@ def _codes(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
     return vectors.select("key", "embedding").mapInArrow(emit, schema).withColumn("tie", F.xxhash64("key", "pass"))
 
 
-def _blocks(codes: DataFrame, block: int) -> DataFrame:
-    """(key, pass, block): blocks numbered in sort order within (dim, pass), by one range sort and a small table of
+def _blocks(codes: DataFrame, block: int, signs: int) -> DataFrame:
+    """(key, dim, pass, cell, block): the leading ``signs`` of the code as cell, and blocks numbered in sort order within (dim, pass), by one range sort and a small table of
     how many rows of each (dim, pass) lie in each sorted partition."""
     order = ["dim", "pass", "code", "tie"]
     parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = codes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     part = F.shiftright(F.monotonically_increasing_id(), 33)
-    ordered = settle(ordered.select("key", "dim", "pass", part.alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
+    cell = F.shiftright("code", SIGNS - signs).alias("cell")
+    ordered = settle(ordered.select("key", "dim", "pass", cell, part.alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")))
     from pyspark.sql import Window
 
     # One row per (dim, pass, sorted partition).
     counts = ordered.groupBy("dim", "pass", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("dim", "pass").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("dim", "pass", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
-    return ordered.join(counts, ["dim", "pass", "part"]).select("key", "pass", F.floor((F.col("at") + F.col("shift")) / block).cast("long").alias("block"))
+    return ordered.join(counts, ["dim", "pass", "part"]).select("key", "dim", "pass", "cell", F.floor((F.col("at") + F.col("shift")) / block).cast("long").alias("block"))
+
+
+def _cells(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with, for a vector in a cell of more than two blocks, ``whole`` (a number below -1 for the cell) or,
+    in one of more than SPAN, ``least`` (the least key of the cell)."""
+    cells = blocks.groupBy("dim", "pass", "cell").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.min("key").alias("least"))
+    wide, crowded = F.col("high") > F.col("low") + 1, F.col("high") >= F.col("low") + SPAN
+    cells = cells.select("dim", "pass", "cell", F.when(wide & ~crowded, -2 - F.col("cell")).alias("whole"), F.when(crowded, F.col("least")).alias("least"))
+    return blocks.join(cells, ["dim", "pass", "cell"]).select("key", "pass", "block", "whole", "least")
 
 
 def _unit(table: pa.Table) -> np.ndarray:
@@ -87,11 +105,28 @@ def _unit(table: pa.Table) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _strips(x: np.ndarray, first: int, right: int, threshold: float):
+    """Index pairs a < b of similar rows, a below ``first`` and b from ``right`` on, for a strip of rows a at a time, so
+    that the working arrays stay small."""
+    for r in range(0, first, STRIP):
+        a, b = np.nonzero(x[r:min(first, r + STRIP)] @ x[right:].T >= threshold)
+        a, b = a + r, b + right
+        yield a[a < b], b[a < b]
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (smallest index reachable from each row) after the links (a, b) are added."""
+    known = np.flatnonzero(label != np.arange(len(label)))
+    return local_labels(len(label), np.r_[known, a], np.r_[label[known], b])
+
+
 def _met(rows: DataFrame, lo: int, hi: int, threshold: float) -> DataFrame:
-    """(a, b): per pass and block, one link of a spanning forest for each vector linked within it and the next block."""
-    wide = rows.select("*", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("pass"))
-    own = F.get("blocks", F.col("pass"))
-    wide = wide.select("key", "dim", "embedding", "pass", F.explode(F.array(own, own - 1)).alias("group"), own.alias("own")).where("group >= 0")
+    """(a, b): one link of a spanning forest for each vector linked within a block and the next one, or within a cell
+    compared whole, in the passes lo to hi - 1."""
+    wide = rows.select("key", "dim", "embedding", F.explode(F.slice("places", lo + 1, hi - lo)).alias("at"))
+    groups = F.filter(F.array("at.block", F.col("at.block") - 1, "at.whole"), lambda g: g.isNotNull() & (g != -1))
+    wide = wide.select("key", "dim", "embedding", F.col("at.pass").alias("pass"), F.explode(groups).alias("group"), F.col("at.block").alias("own"))
+    wide = wide.withColumn("own", F.when(F.col("group") < 0, F.col("group")).otherwise(F.col("own")))
 
     def compare(table: pa.Table) -> pa.Table:
         group = table.column("group")[0].as_py()
@@ -100,9 +135,9 @@ def _met(rows: DataFrame, lo: int, hi: int, threshold: float) -> DataFrame:
         if not first:
             return schema.empty_table()
         x = _unit(table)
-        a, b = np.nonzero(x[:first] @ x.T >= threshold)
-        a, b = a[b > a], b[b > a]
-        label = local_labels(len(x), a, b)
+        label = np.arange(len(x))
+        for a, b in _strips(x, first, 0, threshold):
+            label = _joined(label, a, b)
         some = np.flatnonzero(label != np.arange(len(x)))
         key = table.column("key")
         return pa.Table.from_arrays([key.take(pa.array(some)), key.take(pa.array(label[some]))], schema=schema)
@@ -116,7 +151,10 @@ def _links(classes: DataFrame, clusters: DataFrame, n: int, threshold: float, bl
 
     Clusters of one block share tasks of a few blocks, so that many small clusters are not many tasks.
     """
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    size = F.count(F.lit(1))
+    # A vector is copied once per block of its cluster, so blocks grow before their number does.
+    number = F.greatest(F.least(F.ceil(size / block), F.lit(COPIES)), F.ceil(size / (COPIES * block))).cast("int")
+    sizes = clusters.groupBy("cluster").agg(number.alias("blocks"))
     packs = max(1, n // block)
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("string")).otherwise(F.col("cluster"))
     rows = classes.select("key", "dim", "embedding", "weight").join(clusters.join(sizes, "cluster"), "key")
@@ -133,19 +171,11 @@ def _links(classes: DataFrame, clusters: DataFrame, n: int, threshold: float, bl
         edges = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1], True])
         count, label = np.zeros(len(x), np.int64), np.arange(len(x))
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            mid = lo + int((block_of[lo:hi] == i).sum())
-            right = lo if i == j else mid
-            root = np.arange(hi - lo)
-            for r in range(lo, mid, STRIP):  # a strip of rows at a time, so that the working arrays stay small
-                top = min(mid, r + STRIP)
-                a, b = np.nonzero(x[r:top] @ x[right:hi].T >= threshold)
-                a, b = a + r - lo, b + right - lo
-                if i == j:
-                    a, b = a[a < b], b[a < b]
-                count[lo:hi] += np.bincount(a, weight[lo:hi][b], hi - lo).astype(np.int64) + np.bincount(b, weight[lo:hi][a], hi - lo).astype(np.int64)
-                known = np.flatnonzero(root != np.arange(hi - lo))
-                root = local_labels(hi - lo, np.r_[known, a], np.r_[root[known], b])
-            label[lo:hi] = root + lo
+            first, w, near = int((block_of[lo:hi] == i).sum()), weight[lo:hi], np.arange(hi - lo)
+            for a, b in _strips(x[lo:hi], first, 0 if i == j else first, threshold):
+                count[lo:hi] += (np.bincount(a, w[b], hi - lo) + np.bincount(b, w[a], hi - lo)).astype(np.int64)
+                near = _joined(near, a, b)
+            label[lo:hi] = near + lo
         some = np.flatnonzero(count)
         key = table.column("key")
         return pa.Table.from_arrays([key.take(pa.array(some)), key.take(pa.array(label[some])), pa.array(count[some])], schema=schema)
@@ -171,13 +201,13 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     classes = settle(classes.withColumn("dim", F.size("embedding")))
     n = classes.count()
     passes = passes_for(n, block, threshold, recall)
-    blocks = _blocks(_codes(classes, passes, seed), block)
-    by_pass = blocks.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "block"))), lambda x: x.block).alias("blocks"))
+    blocks = settle(_cells(_blocks(_codes(classes, passes, seed), block, cell_signs(n, block))))
+    by_pass = blocks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pass", "block", "whole"))).alias("places"))
     located = settle(classes.select("key", "dim", "embedding").join(by_pass, "key"))
-    met = None
+    met = blocks.where("least is not null").select(F.col("key").alias("a"), F.col("least").alias("b"))
     for lo in range(0, passes, PER_JOB):  # a few passes at a time, so that the copies on disk stay few
         found = settle(_met(located, lo, min(passes, lo + PER_JOB), threshold))
-        met = found if met is None else met.union(found)
+        met = met.union(found)
     clusters = components(met).withColumnRenamed("id", "key").withColumnRenamed("component", "cluster")
     links = settle(_links(classes, clusters, n, threshold, WIDE * block))
     joined = components(links.select(F.col("key").alias("a"), F.col("other").alias("b")))
