@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tillwise.operators import quality, spend
+from tillwise.operators import inventory, quality, spend
 
 DDL = "receipt_id long, purchased_at string, total double, receipt_category string, subs string"
 
@@ -75,3 +75,20 @@ def test_meta_and_pivot(spark):
     assert (meta.truncated, meta.returned_rows, meta.dropped_rows) == (True, 3, 3)
     wide = {r.category: (r.week, r.month, r.year) for r in spend.category_pivot(periods).collect()}
     assert wide == {"a": (10.0, 10.0, 10.0), "b": (0.0, 0.0, 4.0)}
+
+
+def test_timing_and_days_are_not_capped(spark):
+    runs = spark.range(1000).select(
+        F.col("id").alias("receipt_id"), F.when(F.col("id") < 600, "t").alias("tenant"), F.lit("done").alias("extract_status"),
+        F.timestamp_seconds("id").alias("created_at"), F.lit(None).cast("timestamp").alias("extract_finished_at"),
+        ((F.col("id") + 1) * 1000).alias("extract_duration_ms"), F.lit("ocr").alias("extract_method"), F.lit(None).cast("string").alias("extract_provider"),
+    )
+    got = [tuple(r) for r in quality.processing_timing(runs, "2024-01-01").collect()]
+    assert sorted(got) == [("method", "ocr", 1000, 500.5, 500.5, 950.0), ("overall", "all", 1000, 500.5, 500.5, 950.0)]
+    got = [tuple(r) for r in quality.processing_timing(runs, "2024-01-01", ["tenant"]).where("group_kind = 'overall'").collect()]
+    assert sorted(got, key=repr) == [("t", "overall", "all", 600, 300.5, 300.5, 570.0), (None, "overall", "all", 400, 800.5, 800.5, 980.0)]
+    assert quality.processing_timing(runs, "2024-01-01", window_n=200).where("group_kind = 'overall'").first()["count"] == 200
+    seen = spark.range(120).select(
+        F.col("id").alias("product_id"), F.lit("p").alias("product"), F.timestamp_seconds("id").alias("last_seen_at"), F.lit(0.5).alias("confidence"))
+    assert [(r.n, len(r["items"])) for r in inventory.inventory_by_day(seen).collect()] == [(120, 120)]
+    assert [r.n for r in inventory.inventory_by_day(seen, limit=50).collect()] == [50]

@@ -32,12 +32,12 @@ def inventory_recently_seen(
     return top_rows(rows, [F.col("last_seen_at").desc(), F.col("product_id")], limit, keys)
 
 
-def inventory_by_day(seen: DataFrame, keys: Sequence[str] = (), limit: int = DAY_ROWS) -> DataFrame:
-    """The newest sightings grouped by local day, with confidence in percent."""
+def inventory_by_day(seen: DataFrame, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """The sightings, or the newest ``limit`` of them, grouped by local day, with confidence in percent."""
     newest = top_rows(seen, [F.col("last_seen_at").desc(), F.col("product_id")], limit, keys)
     percent = half_even(F.col("confidence") * 100, 0).cast("long").cast("string")
     label = F.concat(F.col("product"), F.lit(" ("), F.coalesce(percent, F.lit("None")), F.lit("%)"))
-    # At most ``limit`` rows are left, so the lists are bounded.
+    # The list of a day is one value of the result; only a ``limit`` bounds it.
     entries = F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("last_seen_at")).alias("at"), "product_id", label.alias("label"))), False)
     return newest.groupBy(*keys, F.to_date("last_seen_at").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.transform(entries, lambda e: e["label"]).alias("items")

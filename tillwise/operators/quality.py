@@ -13,7 +13,7 @@ from tillwise.functions.categories import (
 from tillwise.functions.dates import instant
 from tillwise.functions.text import blank_to_null
 from tillwise.operators.spend import with_subcategory_totals
-from tillwise.operators.stats import top_rows
+from tillwise.operators.stats import exact_medians, nearest_rank, top_rows
 from tillwise.session import settle
 
 RECENT_ROWS = 20
@@ -142,10 +142,10 @@ def receipt_status_summary(receipts: DataFrame, keys: Sequence[str] = ()) -> Dat
 
 
 def processing_timing(
-    receipts: DataFrame, as_of, keys: Sequence[str] = (), window_n: int = TIMING_WINDOW, model_method: str = "llm",
+    receipts: DataFrame, as_of, keys: Sequence[str] = (), window_n: int | None = None, model_method: str = "llm",
     places: int = 2,
 ) -> DataFrame:
-    """Seconds per extraction over the newest runs: overall, by method, and by provider of model runs."""
+    """Seconds per extraction over all runs, or the newest ``window_n``: overall, by method, and by provider of model runs."""
     ts = F.coalesce("extract_finished_at", "created_at", instant(as_of))
     done = receipts.where((F.col("extract_status") == "done") & (F.col("extract_duration_ms") > 0)).select(
         *keys, "receipt_id", ts.alias("_ts"), (F.col("extract_duration_ms") / 1000.0).alias("seconds"),
@@ -161,11 +161,13 @@ def processing_timing(
             F.struct(F.lit("provider").alias("group_kind"), F.col("provider").alias("group_value")),
         ),
     )
-    exploded = window.select(*keys, "seconds", F.explode(F.filter(groups, lambda g: g.isNotNull())).alias("g"))
-    # The window above leaves at most window_n values a group, so the ordered list is bounded.
-    ordered = F.sort_array(F.collect_list("seconds"))
-    rank = F.bround((F.count(F.lit(1)) - 1) * F.lit(0.95), 0).cast("int")
-    return exploded.groupBy(*keys, "g.group_kind", "g.group_value").agg(
-        F.count(F.lit(1)).alias("count"), half_even(F.avg("seconds"), places).alias("avg_s"),
-        half_even(F.median("seconds"), places).alias("median_s"), half_even(F.get(ordered, rank), places).alias("p95_s"),
+    # One struct holds the group, so that a null in a key is a group like any other.
+    exploded = window.select(*keys, "seconds", F.explode(F.filter(groups, lambda g: g.isNotNull())).alias("g")).select(
+        F.struct(*keys, "g.group_kind", "g.group_value").alias("_group"), "seconds"
+    )
+    means = exploded.groupBy("_group").agg(F.avg("seconds").alias("mean"))
+    ranked = exact_medians(exploded, ["_group"], "seconds", extra={"p95": nearest_rank(0.95)})
+    return ranked.join(means, "_group").select(
+        "_group.*", F.col("n").alias("count"), half_even("mean", places).alias("avg_s"),
+        half_even("median", places).alias("median_s"), half_even("p95", places).alias("p95_s"),
     )
