@@ -92,3 +92,10 @@ def test_timing_and_days_are_not_capped(spark):
         F.col("id").alias("product_id"), F.lit("p").alias("product"), F.timestamp_seconds("id").alias("last_seen_at"), F.lit(0.5).alias("confidence"))
     assert [(r.n, len(r["items"])) for r in inventory.inventory_by_day(seen).collect()] == [(120, 120)]
     assert [r.n for r in inventory.inventory_by_day(seen, limit=50).collect()] == [50]
+
+
+def test_long_errors_with_one_beginning_are_two_reasons(spark):
+    same = "x" * 230
+    errors = spark.createDataFrame([(same + "a",), (same + "a",), (same + "b",), ("Timeout",), (None,)], "error string")
+    got = sorted(tuple(r) for r in quality.failure_reasons(errors).collect())
+    assert got == [("parse_failed", 1), ("timed_out", 1), ("x" * 220 + "...", 1), ("x" * 220 + "...", 2)]

@@ -39,6 +39,9 @@ UNKNOWN_CATEGORIES = ("", "unknown", "uncategorized", "unclassified", "other", "
 UNKNOWN_SUBCATEGORIES = UNKNOWN_CATEGORIES + ("misc", "miscellaneous")
 RESIDUAL_TOLERANCE = 0.009
 
+#: Raw error texts are shown up to this length.
+REASON_CHARS = 220
+
 
 def key_of(c: Column) -> Column:
     """Lower-case key with underscores for spaces and dashes."""
@@ -116,7 +119,16 @@ def effective_status(status: Column, file_path: Column) -> Column:
 
 
 def failure_reason(c: Column) -> Column:
-    """Readable class of a raw error text."""
+    """Readable class of a raw error text, at most REASON_CHARS of it; to group, take :func:`failure_class`."""
+    return shortened(failure_class(c))
+
+
+def shortened(reason: Column) -> Column:
+    return F.when(F.length(reason) > REASON_CHARS, F.concat(F.substring(reason, 1, REASON_CHARS), F.lit("..."))).otherwise(reason)
+
+
+def failure_class(c: Column) -> Column:
+    """Class of a raw error text: a known kind, or the whole text."""
     raw = strip(F.coalesce(c, F.lit("")))
     low = F.lower(raw)
     compact = F.replace(raw, F.lit("\n"), F.lit(" "))
@@ -129,6 +141,5 @@ def failure_reason(c: Column) -> Column:
         .when(low.contains("http 404") & low.contains("model"), "model_not_found")
         .when(low.contains("http 5"), "provider_error")
         .when(raw == "", "parse_failed")
-        .when(F.length(compact) > 220, F.concat(F.substring(compact, 1, 220), F.lit("...")))
         .otherwise(compact)
     )

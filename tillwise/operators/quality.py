@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tillwise.functions.amounts import half_even
 from tillwise.functions.categories import (
-    category_key, effective_status, is_unknown_category, is_unknown_subcategory,
+    category_key, effective_status, failure_class, is_unknown_category, is_unknown_subcategory, shortened,
 )
 from tillwise.functions.dates import instant
 from tillwise.functions.text import blank_to_null
@@ -141,6 +141,12 @@ def receipt_status_summary(receipts: DataFrame, keys: Sequence[str] = ()) -> Dat
     )
 
 
+def failure_reasons(errors: DataFrame, raw: str = "error", keys: Sequence[str] = ()) -> DataFrame:
+    """Errors by class: the whole text is the group, only its label ``reason`` is shortened."""
+    grouped = errors.groupBy(*keys, failure_class(F.col(raw)).alias("_class")).agg(F.count(F.lit(1)).alias("n"))
+    return grouped.select(*keys, shortened(F.col("_class")).alias("reason"), "n")
+
+
 def processing_timing(
     receipts: DataFrame, as_of, keys: Sequence[str] = (), window_n: int | None = None, model_method: str = "llm",
     places: int = 2,

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from tillwise.functions import amounts, text
-from tillwise.functions.categories import category_alias, failure_reason, infer_category, subcategory_alias
+from tillwise.functions.categories import category_alias, infer_category, subcategory_alias
 from tillwise.functions.dates import in_date_range as in_range
 from tillwise.functions.locale import locale_id
-from tillwise.operators import activities, derive, extract, maintain, products, stores
+from tillwise.operators import activities, derive, extract, maintain, products, quality, stores
 from tillwise.plans import driver_tables as tables
 from tillwise.plans.driver_tables import AS_OF, load
 from tillwise.plans.intake import intake
@@ -358,7 +358,7 @@ def categories(spark, d):
 def failure_reasons(spark, d):
     raw = F.when(F.col("event_type") == "error", "OpenAI HTTP 429").when(F.col("event_type") == "click", "Timeout after 5s").when(
         F.col("event_type") == "view", "HTTP 503").when(F.col("event_type") == "signup", "").otherwise(F.concat(F.lit("odd\n"), F.repeat(F.lit("x"), 300)))
-    return load(spark, d, "events").groupBy(failure_reason(raw).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return quality.failure_reasons(load(spark, d, "events").select(raw.alias("error")))
 
 
 def locale_choice(spark, d):
