@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillwise.llm import (
-    decontaminate as dc, embedding_dedup as ed, jaccard_join as jj, language_id as li, line_dedup as ld, packing as pk,
+    byte_bpe as bb, decontaminate as dc, embedding_dedup as ed, jaccard_join as jj, language_id as li, line_dedup as ld, packing as pk,
     sanitise as sa, shard as sh, substring_dedup as sd, token_count as tc,
 )
 
@@ -72,6 +72,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", li.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tc.vocabulary_path("byte_bpe_50k.tiktoken")
+    out = bb.decode(bb.encode(_table(spark, sf_dir, "documents"), ranks, places=False), ranks, texts=False)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), "n_split")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,5 +87,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_decontaminate, op3_token_counts, op4_embedding_dedup, op5_sharding, op6_packing,
-    op7_sanitise, op8_jaccard_join, op9_line_dedup, op10_language_id, pipeline,
+    op7_sanitise, op8_jaccard_join, op9_line_dedup, op10_language_id, op11_byte_bpe,
+    pipeline,
 )}
