@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillwise.llm import (
     byte_bpe as bb, decontaminate as dc, embedding_dedup as ed, jaccard_join as jj, language_id as li, line_dedup as ld, packing as pk,
-    sanitise as sa, shard as sh, substring_dedup as sd, token_count as tc,
+    sanitise as sa, shard as sh, spelling as sp, substring_dedup as sd, token_count as tc, vector_codes as vc,
 )
 
 
@@ -79,6 +81,16 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), "n_split")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vc.vector_codes(_table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return out.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +99,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_decontaminate, op3_token_counts, op4_embedding_dedup, op5_sharding, op6_packing,
-    op7_sanitise, op8_jaccard_join, op9_line_dedup, op10_language_id, op11_byte_bpe,
+    op7_sanitise, op8_jaccard_join, op9_line_dedup, op10_language_id, op11_byte_bpe, op12_vector_codes, op13_spelling_variants,
     pipeline,
 )}
