@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -24,7 +25,9 @@ from tillwise.llm.token_count import byte_letters
 #: Longer texts are cut at spaces into parts of about so many characters; a part never ends inside a match.
 PART = 1 << 18
 #: The memo is emptied at this many matches and holds none above MEMO_CHARS characters: it only saves work.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 250_000, 32
+#: Ids decoded at a time, unless one row has more.
+DECODED = 1 << 18
 _CUT = re.compile(r"[^\W_] ")
 
 
@@ -32,25 +35,37 @@ class ByteBpe:
     """Encodes and decodes by a table of ranks (base64 token, rank a line)."""
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
+        with open(path, "rb") as f:
+            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.sizes = np.zeros(max(self.tokens, default=0) + 1, np.int64)
+        self.sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    @cached_property
+    def letters(self) -> dict[int, str]:
+        """Each byte's printable letter."""
+        return {b: c for c, b in byte_letters().items()}
+
+    @cached_property
+    def model(self):
+        """The library's model: all pairs of tokens that make up a token, in the order of that token's rank."""
         from tokenizers import models
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        letter = {b: c for c, b in byte_letters().items()}
-        self.letters = {b: letter[b] for b in range(256)}
-        name = {token: "".join(map(letter.__getitem__, token)) for token in ranks}
+        ranks = self.ranks
+        name = {token: "".join(map(self.letters.__getitem__, token)) for token in ranks}
         pairs = sorted(
             (rank, i, name[token[:i]], name[token[i:]])
             for token, rank in ranks.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks
         )
-        self.model = models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=[p[2:] for p in pairs], ignore_merges=True)
-        self.matches = regex.compile(public_tokenizers.PATTERN).findall
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
-        self.memo: dict[str, tuple[int, ...]] = {}
+        return models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=[p[2:] for p in pairs], ignore_merges=True, cache_capacity=0)
+
+    @cached_property
+    def matches(self):
+        import public_tokenizers
+        import regex
+
+        return regex.compile(public_tokenizers.PATTERN).findall
 
     def _learn(self, match: str) -> tuple[int, ...]:
         """The ids of one match: its bytes as letters, through the library's model."""
@@ -111,14 +126,14 @@ def _lists(values: list, lengths: list[int], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
-def encode(docs: DataFrame, ranks: str, places: bool = True) -> DataFrame:
-    """(doc_id, ids, n_tokens, n_split[, starts, ends]) per row of ``docs``, for the rank file ``ranks`` that every executor can read.
+Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+_INTS = T.ArrayType(T.IntegerType())
+_CODED = [("ids", _INTS), ("n_tokens", T.LongType()), ("n_split", T.LongType()), ("starts", _INTS), ("ends", _INTS)]
+_DECODED = [("bytes", T.BinaryType()), ("text", T.StringType())]
 
-    ids are those of the whole text without special tokens; strings of special tokens are ordinary text. With
-    ``places``, starts and ends are the characters each token covers. n_split counts the tokens that hold a part of a
-    character only. Null and empty texts have no ids. Every row returns a row, repeated or not; a null doc_id stays
-    null; other columns are ignored. Nothing is shuffled.
-    """
+
+def _encoder(ranks: str, places: bool) -> Work:
+    """Turns batches of (doc_id, text) into small batches of (doc_id, ids, n_tokens, n_split[, starts, ends])."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(ranks)
@@ -138,13 +153,43 @@ def encode(docs: DataFrame, ranks: str, places: bool = True) -> DataFrame:
                 n = [len(one) for one in ids]
                 columns = [batch.column(0).slice(first, last - first), _lists(ids, n, pa.int32()), pa.array(n, pa.int64()), pa.array(split, pa.int64())]
                 columns += [_lists(x, n, pa.int32()) for x in (starts, ends)] if places else []
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_tokens", "n_split", "starts", "ends"][:len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *[c for c, _ in _CODED[:len(columns) - 1]]])
 
+    return work
+
+
+def _decoder(ranks: str, at: int, names: list[str], texts: bool) -> Work:
+    """Adds bytes (and text) to batches whose column ``at`` has the ids, a bounded number of ids at a time."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(ranks)
+        for batch in batches:
+            ends = np.r_[0, np.cumsum(batch.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]
+            for first, last in runs(ends, DECODED):
+                part = batch.slice(first, last - first)
+                lists, flat = part.column(at), part.column(at).flatten()
+                flat = flat.to_pylist() if flat.null_count else flat.to_numpy().tolist()
+                span = (ends[first:last + 1] - ends[first]).tolist()
+                out = [bpe.decode(flat[a:b]) if valid else None for a, b, valid in zip(span, span[1:], lists.is_valid().to_pylist())]
+                columns = [*part.columns, pa.array(out, pa.binary())]
+                if texts:
+                    columns.append(pa.array([None if b is None else b.decode(errors="replace") for b in out], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return work
+
+
+def encode(docs: DataFrame, ranks: str, places: bool = True) -> DataFrame:
+    """(doc_id, ids, n_tokens, n_split[, starts, ends]) per row of ``docs``, for the rank file ``ranks`` that every executor can read.
+
+    ids are those of the whole text without special tokens; strings of special tokens are ordinary text. With
+    ``places``, starts and ends are the characters each token covers. n_split counts the tokens that hold a part of a
+    character only. Null and empty texts have no ids. Every row returns a row, repeated or not; a null doc_id stays
+    null; other columns are ignored. Nothing is shuffled.
+    """
     rows = docs.select("doc_id", "text")
-    ints = T.ArrayType(T.IntegerType())
-    fields = [rows.schema.fields[0], T.StructField("ids", ints), T.StructField("n_tokens", T.LongType()), T.StructField("n_split", T.LongType())]
-    fields += [T.StructField("starts", ints), T.StructField("ends", ints)] if places else []
-    return rows.mapInArrow(work, T.StructType(fields))
+    fields = [rows.schema.fields[0], *[T.StructField(*f) for f in (_CODED if places else _CODED[:3])]]
+    return rows.mapInArrow(_encoder(ranks, places), T.StructType(fields))
 
 
 def decode(coded: DataFrame, ranks: str, texts: bool = True) -> DataFrame:
@@ -154,23 +199,15 @@ def decode(coded: DataFrame, ranks: str, texts: bool = True) -> DataFrame:
     holds the part as it is, text has U+FFFD in its place. A null list, and one with a null or an id that
     is no token, gives null.
     """
-    new = ["bytes", "text"] if texts else ["bytes"]
-    kept = [c for c in coded.columns if c not in new]
-    at = kept.index("ids")
+    new = _DECODED if texts else _DECODED[:1]
+    rows = coded.select(*[c for c in coded.columns if c not in dict(new)])
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(*f) for f in new]])
+    return rows.mapInArrow(_decoder(ranks, rows.columns.index("ids"), schema.names, texts), schema)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(ranks)
-        for batch in batches:
-            lists = batch.column(at)
-            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-            flat = lists.flatten().to_pylist()
-            spans = zip([0, *ends[:-1]], ends, lists.is_valid().to_pylist())
-            out = [bpe.decode(flat[a:b]) if valid else None for a, b, valid in spans]
-            columns = [*batch.columns, pa.array(out, pa.binary())]
-            if texts:
-                columns.append(pa.array([None if b is None else b.decode(errors="replace") for b in out], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *new])
-
-    rows = coded.select(*kept)
-    fields = [T.StructField("bytes", T.BinaryType()), T.StructField("text", T.StringType())][:len(new)]
-    return rows.mapInArrow(work, T.StructType([*rows.schema.fields, *fields]))
+
+def round_trip(docs: DataFrame, ranks: str) -> DataFrame:
+    """``decode`` of ``encode`` without places and text, in one pass: (doc_id, ids, n_tokens, n_split, bytes)."""
+    rows = docs.select("doc_id", "text")
+    schema = T.StructType([rows.schema.fields[0], *[T.StructField(*f) for f in (*_CODED[:3], _DECODED[0])]])
+    there, back = _encoder(ranks, False), _decoder(ranks, 1, schema.names, False)
+    return rows.mapInArrow(lambda batches: back(there(batches)), schema)

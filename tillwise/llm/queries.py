@@ -75,8 +75,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = tc.vocabulary_path("byte_bpe_50k.tiktoken")
-    out = bb.decode(bb.encode(_table(spark, sf_dir, "documents"), ranks, places=False), ranks, texts=False)
+    out = bb.round_trip(_table(spark, sf_dir, "documents"), tc.vocabulary_path("byte_bpe_50k.tiktoken"))
     ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return out.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"), "n_split")
 
