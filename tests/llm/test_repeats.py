@@ -6,7 +6,7 @@ import pytest
 from llm_helpers import documents, rows_of, sample, texts
 
 from tillwise.llm.line_dedup import line_dedup
-from tillwise.llm.substring_dedup import SENTENCE, substring_dedup
+from tillwise.llm.substring_dedup import SENTENCE, SPACELESS, substring_dedup
 
 
 def sequential(rows, cut, joiner, least):
@@ -31,6 +31,33 @@ def sequential(rows, cut, joiner, least):
     return sorted(out, key=repr)
 
 
+def passages(rows, least=30, own=False):
+    """The rule of substring dedup, document by document in order of (doc_id, text hash is left to distinct ids)."""
+    seen, result = {}, {}
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    for doc_id, text in order:
+        units = sentences(text)
+        full = [(i, u.strip(" \t\n\x0b\f\r")) for i, u in enumerate(units) if u.strip(" \t\n\x0b\f\r")]
+        found, mine = set(), []
+        for w in zip(full, full[1:], full[2:]):
+            body = "\n".join(s for _, s in w)
+            if body in seen or own and body in mine:
+                found |= set(range(w[0][0], w[2][0] + 1))
+            mine.append(body)
+        for body in mine:
+            seen.setdefault(body, doc_id)
+        gone, span = set(), []
+        for i in range(len(units) + 1):
+            if i in found:
+                span.append(i)
+            else:
+                words = sum(len(re.findall(rf"[{SPACELESS}]|[^ \t\n\x0b\f\r{SPACELESS}]+", units[k])) for k in span)
+                gone |= set(span) if words >= least else set()
+                span = []
+        result[doc_id, text] = (len(units), len(gone), "".join(u for i, u in enumerate(units) if i not in gone) if gone else text)
+    return sorted(((row[0], *result[row]) for row in rows), key=repr)
+
+
 def lines(text):
     return [] if text is None else text.split("\n")
 
@@ -53,9 +80,24 @@ def test_line_dedup_edges(spark, clashing):
     assert rows_of(out, "doc_id", "n_lines", "n_removed", "text") == sequential(EDGES, lines, "\n", 0)
 
 
+FOUND = ["doc_id", "n_sentences", "n_removed", "text"]
+PASSAGE = "The miller counted sacks, then barrels; then ropes. " + " ".join(f"Item {i} was in place, said one." for i in range(8))
+SHORT = "\n".join(f"we saw {w}" for w in "oak elm ash fir yew box bay fig nut pea rye oat".split())
+SIGNS = "".join(f"第{c}章讲述了一个很长的故事。" for c in "一二三四五六七")
+PASSAGES = EDGES + [
+    (20, PASSAGE), (21, f"My own words and {PASSAGE} and more of mine follow here"), (22, PASSAGE[30:] + "!!"), (23, f"{SHORT}\nend"), (24, f"start,\n\n{SHORT}"),
+    (25, f"你好{SIGNS}"), (26, f"再见，{SIGNS}"), (27, "A short line. Another one. And a third."), (28, "A short line. Another one. And a third."),
+    (29, " ".join([f"Only here, number {i}; again." for i in range(9)] * 2)), (30, "हिन्दी पाठ यहाँ है। " * 12), (31, "और हिन्दी पाठ यहाँ है। " + "हिन्दी पाठ यहाँ है। " * 12),
+]
+
+
 def test_substring_dedup_edges(spark):
-    out = substring_dedup(documents(spark, EDGES))
-    assert rows_of(out, "doc_id", "n_sentences", "n_removed", "text") == sequential(EDGES, sentences, "", 10)
+    for own in (False, True):
+        out = substring_dedup(documents(spark, PASSAGES), own=own)
+        assert rows_of(out, *FOUND) == passages(PASSAGES, own=own)
+    got = {r.doc_id: r for r in substring_dedup(documents(spark, PASSAGES)).collect()}
+    assert all(got[i].n_removed for i in (21, 22, 24, 26, 31)) and not any(got[i].n_removed for i in (20, 23, 25, 27, 28, 29, 30))
+    assert got[21].text == "My own words and The miller counted sacks, and more of mine follow here"
 
 
 def test_empty_tables_and_columns(spark):
@@ -73,7 +115,7 @@ def test_hot_window(spark):
 def test_real_texts(spark, sf_dir):
     docs = sample(spark, sf_dir)
     assert rows_of(line_dedup(docs), "doc_id", "n_lines", "n_removed", "text") == sequential(texts(docs), lines, "\n", 0)
-    assert rows_of(substring_dedup(docs), "doc_id", "n_sentences", "n_removed", "text") == sequential(texts(docs), sentences, "", 10)
+    assert rows_of(substring_dedup(docs), "doc_id", "n_sentences", "n_removed", "text") == passages(texts(docs))
 
 
 def test_no_python_on_the_path(spark, sf_dir):

@@ -47,7 +47,11 @@ def covered(wins: DataFrame) -> DataFrame:
     place = F.struct("_id", "_th", "a")
     first = wins.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = first.where(F.col("first") != F.col("last")).select("h1", "h2", "first")
-    later = wins.join(first, ["h1", "h2"]).where(place != F.col("first")).select("_id", "_th", F.struct("a", "b").alias("r"))
+    return merged(wins.join(first, ["h1", "h2"]).where(place != F.col("first")).select("_id", "_th", F.struct("a", "b").alias("r")))
+
+
+def merged(later: DataFrame) -> DataFrame:
+    """(_id, _th, ranges): per document its ranges ``r`` merged where they overlap or touch."""
     later = later.groupBy("_id", "_th").agg(F.sort_array(F.collect_set("r")).alias("found"))
 
     def step(done: Column, x: Column) -> Column:

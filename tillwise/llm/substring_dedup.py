@@ -1,30 +1,102 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of three consecutive sentences is hashed, equal runs are joined over the whole corpus, and the sentences
-covered by any run but its first occurrence are removed.
+Every run of three consecutive sentences is hashed and equal runs are joined over the whole corpus. Places covered by
+runs that another document had before are merged into spans, and spans of enough words are removed: they
+are copied passages. Sentences here end at clause marks too, so that a passage which begins or ends in the middle of
+a sentence still holds whole runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tillwise.llm import repeats
+from tillwise.llm.common import hash_pair
+from tillwise.llm.repeats import RANGES, merged
+from tillwise.session import pin
 
 RUN = 3
-#: Shorter runs ("Yes. No. Well.") recur by chance and are no copied passage.
-MIN_WORDS = 10
-#: A sentence ends with a run of . ! ? or line breaks; the pieces put together are the text.
-SENTENCE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
+#: A removed span has at least so many words: shorter ones ("Yes. No. Well.") recur by chance and are no copied passage.
+MIN_WORDS = 30
+#: Marks that end a sentence or clause, in several scripts, and line breaks.
+STOPS = ".!?,;:\n。！？、，；：।॥؟،؛۔…"
+#: A sentence ends with a run of such marks; the pieces put together are the text.
+SENTENCE = f"[^{STOPS}]*[{STOPS}]+|[^{STOPS}]+"
+#: Letters of scripts that are written without spaces between words (Thai to Lao, Kana, Han): each counts as a word.
+SPACELESS = "ก-໿ぁ-ヿ㐀-䶿一-鿿"
+WORD = f"[{SPACELESS}]|[^ \t\n\x0b\f\r{SPACELESS}]+"
+WHITE = " \t\n\x0b\f\r"
 
 
-def substring_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated sentence runs cut from ``text``, plus n_sentences and n_removed.
+def _sentences(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
 
-    The first occurrence is that of the smallest (doc_id, text hash, sentence). Runs below ``min_words`` words
-    count for nothing. Null text stays null with 0 sentences, an empty text has 0; texts of fewer than ``run``
-    sentences are left alone. Rows that repeat a doc_id with the same text are one document; a null doc_id sorts
-    first. Extra columns are kept, those called n_sentences or n_removed are replaced.
+
+def runs_of(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """(_id, _th, h1, h2, a, b): the hashes of each run of ``run`` consecutive non-blank sentences, and the places of its
+    first and last sentence. Sentences are compared without surrounding white space."""
+    rows = docs.select(
+        F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"),
+        F.transform(_sentences(F.col("text")), lambda u: F.trim(u, F.lit(WHITE))).alias("units"),
+    ).where(F.size("units") >= run)
+
+    def unit(s: Column, i: Column) -> Column:
+        return F.struct(*hash_pair(s), i.alias("i"), (s == "").alias("blank"))
+
+    full = F.filter(F.transform("units", unit), lambda x: ~x.blank)
+    rows = rows.select("_id", "_th", full.alias("full")).where(F.size("full") >= run)
+    rows = rows.select("_id", "_th", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("full") - (run - 1)), lambda j: F.slice("full", j, run)
+    )).alias("w"))
+    return rows.select(
+        "_id", "_th", F.xxhash64("w.h1").alias("h1"), F.xxhash64("w.h2").alias("h2"),
+        F.col("w")[0].i.alias("a"), F.col("w")[run - 1].i.alias("b"),
+    )
+
+
+def repeated(wins: DataFrame, own: bool = False) -> DataFrame:
+    """(_id, _th, ranges): per document the merged ranges of sentences that lie in a run met before.
+
+    Before means in a document of smaller (id, text hash), or, with ``own``, earlier in the same one too. The first
+    places are combined before the shuffle and runs of one document only are dropped; the join has one row per run
+    on its right, so a run that a third of the documents share can be split over tasks.
     """
-    pieces = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(SENTENCE), F.lit(0))
-    gone = repeats.covered(repeats.windows(docs, pieces, run, min_words))
-    return repeats.without(docs, gone, pieces, "", ("n_sentences", "n_removed"))
+    place = F.struct("_id", "_th", "a") if own else F.struct("_id", "_th")
+    first = wins.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = first.where(F.col("first") != F.col("last")).select("h1", "h2", "first")
+    later = wins.join(first, ["h1", "h2"]).where(place != F.col("first")).select("_id", "_th", F.struct("a", "b").alias("r"))
+    return merged(later)
+
+
+def substring_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, own: bool = False) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text``, plus n_sentences and n_removed.
+
+    A passage goes where it is covered by runs of ``run`` sentences that a document of smaller (doc_id, text hash) holds, if
+    the covered sentences side by side have ``min_words`` words together; letters of scripts without spaces count
+    as words. Repeats inside one document stay unless ``own`` is set, then they go under the same rule. Null text
+    stays null with 0 sentences, an empty text has 0; texts of fewer than ``run`` sentences are left alone. Rows that
+    repeat a doc_id with the same text are one document; a null doc_id sorts first. Extra columns are kept, those
+    called n_sentences or n_removed are replaced.
+    """
+    gone = repeated(runs_of(docs, run), own)
+    # The whole row travels as one column, so none of its names can clash; sentences are split again after the join.
+    th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    left = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("row_id"), th.alias("row_th"))
+    both = left.join(gone, left["row_id"].eqNullSafe(gone["_id"]) & (left["row_th"] == gone["_th"]), "left")
+    both = pin(both.select("row", "ranges", _sentences(F.col("row.text")).alias("units")))
+
+    def words(x: Column) -> Column:
+        inside = F.slice("units", x.a + 1, x.b - x.a + 1)
+        return F.aggregate(inside, F.lit(0), lambda n, u: n + F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
+
+    long_ones = F.coalesce(F.filter("ranges", lambda x: words(x) >= min_words), F.array().cast(RANGES))
+    both = pin(both.select("row", "units", long_ones.alias("ranges")))
+    ends = F.concat(F.array(F.lit(-1)), F.col("ranges.b"))
+    starts = F.concat(F.col("ranges.a"), F.array(F.size("units")))
+    kept = F.flatten(F.zip_with(ends, starts, lambda end, start: F.slice("units", end + 2, start - end - 1)))
+    new = {
+        "text": F.when(F.size("ranges") > 0, F.array_join(kept, "")).otherwise(F.col("row.text")),
+        "n_sentences": F.size("units").cast("long"),
+        "n_removed": F.aggregate("ranges", F.lit(0), lambda n, x: n + x.b - x.a + 1).cast("long"),
+    }
+    rest = {c: F.col("row").getField(c) for c in docs.columns}
+    return both.select(*[c.alias(name) for name, c in (rest | new).items()])
