@@ -96,9 +96,13 @@ def test_long_chain_of_forms(spark):
 
 def test_one_edit():
     rng = np.random.default_rng(9)
-    for _ in range(20_000):
-        a, b = ("".join(rng.choice(list("ab"), rng.integers(1, 6))) for _ in "ab")
-        assert sp.one_edit(a, b) == (edits(a, b) == 1)
+    words = sorted({"".join(rng.choice(list("abÿ"), rng.integers(1, 6))) for _ in range(400)})
+    side = sp.Side(words, [2] * len(words))
+    i, j = map(np.ravel, np.meshgrid(range(len(words)), range(len(words))))
+    i, j = i[i != j], j[i != j]
+    assert sp.one_edit(side, i, side, j).tolist() == [edits(words[a], words[b]) == 1 for a, b in zip(i, j)]
+    want = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a < b and edits(words[a], words[b]) == 1}
+    assert set(sp.near_pairs(side, side)) == want
 
 
 def test_no_words(spark):

@@ -28,7 +28,9 @@ TIMES = 10
 RARE = 31
 #: Words of a cell that one task holds; larger cells are cut by a hash of the word.
 BLOCK = 4096
-CLASSES, STRIP = 4, 512
+CLASSES = 4
+#: Numbers of a product worked out at a time.
+CELLS = 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters of a run: a-z once A-Z are lower-cased, and U+00C0 to U+00FF.
 LETTERS = LOWER + "".join(map(chr, range(0xC0, 0x100)))
@@ -74,52 +76,67 @@ def _moves() -> list[list[int]]:
     return [m.tolist() for m in [*put_in, *replaced]]
 
 
-def letter_counts(words: list[str]) -> np.ndarray:
-    """One row per word, one column per letter. Products of rows are exact: single precision holds all whole numbers below
-    2^24, double precision those below 2^53."""
-    longest = max(map(len, words), default=0)
-    out = np.zeros((len(words), 256), np.float32 if longest < 2048 else np.float64)
-    codes = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
-    rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    np.add.at(out, (rows, codes), 1)
-    return out[:, [ord(c) for c in LETTERS]]
-
-
-def one_edit(a: str, b: str) -> bool:
-    """Whether exactly one code point inserted, deleted or replaced makes ``b`` of ``a``."""
-    if a == b or abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    return a[i + (len(a) == len(b)):] == b[i + 1:]
-
-
-def near_pairs(left: list[str], x: np.ndarray, right: list[str], y: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Index pairs of words one edit apart, by squared distances of their letter counts x and y, a strip of rows at a
-    time; with one list on both sides each pair comes once."""
-    same = left is right
-    x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    for s in range(0, len(left), STRIP):
-        d = x2[s:s + STRIP, None] + y2[None, :] - 2 * (x[s:s + STRIP] @ y.T)
-        for i, j in np.argwhere(d <= 2).tolist():
-            if (not same or s + i < j) and one_edit(left[s + i], right[j]):
-                yield s + i, j
-
-
-class _Side:
-    """Words with their numbers of occurrences and letter counts."""
+class Side:
+    """Words with their numbers of occurrences, as letter counts and as rows of letters from the front and the back."""
 
     def __init__(self, words: list[str], n: list[int]):
-        self.words, self.n, self.letters = words, n, letter_counts(words)
-
-
-def _effects(left: _Side, right: _Side, out: list[tuple]) -> None:
+        self.words, self.n = words, n
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        codes = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
+        row = np.repeat(np.arange(len(words)), self.sizes)
+        at = np.arange(len(codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        longest = int(self.sizes.max(initial=0))
+        self.front, self.back = np.zeros((2, len(words), longest), np.uint8)
+        self.front[row, at] = codes
+        self.back[row, self.sizes[row] - 1 - at] = codes
+        # Products are exact: single precision holds all whole numbers below 2^24, double precision those below 2^53.
+        self.letters = np.zeros((len(words), 256), np.float32 if longest < 2048 else np.float64)
+        np.add.at(self.letters, (row, codes), 1)
+
+
+def one_edit(left: Side, i: np.ndarray, right: Side, j: np.ndarray) -> np.ndarray:
+    """Which pairs of distinct words become equal by exactly one code point inserted, deleted or replaced: what they share
+    at the front and at the back leaves one code point of the longer word."""
+    a, b = left.sizes[i], right.sizes[j]
+    short = np.minimum(a, b)
+
+    def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        width = min(x.shape[1], y.shape[1])
+        differ = x[i, :width] != y[j, :width]
+        return np.minimum(short, np.where(differ.any(axis=1), differ.argmax(axis=1), width))
+
+    return (np.abs(a - b) <= 1) & (shared(left.front, right.front) + shared(left.back, right.back) >= np.maximum(a, b) - 1)
+
+
+def near_pairs(left: Side, right: Side) -> Iterator[tuple[int, int]]:
+    """Index pairs of words one edit apart, by squared distances of their letter counts, a strip of rows at a time; with
+    one side given twice each pair comes once.
+
+    Two columns more make the product itself minus half the squared distance, so it is compared as it comes.
+    """
+    used = left.letters.any(axis=0) | right.letters.any(axis=0)
+    x, y = left.letters[:, used], right.letters[:, used]
+    half = [(z * z).sum(axis=1, keepdims=True) / 2 for z in (x, y)]
+    one = [np.ones_like(h) for h in half]
+    x, y = np.hstack([x, -half[0], one[0]]), np.hstack([y, one[1], -half[1]]).T
+    strip = max(16, CELLS // max(1, len(right.words)))
+    most = max(1, CELLS * 16 // max(1, left.front.shape[1]))
+    for s in range(0, len(left.words), strip):
+        first = s if left is right else 0
+        found = np.flatnonzero((x[s:s + strip] @ y[:, first:] >= -1).ravel())
+        for k in range(0, len(found), most):
+            i, j = np.divmod(found[k:k + most], len(right.words) - first)
+            i, j = s + i, first + j
+            if left is right:
+                i, j = i[i < j], j[i < j]
+            near = one_edit(left, i, right, j)
+            yield from zip(i[near].tolist(), j[near].tolist())
+
+
+def _effects(left: Side, right: Side, out: list[tuple]) -> None:
     """Adds what the near pairs of two sides mean for each word: (word, how many, n of the most frequent, that word)."""
     found: dict[str, list] = {}
-    for i, j in near_pairs(left.words, left.letters, right.words, right.letters):
+    for i, j in near_pairs(left, right):
         a, b, n_a, n_b = left.words[i], right.words[j], left.n[i], right.n[j]
         for word, n, other in ((a, n_b, b), (b, n_a, a)):
             old = found.setdefault(word, [0, 0, other])
@@ -140,7 +157,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def ready() -> None:
         nonlocal home
         if home is None and words:
-            home = _Side(words, n)
+            home = Side(words, n)
             _effects(home, home, out)
 
     def emptied() -> pa.RecordBatch:
@@ -158,7 +175,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if visit:
                 ready()
                 if home is not None:
-                    _effects(home, _Side(rows["word"][first:last], rows["n"][first:last]), out)
+                    _effects(home, Side(rows["word"][first:last], rows["n"][first:last]), out)
             else:
                 words += rows["word"][first:last]
                 n += rows["n"][first:last]
