@@ -24,11 +24,6 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
     return a["_id"].eqNullSafe(b["_id"]) & (a["_th"] == b["_th"])
 
 
-def hash_pair(column: Column) -> tuple[Column, Column]:
-    """Two 64-bit hashes, h1 and h2: together wide enough that distinct texts of a huge corpus do not collide."""
-    return F.xxhash64(column).alias("h1"), F.xxhash64(F.lit(1), column).alias("h2")
-
-
 def hex128(*columns: Column | str) -> Column:
     """32 hex digits from two 64-bit hashes: wide enough that distinct rows of a huge corpus do not collide."""
     return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0") for seed in (1, 2)])

@@ -8,11 +8,18 @@ a sentence still holds whole runs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections.abc import Iterator
 
-from tillwise.llm.common import hash_pair
-from tillwise.llm.repeats import RANGES, merged
-from tillwise.session import pin
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from tillwise.llm.common import runs, utf8
+from tillwise.llm.repeats import merged
+from tillwise.llm.words import mix
+from tillwise.session import settle
 
 RUN = 3
 #: A removed span has at least so many words: shorter ones ("Yes. No. Well.") recur by chance and are no copied passage.
@@ -27,46 +34,71 @@ WORD = f"[{SPACELESS}]|[^ \t\n\x0b\f\r{SPACELESS}]+"
 WHITE = " \t\n\x0b\f\r"
 
 
-def _sentences(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def run_hashes(sentences: list[str], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, a, b) of each run of ``run`` consecutive non-blank sentences, compared without white space around them:
+    128 bits of hash in two halves, and the places of its first and last sentence."""
+    trimmed = [s.strip(WHITE) for s in sentences]
+    at = np.array([i for i, s in enumerate(trimmed) if s], np.int32)
+    n = max(0, len(at) - run + 1)
+    halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in trimmed if s]), np.uint64).reshape(-1, 2)
+    out = np.zeros((n, 2), np.uint64)
+    for j in range(run):
+        out = out * _FACTOR + halves[j:j + n]
+    h = mix(out).view(np.int64)
+    return h[:, 0], h[:, 1], at[:n], at[run - 1:run - 1 + n]
 
 
 def runs_of(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(_id, _th, h1, h2, a, b): the hashes of each run of ``run`` consecutive non-blank sentences, and the places of its
-    first and last sentence. Sentences are compared without surrounding white space."""
-    rows = docs.select(
-        F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"),
-        F.transform(_sentences(F.col("text")), lambda u: F.trim(u, F.lit(WHITE))).alias("units"),
-    ).where(F.size("units") >= run)
-
-    def unit(s: Column, i: Column) -> Column:
-        return F.struct(*hash_pair(s), i.alias("i"), (s == "").alias("blank"))
-
-    full = F.filter(F.transform("units", unit), lambda x: ~x.blank)
-    rows = rows.select("_id", "_th", full.alias("full")).where(F.size("full") >= run)
-    rows = rows.select("_id", "_th", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size("full") - (run - 1)), lambda j: F.slice("full", j, run)
-    )).alias("w"))
-    return rows.select(
-        "_id", "_th", F.xxhash64("w.h1").alias("h1"), F.xxhash64("w.h2").alias("h2"),
-        F.col("w")[0].i.alias("a"), F.col("w")[run - 1].i.alias("b"),
-    )
+    """(_id, _th, h1, h2, a, b) of each run of sentences of each document."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = re.compile(SENTENCE).findall
+        for batch in batches:
+            for first, last in runs(utf8(batch.column(2))[0]):
+                found = [run_hashes(cut(t), run) for t in batch.column(2).slice(first, last - first).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(first, last), [len(f[0]) for f in found]))
+                columns = [batch.column(c).take(rows) for c in (0, 1)] + [pa.array(np.concatenate(c)) for c in zip(*found)]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_th", "h1", "h2", "a", "b"])
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text"))
+    return rows.mapInArrow(work, T.StructType([
+        *rows.schema.fields[:2], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
+        T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()),
+    ]))
 
 
 def repeated(wins: DataFrame, own: bool = False) -> DataFrame:
     """(_id, _th, ranges): per document the merged ranges of sentences that lie in a run met before.
 
     Before means in a document of smaller (id, text hash), or, with ``own``, earlier in the same one too. The first
-    places are combined before the shuffle and runs of one document only are dropped; the join has one row per run
-    on its right, so a run that a third of the documents share can be split over tasks.
+    places are combined before the shuffle and runs of one document only are dropped. What is left is written before
+    it is joined, one row per run: so both sides of the join are plain shuffles, and adaptive skew handling can split a
+    run that a third of the documents share.
     """
     place = F.struct("_id", "_th", "a") if own else F.struct("_id", "_th")
     first = wins.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    first = first.where(F.col("first") != F.col("last")).select("h1", "h2", "first")
+    first = settle(first.where(F.col("first") != F.col("last")).select("h1", "h2", "first"))
     later = wins.join(first, ["h1", "h2"]).where(place != F.col("first")).select("_id", "_th", F.struct("a", "b").alias("r"))
     return merged(later)
 
 
+def without(text: str, ranges: list[dict], min_words: int) -> tuple[str | None, int, int]:
+    """(text without the ranges of at least ``min_words`` words, sentences, sentences removed); the text is None where
+    nothing is removed."""
+    units = re.findall(SENTENCE, text)
+    word = re.compile(WORD).findall
+    gone = [r for r in ranges if sum(len(word(u)) for u in units[r["a"]:r["b"] + 1]) >= min_words]
+    if not gone:
+        return None, len(units), 0
+    ends, starts = [-1, *[r["b"] for r in gone]], [*[r["a"] for r in gone], len(units)]
+    kept = "".join("".join(units[end + 1:start]) for end, start in zip(ends, starts))
+    return kept, len(units), sum(r["b"] - r["a"] + 1 for r in gone)
+
+
 def substring_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, own: bool = False) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, plus n_sentences and n_removed.
 
@@ -82,21 +114,15 @@ def substring_dedup(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS,
     th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     left = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("row_id"), th.alias("row_th"))
     both = left.join(gone, left["row_id"].eqNullSafe(gone["_id"]) & (left["row_th"] == gone["_th"]), "left")
-    both = pin(both.select("row", "ranges", _sentences(F.col("row.text")).alias("units")))
-
-    def words(x: Column) -> Column:
-        inside = F.slice("units", x.a + 1, x.b - x.a + 1)
-        return F.aggregate(inside, F.lit(0), lambda n, u: n + F.size(F.regexp_extract_all(u, F.lit(WORD), F.lit(0))))
-
-    long_ones = F.coalesce(F.filter("ranges", lambda x: words(x) >= min_words), F.array().cast(RANGES))
-    both = pin(both.select("row", "units", long_ones.alias("ranges")))
-    ends = F.concat(F.array(F.lit(-1)), F.col("ranges.b"))
-    starts = F.concat(F.col("ranges.a"), F.array(F.size("units")))
-    kept = F.flatten(F.zip_with(ends, starts, lambda end, start: F.slice("units", end + 2, start - end - 1)))
-    new = {
-        "text": F.when(F.size("ranges") > 0, F.array_join(kept, "")).otherwise(F.col("row.text")),
-        "n_sentences": F.size("units").cast("long"),
-        "n_removed": F.aggregate("ranges", F.lit(0), lambda n, x: n + x.b - x.a + 1).cast("long"),
-    }
+
+    @F.arrow_udf("text string, n_sentences long, n_removed long")
+    def cut(text: pa.Array, ranges: pa.Array) -> pa.Array:
+        found = [without(t or "", r or [], min_words) for t, r in zip(text.to_pylist(), ranges.to_pylist())]
+        columns = list(zip(*found)) or [()] * 3
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["text", "n_sentences", "n_removed"])
+
+    both = both.withColumn("cut", cut(F.col("row.text"), F.col("ranges")))
+    new = {"text": F.coalesce(F.col("cut.text"), F.col("row.text")), "n_sentences": F.col("cut.n_sentences"), "n_removed": F.col("cut.n_removed")}
     rest = {c: F.col("row").getField(c) for c in docs.columns}
     return both.select(*[c.alias(name) for name, c in (rest | new).items()])
