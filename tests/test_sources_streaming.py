@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tillwise import schema
 from tillwise.sources import documents, export, files
-from tillwise.streaming import jobs
+from tillwise.streaming import jobs, tables
 
 
 def write_inbox(path, names):
@@ -110,18 +110,81 @@ def test_weeks_are_local_monday_weeks(spark, tmp_path):
     df.write.parquet(str(tmp_path / "r"))
     stream = jobs.stream_spend_by_week(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r")), "Europe/Stockholm")
     for late in ("2024-03-12 08:00:00", None):
-        jobs.upsert(stream, str(tmp_path / "weeks"), str(tmp_path / "state")).awaitTermination()
+        jobs.upsert(stream, str(tmp_path / "weeks"), str(tmp_path / "state"), ["week_start", "category"]).awaitTermination()
         if late:  # months after the newest row
             df.limit(1).select(F.lit(late).cast("timestamp").alias("purchased_at"), F.lit(8.0).alias("total"), "receipt_category").write.mode("append").parquet(str(tmp_path / "r"))
     got = {str(r.week_start): r.total for r in jobs.latest(spark, str(tmp_path / "weeks"), stream.schema, ["week_start", "category"]).collect()}
     assert got == {"2024-03-11 00:00:00": 11.0, "2024-03-18 00:00:00": 4.0, "2024-05-27 00:00:00": 0.0}
 
 
-def test_observation_stream(spark, tmp_path):
-    receipts = spark.createDataFrame([("r1", "S", datetime(2024, 1, 1))], "receipt_id string, store_name string, purchased_at timestamp")
-    items = spark.createDataFrame([("r1", 0, "Milk", 6.0, "2 pcs", None), ("r9", 0, "Milk", 6.0, "2 pcs", None)], "receipt_id string, pos int, raw_name string, line_total double, qty_raw string, unit_price_raw double")
-    items.write.parquet(str(tmp_path / "i"))
-    sink = lambda df, epoch: df.write.mode("append").parquet(str(tmp_path / "o"))
-    stream = spark.readStream.schema(items.schema).parquet(str(tmp_path / "i"))
-    jobs.stream_observations(stream, receipts, sink, str(tmp_path / "cp")).awaitTermination()
-    assert [(r.raw_name, r.unit_price) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("Milk", 3.0)]
+ITEM = "line_item_id string, receipt_id string, raw_name string, line_total double, qty_raw string, unit_price_raw double, arrival long"
+HEAD = "receipt_id string, store_name string, purchased_at timestamp, updated_at timestamp"
+
+
+def arrive(spark, folder, rows, ddl):
+    spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def day_of(n):
+    return datetime(2024, 1, n)
+
+
+def test_observations_wait_for_their_receipt(spark, tmp_path):
+    """Items and receipts come in any order, change, and are withdrawn; a batch that is run again adds nothing."""
+    items, heads = tmp_path / "i", tmp_path / "h"
+    arrive(spark, items, [("r1-0", "r1", "Milk", 6.0, "2 pcs", None, 1), ("r2-0", "r2", "Oat bread", 9.0, "3 pcs", None, 2), ("r3-0", "r3", " ", 9.0, None, None, 3)], ITEM)
+    arrive(spark, heads, [("r1", "S", day_of(1), day_of(1)), ("r3", "S", day_of(1), day_of(1))], HEAD)
+    observed, names = jobs.observation_table(spark, str(tmp_path / "o"), 3), jobs.product_name_table(spark, str(tmp_path / "n"), 3)
+
+    def run():
+        sides = [spark.readStream.schema(ddl).parquet(str(folder)) for folder, ddl in ((items, ITEM), (heads, HEAD))]
+        jobs.stream_observations(*sides, observed, str(tmp_path / "cp"), names).awaitTermination()
+        return {r.line_item_id: (r.store_name, r.unit_price, r.product_id) for r in jobs.current_observations(spark, observed).collect()}
+
+    first = run()
+    assert {k: v[:2] for k, v in first.items()} == {"r1-0": ("S", 3.0)}
+    arrive(spark, heads, [("r2", "T", day_of(2), day_of(2))], HEAD)  # the receipt comes after its item
+    arrive(spark, items, [("r1-1", "r1", "Milk", 8.0, "2 pcs", None, 4), ("r1-2", "r1", "Oat breads", 5.0, "1 pcs", None, 5)], ITEM)
+    second = run()
+    assert {k: v[:2] for k, v in second.items()} == {"r1-0": ("S", 3.0), "r2-0": ("T", 3.0), "r1-1": ("S", 4.0), "r1-2": ("S", 5.0)}
+    assert second["r1-0"][2] == second["r1-1"][2] == first["r1-0"][2] and second["r2-0"][2] == second["r1-2"][2]
+    arrive(spark, heads, [("r1", "Moved", day_of(1), day_of(5))], HEAD)  # a receipt corrected later
+    arrive(spark, items, [("r2-0", "r2", "Oat bread", None, "3 pcs", None, 6), ("r1-3", "r1", "Oat bread", 2.0, "1 pcs", None, 7)], ITEM)
+    third = run()
+    assert {k: v[:2] for k, v in third.items()} == {"r1-0": ("Moved", 3.0), "r1-1": ("Moved", 4.0), "r1-2": ("Moved", 5.0), "r1-3": ("Moved", 2.0)}
+    assert third["r1-3"][2] == second["r2-0"][2]
+    arrive(spark, heads, [("r2", "T", None, day_of(3))], HEAD)
+    fourth = run()
+    assert fourth == third == run()
+    # The last batch is run again after a crash between its writes and its commit.
+    last = max(int(f.name) for f in (tmp_path / "cp" / "commits").iterdir() if f.name.isdigit())
+    (tmp_path / "cp" / "commits" / str(last)).unlink()
+    (tmp_path / "cp" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    assert run() == third
+    assert names.read(spark).count() == 3
+
+
+def test_batch_tables_merge(spark, tmp_path):
+    """After any number of batches a reader needs one base and fewer than ``every`` batches, and nothing is lost."""
+    rows = lambda pairs: spark.createDataFrame(pairs, "k string, v int")
+    table = tables.BatchTable(str(tmp_path / "t"), rows([]).schema, ["k"], every=4)
+    want = {}
+    for epoch in range(18):
+        batch = {"a": epoch, f"k{epoch % 5}": epoch}
+        table.write(rows(list(batch.items())), epoch)
+        if epoch in (6, 7, 11):
+            table.write(rows(list(batch.items())), epoch)  # run again
+        want |= batch
+        assert {r.k: r.v for r in table.read(spark).collect()} == want and len(table.sources(spark)) <= 4
+    assert {r.k: r.v for r in table.read(spark, before=17).collect()} == want | {"a": 16, "k2": 12}
+    assert tables.numbered(spark, f"{table.path}/base", "upto") == [11, 15] and tables.numbered(spark, f"{table.path}/batches", "epoch") == [12, 13, 14, 15, 16, 17]
+    assert tables.numbered(spark, str(tmp_path / "none"), "x") == []
+
+
+def test_batch_tables_keep_the_newest_version(spark, tmp_path):
+    rows = lambda triples: spark.createDataFrame(triples, "k string, at int, v string")
+    table = tables.BatchTable(str(tmp_path / "t"), rows([]).schema, ["k"], ["at"], every=2)
+    table.write(rows([("a", 5, "new"), ("b", 1, "b1"), (None, 1, "n")]), 0)
+    table.write(rows([("a", 3, "old"), ("b", 1, "b2")]), 1)
+    table.write(rows([("a", None, "none")]), 2)
+    assert {r.k: r.v for r in table.read(spark).collect()} == {"a": "new", "b": "b2", None: "n"}

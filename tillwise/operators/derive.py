@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from tillwise.functions.amounts import unit_price
@@ -29,20 +31,21 @@ def priced_items(items: DataFrame) -> DataFrame:
 
 
 def derive_observations(
-    receipts: DataFrame, items: DataFrame, products: DataFrame | None = None
+    receipts: DataFrame, items: DataFrame, products: DataFrame | None = None, keys: Sequence[str] = ()
 ) -> dict[str, DataFrame]:
     """``line_items``, ``observations`` and ``aliases`` of the given receipts.
 
     ``items`` has ``receipt_id, pos, raw_name, line_total, qty_raw, unit_price_raw`` and a whole-number
-    ``arrival``. Replace the stored rows of these receipts with the result (see :func:`replace_rows`).
+    ``arrival``; with ``keys``, both tables carry the columns of a tenant. Replace the stored rows of these receipts with the result (see :func:`replace_rows`).
     """
-    matched, aliases = match_products(usable_items(receipts, items), products)
+    matched, aliases = match_products(usable_items(receipts, items), products, keys=keys)
     lines = priced_items(matched).withColumn("line_item_id", F.concat_ws("-", "receipt_id", "pos"))
     line_items = lines.select(
-        "line_item_id", "receipt_id", "raw_name", "line_total", "qty_raw", "unit_price_raw",
+        *keys, "line_item_id", "receipt_id", "raw_name", "line_total", "qty_raw", "unit_price_raw",
         F.col("product_id").alias("matched_product_id"), "match_confidence",
     )
     observations = lines.where("unit_price is not null").select(
+        *keys,
         F.col("line_item_id").alias("observation_id"), "product_id", "store_name",
         F.col("purchased_at").alias("observed_at"), F.col("line_total").alias("pack_price"), "unit_price", "unit_type",
         F.col("match_confidence").alias("confidence"), "receipt_id", "line_item_id",

@@ -291,7 +291,7 @@ SELECT strftime(date_trunc('week', t), {DAY}) AS week_start, category, round(sum
 GROUP BY date_trunc('week', t), category""",
     "stream_spend_by_month": f"""{LOCAL_ORDERS}
 SELECT strftime(t, '%Y-%m') AS month, category, round(sum(total), 2) AS total, count(*) AS receipt_count FROM l GROUP BY 1, 2""",
-    "stream_observations": f"""SELECT l_orderkey AS receipt_id, {LINE_ID} AS line_item_id, 'Store ' || (o_custkey % 40) AS store_name, l_extendedprice / l_quantity AS unit_price
+    "stream_observations": f"""SELECT l_orderkey AS receipt_id, {LINE_ID} AS line_item_id, 'Store ' || (o_custkey % 40) AS store_name, strftime(o_orderdate, {DAY}) AS observed_at, l_extendedprice / l_quantity AS unit_price
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "write_tables": "SELECT strftime(o_orderdate, '%Y-%m') AS purchase_month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
     "emit_activity": f"""SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'receipt_added' ELSE 'llm_completed' END AS kind, 'Receipt ' || o_orderkey AS description,

@@ -617,7 +617,7 @@ def _stream(spark, d, name, schema):
 def _drain(spark, stream: DataFrame, keys: list[str]) -> DataFrame:
     """Run a running aggregate over what is there and read its current rows from the shared checkpoint folder."""
     base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    jobs.upsert(stream, f"{base}/rows", f"{base}/state").awaitTermination()
+    jobs.upsert(stream, f"{base}/rows", f"{base}/state", keys).awaitTermination()
     return jobs.latest(spark, f"{base}/rows", stream.schema, keys)
 
 
@@ -657,14 +657,20 @@ def stream_ingest_files(spark, d):
 
 
 def stream_observations(spark, d):
-    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
-    items = _stream(spark, d, "lineitem", schema).select(
-        F.col("l_orderkey").alias("receipt_id"), tables.line_item_id().alias("line_item_id"), F.lit("Thing").alias("raw_name"), F.col("l_extendedprice").alias("line_total"),
-        F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" pcs")).alias("qty_raw"), F.lit(None).cast("double").alias("unit_price_raw"))
+    """Line items and receipts as two streams that wait for each other; the current observations of all of them."""
+    lines = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    orders = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    items = _stream(spark, d, "lineitem", lines).select(
+        F.col("l_orderkey").cast("string").alias("receipt_id"), tables.line_item_id().alias("line_item_id"), F.lit("Thing").alias("raw_name"), F.col("l_extendedprice").alias("line_total"),
+        F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" pcs")).alias("qty_raw"), F.lit(None).cast("double").alias("unit_price_raw"), F.col("l_linenumber").cast("long").alias("arrival"))
+    receipts = _stream(spark, d, "orders", orders).select(
+        F.col("o_orderkey").cast("string").alias("receipt_id"), F.concat(F.lit("Store "), (F.col("o_custkey") % 40).cast("string")).alias("store_name"),
+        F.col("o_orderdate").alias("purchased_at"), F.col("o_orderdate").alias("updated_at"))
     base = f"{ensure_checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    sink = lambda df, epoch: df.select("receipt_id", "line_item_id", "store_name", "unit_price").write.mode("append").parquet(f"{base}/rows")
-    jobs.stream_observations(items, tables.receipts(spark, d), sink, f"{base}/state").awaitTermination()
-    return spark.read.schema("receipt_id long, line_item_id string, store_name string, unit_price double").parquet(f"{base}/rows")
+    observed = jobs.observation_table(spark, f"{base}/rows")
+    jobs.stream_observations(items, receipts, observed, f"{base}/state").awaitTermination()
+    rows = jobs.current_observations(spark, observed)
+    return rows.select(F.col("receipt_id").cast("long").alias("receipt_id"), "line_item_id", "store_name", day("observed_at"), "unit_price")
 
 
 def write_tables(spark, d):

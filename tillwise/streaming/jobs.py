@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tillwise.functions.categories import category_key
-from tillwise.operators.derive import priced_items, usable_items
+from tillwise.functions.text import blank_to_null
+from tillwise.operators.derive import priced_items
+from tillwise.operators.products import learnt_names, match_products
+from tillwise.session import settle
 from tillwise.sources.files import RECEIPT_EXTENSIONS, hashed_listing, split_new_and_duplicate
+from tillwise.streaming.tables import BatchTable
 
 INBOX_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -50,24 +54,18 @@ def stream_ingest_files(
     )
 
 
-def upsert(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write the changed rows of a running aggregate under their batch number; :func:`latest` reads the current ones."""
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
+def upsert(rows: DataFrame, path: str, checkpoint: str, keys: Sequence[str], every: int = 16, **trigger) -> StreamingQuery:
+    """Write the changed rows of a running aggregate to the :class:`BatchTable` at ``path``; :func:`latest` reads them."""
+    table = BatchTable(path, rows.schema, list(keys), every=every)
     return (
-        rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch)
+        rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(table.write)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
 def latest(spark: SparkSession, path: str, schema, keys: Sequence[str]) -> DataFrame:
     """The last written row of each key of an :func:`upsert` table."""
-    values = [f.name for f in schema if f.name not in keys]
-    rows = spark.read.schema(schema.add("epoch", "long")).parquet(path)
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_last"))
-    return last.select(*keys, "_last.*")
+    return BatchTable(path, schema, list(keys)).read(spark)
 
 
 def stream_spend_by_week(receipts: DataFrame, zone: str = "UTC") -> DataFrame:
@@ -102,21 +100,70 @@ def months_of(days: DataFrame) -> DataFrame:
     )
 
 
+#: Current observations, by line item; see :func:`stream_observations`.
+OBSERVED = """
+    line_item_id STRING, receipt_id STRING, raw_name STRING, store_name STRING, observed_at TIMESTAMP, pack_price DOUBLE,
+    unit_price DOUBLE, unit_type STRING, product_id STRING, match_confidence INT, receipt_version TIMESTAMP, arrival BIGINT
+"""
+#: Names of products, as :func:`tillwise.operators.products.known_names` gives them.
+PRODUCT_NAMES = "name STRING, product_id STRING, seq BIGINT, canonical STRING"
+
+
+def observation_table(spark: SparkSession, path: str, every: int = 16) -> BatchTable:
+    schema = spark.createDataFrame([], OBSERVED).schema
+    return BatchTable(path, schema, ["line_item_id"], ["receipt_version", "arrival"], every)
+
+
+def product_name_table(spark: SparkSession, path: str, every: int = 16) -> BatchTable:
+    return BatchTable(path, spark.createDataFrame([], PRODUCT_NAMES).schema, ["name"], (), every)
+
+
 def stream_observations(
-    items: DataFrame, receipts: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger
+    items: DataFrame, receipts: DataFrame, observed: BatchTable, checkpoint: str, names: BatchTable | None = None, **trigger
 ) -> StreamingQuery:
-    """Price observations of arriving items, joined per batch with the receipts table."""
+    """Price observations from two streams, items and receipts, whichever of a pair comes first.
+
+    ``items`` has ``line_item_id, receipt_id, raw_name, line_total, qty_raw, unit_price_raw`` and a whole number
+    ``arrival``; ``receipts`` has ``receipt_id, store_name, purchased_at`` and ``updated_at``. Both sides wait in the state of
+    the join, without a time limit: an item is never lost for a late receipt. A receipt that comes again with a
+    later ``updated_at``, or a line item with a later ``arrival``, gives its observations anew, and ``observed`` keeps
+    the newest of each line item. An item without name or total, or of an undated receipt, has no price and withdraws
+    what was observed before; :func:`current_observations` leaves such rows out.
+
+    With ``names``, items are matched to the product names of earlier batches, and the names that a batch adds are
+    written under its number. A batch that is run again reads what was known before it and so writes the same rows.
+    """
+    heads = receipts.select("receipt_id", "store_name", F.col("purchased_at").alias("observed_at"), F.col("updated_at").alias("receipt_version"))
+    met = items.select("line_item_id", "receipt_id", "raw_name", "line_total", "qty_raw", "unit_price_raw", "arrival").join(heads, "receipt_id")
 
     def batch(df: DataFrame, epoch: int) -> None:
-        priced = priced_items(usable_items(receipts, df)).where("unit_price is not null")
-        sink(priced, epoch)
+        newest = F.max_by(F.struct(*[c for c in df.columns if c != "line_item_id"]), F.struct("receipt_version", "arrival")).alias("_n")
+        rows = df.groupBy("line_item_id").agg(newest).select("line_item_id", "_n.*")
+        rows = rows.withColumn("raw_name", blank_to_null(F.col("raw_name"))).withColumn("qty_raw", blank_to_null(F.col("qty_raw")))
+        live = F.col("raw_name").isNotNull() & F.col("line_total").isNotNull() & F.col("observed_at").isNotNull()
+        price, unit = F.when(live, F.col("unit_price")), F.when(live, F.col("unit_type"))
+        rows = priced_items(rows).withColumn("pack_price", F.col("line_total")).withColumn("unit_price", price).withColumn("unit_type", unit)
+        rows = settle(rows)
+        without = rows.where("unit_price is null").withColumn("product_id", F.lit(None).cast("string")).withColumn("match_confidence", F.lit(None).cast("int"))
+        priced = rows.where("unit_price is not null")
+        if names is None:
+            matched = priced.withColumn("product_id", F.lit(None).cast("string")).withColumn("match_confidence", F.lit(None).cast("int"))
+        else:
+            known = names.read(df.sparkSession, before=epoch)
+            matched, aliases = match_products(priced, known=known)
+            names.write(learnt_names(aliases, known), epoch)
+        observed.write(matched.unionByName(without), epoch)
 
     return (
-        items.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+        met.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
+def current_observations(spark: SparkSession, observed: BatchTable) -> DataFrame:
+    return observed.read(spark).where("unit_price is not null")
+
+
 def stream_activity_counts(activities: DataFrame, size: str = "1 day") -> DataFrame:
     """Rows per window and kind, for :func:`upsert`; open windows included."""
     return activities.groupBy(
