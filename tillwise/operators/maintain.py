@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillwise.functions.categories import (
@@ -115,16 +117,19 @@ def load_receipts(rows: DataFrame, as_of, currency: str = "kr") -> tuple[DataFra
     return receipts, staged.where("error is not null").select(*rows.columns, "error")
 
 
-def apply_receipt_updates(receipts: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_receipt_updates(receipts: DataFrame, updates: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(receipts, alias corrections) after user updates.
 
     ``updates`` has one row per receipt: ``receipt_id, fields`` (array of the field names given) and the new
     ``store_name, purchased_at`` (text), ``total, currency, receipt_category, receipt_subcategories, line_items_raw,
     clear_line_items``. Empty texts clear date, category and currency. A row with an unreadable date, category or
-    subcategory is skipped.
+    subcategory is skipped. Where ``updates`` has ``store_entity_id``, its store names are already those of stores (see
+    :func:`tillwise.operators.writes.update_receipts`).
     """
-    u = updates.select("receipt_id", *[F.col(c).alias(f"u_{c}") for c in updates.columns if c != "receipt_id"])
-    joined = receipts.join(u, "receipt_id", "left")
+    on_columns = [*keys, "receipt_id"]
+    placed = "store_entity_id" in updates.columns
+    u = updates.select(*on_columns, *[F.col(c).alias(f"u_{c}") for c in updates.columns if c not in on_columns])
+    joined = receipts.join(u, on_columns, "left")
     given = lambda name: F.coalesce(F.array_contains("u_fields", name), F.lit(False))
     new_date = blank_to_null(F.col("u_purchased_at")).try_cast("timestamp")
     bad_date = given("purchased_at") & blank_to_null(F.col("u_purchased_at")).isNotNull() & new_date.isNull()
@@ -137,17 +142,20 @@ def apply_receipt_updates(receipts: DataFrame, updates: DataFrame) -> tuple[Data
     pick = lambda name, value: F.when(on & given(name), value).otherwise(F.col(name))
     staged = (
         active.withColumn("_old_store", F.col("store_name"))
-        .withColumn("store_name", pick("store_name", normalize_store_name(F.col("u_store_name"))))
+        .withColumn("store_name", pick("store_name", F.col("u_store_name") if placed else normalize_store_name(F.col("u_store_name"))))
         .withColumn("purchased_at", pick("purchased_at", new_date))
         .withColumn("total", pick("total", F.col("u_total")))
         .withColumn("currency", pick("currency", blank_to_null(F.col("u_currency"))))
     )
+    if placed:
+        staged = staged.withColumn("store_entity_id", F.when(on & given("store_name"), F.coalesce("u_store_entity_id", "store_entity_id")).otherwise(F.col("store_entity_id")))
     inferred = infer_category(F.col("store_name"), F.col("filename"), F.col("raw_text"), F.col("ocr_text"))
     category, source = auto_category(
         given("receipt_category"), raw_category, F.when(given("receipt_category"), F.lit(MANUAL)),
         F.col("receipt_category"), F.col("receipt_category_source"), inferred,
     )
-    staged = staged.withColumn("_category", category).withColumn("_source", source)
+    # Worked out once: the rows below mention them many times.
+    staged = pin(staged.withColumn("_category", category).withColumn("_source", source))
     changed = given("receipt_category") | ~F.col("_category").eqNullSafe(F.col("receipt_category")) | ~F.col("_source").eqNullSafe(F.col("receipt_category_source"))
     rows = auto_subcategories(
         F.when(given("receipt_subcategories"), F.col("u_receipt_subcategories")), F.lit(None).cast(SUBCATEGORY_ROWS),
@@ -166,7 +174,7 @@ def apply_receipt_updates(receipts: DataFrame, updates: DataFrame) -> tuple[Data
     )
     corrections = staged.where(
         on & given("store_name") & F.col("store_name").isNotNull() & (F.trim("_old_store") != "") & (F.trim("_old_store") != F.trim("store_name"))
-    ).select("receipt_id", F.col("_old_store").alias("old_name"), F.col("store_name").alias("new_name"))
+    ).select(*on_columns, F.col("_old_store").alias("old_name"), F.col("store_name").alias("new_name"))
     return staged.select(*receipts.columns), corrections
 
 
@@ -183,24 +191,31 @@ def reparse_receipts(
     Undated receipts are left out when a range is given; ``limit`` takes the newest by ``created_at``.
     ``receipts`` needs ``locale`` and ``model`` columns beside the stored ones. Only changed rows are returned.
     """
-    if since and until and since > until:
-        raise ValueError("since must be <= until")
-    rows = receipts.where(in_date_range(F.col("purchased_at"), since, until))
-    if limit is not None:
-        rows = top_rows(rows, [F.col("created_at").desc(), F.col("receipt_id")], max(1, int(limit)))
-    text = F.coalesce(F.nullif("ocr_text", F.lit("")), F.nullif("raw_text", F.lit("")))
     compared = ("total", "purchased_at", "store_name", "line_items_raw")
-    before = rows.where(text.isNotNull()).withColumn("text", text)
+    before = receipts
     for c in compared:
         before = before.withColumn(f"_old_{c}", F.col(c))
-    after = pin(extract_receipts(before, as_of, overwrite))
+    after = reread(before, as_of, since, until, limit, overwrite)
     differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"_old_{c}"))
     has_items = F.coalesce(F.size("line_items_raw") > 0, F.lit(False))
     needs_items = differs("line_items_raw") | ((differs("store_name") | differs("purchased_at")) & has_items)
     after = after.withColumn("items_changed", needs_items).withColumn(
         "changed", differs("total") | differs("purchased_at") | differs("store_name") | differs("line_items_raw")
     )
-    return after.where("changed").drop("text", *[f"_old_{c}" for c in compared])
+    return after.where("changed").drop(*[f"_old_{c}" for c in compared])
+
+
+def reread(
+    receipts: DataFrame, as_of, since: str | None = None, until: str | None = None, limit: int | None = None, overwrite: bool = False
+) -> DataFrame:
+    """The receipts of the range that have a text, with what is read from it."""
+    if since and until and since > until:
+        raise ValueError("since must be <= until")
+    rows = receipts.where(in_date_range(F.col("purchased_at"), since, until))
+    if limit is not None:
+        rows = top_rows(rows, [F.col("created_at").desc(), F.col("receipt_id")], max(1, int(limit)))
+    text = F.coalesce(F.nullif("ocr_text", F.lit("")), F.nullif("raw_text", F.lit("")))
+    return pin(extract_receipts(rows.where(text.isNotNull()).withColumn("text", text), as_of, overwrite)).drop("text")
 
 
 # ---------------------------------------------------------------- duplicates
@@ -288,6 +303,18 @@ def reset_stuck_receipts(receipts: DataFrame, as_of, older_than_minutes: int, in
     return marked.drop("_stuck")
 
 
+def queue_extraction(receipts: DataFrame, as_of, ids: DataFrame | None = None) -> DataFrame:
+    """``receipts`` with pending and failed ones put into the queue: those in ``ids``, or all that have a file."""
+    waiting = F.col("extract_status").isin("pending", "failed")
+    if ids is None:
+        chosen, rows = F.coalesce("file_path", F.lit("")) != "", receipts
+    else:
+        chosen, rows = F.col("_asked").isNotNull(), receipts.join(ids.select("receipt_id", F.lit(True).alias("_asked")).distinct(), "receipt_id", "left")
+    queue = F.coalesce(waiting & chosen, F.lit(False))
+    rows = rows.withColumn("extract_queued_at", F.when(queue, instant(as_of)).otherwise(F.col("extract_queued_at")))
+    return rows.withColumn("extract_status", F.when(queue, "queued").otherwise(F.col("extract_status"))).select(*receipts.columns)
+
+
 def mark_extract_failed(receipts: DataFrame, failures: DataFrame, as_of) -> DataFrame:
     """Receipts with the failed ones marked, timed, their text cleared and their category inferred again.
 

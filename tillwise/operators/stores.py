@@ -335,6 +335,12 @@ def new_store_key() -> Column:
     )
 
 
+def _new_store_id(keys: Sequence[str], key: Column) -> Column:
+    """An identifier that follows from the tenant and the key."""
+    tenant = [F.concat(F.coalesce(F.col(k).cast("string"), F.lit("")), F.lit("\x00")) for k in keys]
+    return F.substring(F.sha2(F.concat(*tenant, key), 256), 1, 32)
+
+
 def new_stores(matched: DataFrame, as_of, keys: Sequence[str] = ()) -> DataFrame:
     """Store rows to create for the receipts that :func:`match_stores` left as ``new``."""
     rows = matched.where("match_kind = 'new'").withColumn("_new", new_store_key())
@@ -348,14 +354,14 @@ def new_stores(matched: DataFrame, as_of, keys: Sequence[str] = ()) -> DataFrame
         F.array_sort(F.collect_set(blank_to_null(F.col("chain_name")))).alias("aliases"),
     )
     stamp = F.lit(as_of).cast("timestamp")
-    return made.withColumn("store_entity_id", F.substring(F.sha2("_new", 256), 1, 32)).withColumn(
+    return made.withColumn("store_entity_id", _new_store_id(keys, F.col("_new"))).withColumn(
         "created_at", stamp
     ).withColumn("updated_at", stamp).drop("_new")
 
 
 def assign_stores(matched: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Matched receipts with the identifier of their existing or new store."""
-    fresh = F.substring(F.sha2(new_store_key(), 256), 1, 32)
+    fresh = _new_store_id(keys, new_store_key())
     return matched.withColumn(
         "store_entity_id", F.when(F.col("match_kind") == "new", fresh).otherwise(F.col("store_entity_id"))
     )

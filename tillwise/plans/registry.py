@@ -1,6 +1,6 @@
 """All registered queries and SQL twins."""
 
-from tillwise.plans import oracle_analytics, oracle_data, queries_analytics, queries_data
+from tillwise.plans import oracle_analytics, oracle_data, queries_analytics, queries_data, queries_writes
 
-QUERIES = {**queries_analytics.QUERIES, **queries_data.QUERIES}
-ORACLE = {**oracle_analytics.ORACLE, **oracle_data.ORACLE}
+QUERIES = {**queries_analytics.QUERIES, **queries_data.QUERIES, **queries_writes.QUERIES}
+ORACLE = {**oracle_analytics.ORACLE, **oracle_data.ORACLE, **queries_writes.ORACLE}
