@@ -16,7 +16,7 @@ def con(sf_dir):
 
 def test_twins_belong_to_queries():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(registry.QUERIES) - set(registry.ORACLE) == {"match_products", "snapshot"}
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"match_products"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

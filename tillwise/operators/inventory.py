@@ -32,16 +32,24 @@ def inventory_recently_seen(
     return top_rows(rows, [F.col("last_seen_at").desc(), F.col("product_id")], limit, keys)
 
 
-def inventory_by_day(seen: DataFrame, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
-    """The sightings, or the newest ``limit`` of them, grouped by local day, with confidence in percent."""
-    newest = top_rows(seen, [F.col("last_seen_at").desc(), F.col("product_id")], limit, keys)
+def inventory_day_rows(seen: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """All sightings with their local day, the number of sightings of that day, and what is shown of each: (*keys, day, n,
+    at, product_id, label). A day may have any number of rows; nothing is collected."""
     percent = half_even(F.col("confidence") * 100, 0).cast("long").cast("string")
     label = F.concat(F.col("product"), F.lit(" ("), F.coalesce(percent, F.lit("None")), F.lit("%)"))
-    # The list of a day is one value of the result; only a ``limit`` bounds it.
-    entries = F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("last_seen_at")).alias("at"), "product_id", label.alias("label"))), False)
-    return newest.groupBy(*keys, F.to_date("last_seen_at").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.transform(entries, lambda e: e["label"]).alias("items")
-    )
+    rows = seen.select(*keys, F.to_date("last_seen_at").alias("day"), F.unix_micros(F.col("last_seen_at")).alias("at"), "product_id", label.alias("label"))
+    counts = rows.groupBy(*keys, "day").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(counts, [*keys, "day"]).select(*keys, "day", "n", "at", "product_id", "label")
+
+
+def inventory_by_day(seen: DataFrame, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """The sightings, or the newest ``limit``, as a list per local day for a display; a day's list is one value, so days of
+    unknown size are better read from :func:`inventory_day_rows`."""
+    newest = top_rows(seen, [F.col("last_seen_at").desc(), F.col("product_id")], limit, keys)
+    rows = inventory_day_rows(newest, keys)
+    entries = F.sort_array(F.collect_list(F.struct("at", "product_id", "label")), False)
+    return rows.groupBy(*keys, "day").agg(F.max("n").alias("n"), F.transform(entries, lambda e: e["label"]).alias("items"))
+
 
 
 def detected_items(raw: Column) -> Column:

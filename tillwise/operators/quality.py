@@ -151,7 +151,10 @@ def processing_timing(
     receipts: DataFrame, as_of, keys: Sequence[str] = (), window_n: int | None = None, model_method: str = "llm",
     places: int = 2,
 ) -> DataFrame:
-    """Seconds per extraction over all runs, or the newest ``window_n``: overall, by method, and by provider of model runs."""
+    """Seconds per extraction over all runs, or the newest ``window_n``: overall, by method, and by provider of model runs.
+
+    Each row also has ``window_n`` and ``considered``, the number of runs that it and the others look at.
+    """
     ts = F.coalesce("extract_finished_at", "created_at", instant(as_of))
     done = receipts.where((F.col("extract_status") == "done") & (F.col("extract_duration_ms") > 0)).select(
         *keys, "receipt_id", ts.alias("_ts"), (F.col("extract_duration_ms") / 1000.0).alias("seconds"),
@@ -173,7 +176,10 @@ def processing_timing(
     )
     means = exploded.groupBy("_group").agg(F.avg("seconds").alias("mean"))
     ranked = exact_medians(exploded, ["_group"], "seconds", extra={"p95": nearest_rank(0.95)})
-    return ranked.join(means, "_group").select(
+    rows = ranked.join(means, "_group").select(
         "_group.*", F.col("n").alias("count"), half_even("mean", places).alias("avg_s"),
         half_even("median", places).alias("median_s"), half_even("p95", places).alias("p95_s"),
     )
+    # A handful of rows per tenant: the overall one knows how many runs there were.
+    considered = F.max(F.when(F.col("group_kind") == "overall", F.col("count"))).over(Window.partitionBy(*keys))
+    return rows.withColumn("window_n", F.lit(window_n).cast("long")).withColumn("considered", considered)

@@ -158,8 +158,7 @@ SELECT period, category, month, month || '-01' AS month_start, round(total, 4) A
 ORDER BY {PERIOD_RANK}, category, month DESC, total DESC""",
     "spend_by_category_periods_by_tenant": f"""WITH {RECEIPTS}, {PERIODS.replace('SELECT receipt_id, category', 'SELECT receipt_id, customer_id % 20 AS tenant, category')},
 {CATEGORY_ROWS.format(keys='tenant,', src='periods')}
-SELECT tenant, period, category, month, month || '-01' AS month_start, round(total, 4) AS total, receipt_count FROM cats
-QUALIFY row_number() OVER (PARTITION BY tenant ORDER BY {PERIOD_RANK}, category, month DESC, total DESC) <= 120""",
+SELECT tenant, period, category, month, month || '-01' AS month_start, round(total, 4) AS total, receipt_count FROM cats""",
     "spend_by_subcategory_periods": f"""WITH {RECEIPTS}, {SUBS}, {A7}, {PERIODS},
 rows_ AS (SELECT period, category, subcategory, month, sum(a7.total) AS total, count(*) AS receipt_count
   FROM periods JOIN a7 USING (receipt_id) WHERE a7.total > 0 GROUP BY ALL)
@@ -181,13 +180,14 @@ SELECT count(*) AS total_receipts, count(*) FILTER (status IN ('pending', 'queue
   count(*) FILTER (status = 'failed') AS failed FROM s""",
     "processing_timing": f"""WITH {RECEIPTS}, newest AS (
   SELECT receipt_id, method, provider, extract_duration_ms / 1000.0::DOUBLE AS s FROM receipts
-  WHERE extract_status = 'done' AND extract_duration_ms > 0 ORDER BY purchased_at DESC, receipt_id LIMIT 200),
+  WHERE extract_status = 'done' AND extract_duration_ms > 0),
 g AS (
   SELECT 'overall' AS group_kind, 'all' AS group_value, s FROM newest UNION ALL SELECT 'method', method, s FROM newest
   UNION ALL SELECT 'provider', provider, s FROM newest WHERE method = 'llm'),
 r AS (SELECT *, row_number() OVER (PARTITION BY group_kind, group_value ORDER BY s) - 1 AS rn, count(*) OVER (PARTITION BY group_kind, group_value) AS n FROM g)
 SELECT group_kind, group_value, count(*) AS count, round(avg(s), 6) AS avg_s, round(median(s), 6) AS median_s,
-  round(max(CASE WHEN rn = round_even((n - 1) * 0.95, 0) THEN s END), 6) AS p95_s FROM r GROUP BY 1, 2""",
+  round(max(CASE WHEN rn = round_even((n - 1) * 0.95, 0) THEN s END), 6) AS p95_s,
+  CAST(NULL AS BIGINT) AS window_n, (SELECT count(*) FROM newest) AS considered FROM r GROUP BY 1, 2""",
     "recent_receipts": f"""WITH {RECEIPTS}
 SELECT receipt_id, strftime(purchased_at, {DAY}) AS purchased_at, store_name, total, filename, receipt_category, receipt_category_source
 FROM receipts ORDER BY receipts.purchased_at DESC, receipt_id LIMIT 20""",
@@ -302,9 +302,9 @@ SELECT product_id, c_name AS product, strftime(seen, {DAY}) AS last_seen_at, str
 FROM s JOIN customer ON c_custkey = product_id WHERE seen + INTERVAL 7 DAY > {EVENTS_AS_OF} ORDER BY seen DESC, product_id""",
     "inventory_by_day": f"""WITH s AS (SELECT user_id AS product_id, max(ts) AS seen, max(value) / 500 AS conf FROM events WHERE event_type = 'view' GROUP BY 1),
 top AS (SELECT product_id, c_name, seen, round_even(conf, 3) AS conf FROM s JOIN customer ON c_custkey = product_id
-  WHERE seen + INTERVAL 7 DAY > {EVENTS_AS_OF} ORDER BY seen DESC, product_id LIMIT 50)
-SELECT CAST(CAST(seen AS DATE) AS VARCHAR) AS day, count(*) AS n,
-  string_agg(c_name || ' (' || CAST(round_even(conf * 100, 0) AS BIGINT) || '%)', '; ' ORDER BY seen DESC, product_id DESC) AS items FROM top GROUP BY 1""",
+  WHERE seen + INTERVAL 7 DAY > {EVENTS_AS_OF})
+SELECT CAST(CAST(seen AS DATE) AS VARCHAR) AS day, count(*) OVER (PARTITION BY CAST(seen AS DATE)) AS n, product_id,
+  c_name || ' (' || CAST(round_even(conf * 100, 0) AS BIGINT) || '%)' AS item FROM top""",
     "apply_inventory_evidence": f"""WITH a AS (SELECT user_id AS product_id, max(greatest(0, least(1, value / 500))) AS c FROM events GROUP BY 1),
 s AS (SELECT user_id AS product_id, max(ts) AS seen, max(value) / 500 AS conf FROM events WHERE event_type = 'view' GROUP BY 1)
 SELECT product_id, round(greatest(c, coalesce(conf, 0)), 6) AS last_seen_confidence, strftime({EVENTS_AS_OF}, {DAY}) AS last_seen_at,

@@ -84,7 +84,7 @@ def receipt_status_summary(spark, d):
 
 
 def processing_timing(spark, d):
-    return quality.processing_timing(tables.receipts(spark, d), AS_OF, window_n=quality.TIMING_WINDOW, places=6)
+    return quality.processing_timing(tables.receipts(spark, d), AS_OF, places=6)
 
 
 def recent_receipts(spark, d):
@@ -316,8 +316,7 @@ def inventory_recently_seen(spark, d):
 def inventory_by_day(spark, d):
     products = load(spark, d, "customer").select(F.col("c_custkey").alias("product_id"), F.col("c_name").alias("canonical_name"))
     seen = inventory.inventory_recently_seen(products, tables.evidence_state(spark, d), EVENTS_AS_OF)
-    rows = inventory.inventory_by_day(seen, limit=inventory.DAY_ROWS)
-    return rows.select(F.col("day").cast("string").alias("day"), "n", F.array_join("items", "; ").alias("items"))
+    return inventory.inventory_day_rows(seen).select(F.col("day").cast("string").alias("day"), "n", "product_id", F.col("label").alias("item"))
 
 
 def apply_inventory_evidence(spark, d):
@@ -385,7 +384,7 @@ def snapshot_result_sizes(spark, d):
             "product_id", days_before(instant(AS_OF), 2).alias("last_seen_at"), F.lit(0.5).alias("last_seen_confidence")),
         "activities": _activities(spark, d),
     }
-    return snapshot_sizes(snapshot(all_tables, AS_OF))
+    return snapshot_sizes(snapshot(all_tables, AS_OF, settled=True))
 
 
 QUERIES = {

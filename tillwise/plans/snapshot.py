@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from tillwise.config import Config
 from tillwise.operators import activities, inventory, prices, quality, spend
+from tillwise.session import settle
 
 
-def snapshot(tables: dict[str, DataFrame], as_of, config: Config = Config(), keys: Sequence[str] = (), persist: bool = False) -> dict[str, DataFrame]:
+def snapshot(tables: dict[str, DataFrame], as_of, config: Config = Config(), keys: Sequence[str] = (), persist: bool = False, settled: bool = False) -> dict[str, DataFrame]:
     """Result tables by name from ``receipts, items, observations, products, product_state, activities``.
 
-    With ``persist`` the receipts and observations are kept on the executors while the results are read.
+    With ``settled`` the facts (receipts, items, observations) are worked out once and written to the checkpoint folder, so
+    that each is scanned once however many results read it and lost executors cost nothing; with ``persist`` the
+    receipts and observations are kept on the executors instead.
     """
+    if settled:
+        tables = tables | {name: settle(tables[name]) for name in ("receipts", "items", "observations")}
     receipts, obs, products = tables["receipts"], tables["observations"], tables["products"]
     if persist:
         receipts = receipts.persist(StorageLevel.MEMORY_AND_DISK)
@@ -44,10 +49,19 @@ def snapshot(tables: dict[str, DataFrame], as_of, config: Config = Config(), key
     }
 
 
+#: A whole-number column of a result whose sum tells more than its number of rows.
+MEASURES = {
+    "receipt_status_counts": "count", "processing_timing": "count", "top_price_increases": "observations", "spend_by_category_periods": "receipt_count",
+    "spend_by_subcategory_periods": "receipt_count", "category_meta": "returned_rows", "subcategory_meta": "returned_rows", "unknown_subcategory_items": "count",
+}
+
+
 def snapshot_sizes(results: dict[str, DataFrame]) -> DataFrame:
-    """(result, row_count) of every result table."""
+    """(result, row_count, measured) of every result table; measured sums the column that ``MEASURES`` names."""
+    none = F.lit(None).cast("long")
     parts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("result"), "row_count")
+        df.agg(F.count(F.lit(1)).alias("row_count"), (F.sum(F.col(MEASURES[name]).cast("long")) if name in MEASURES else F.max(none)).alias("measured"))
+        .select(F.lit(name).alias("result"), "row_count", "measured")
         for name, df in sorted(results.items())
     ]
     return reduce(DataFrame.unionByName, parts)
