@@ -93,3 +93,11 @@ def test_pairs_with_too_few_common_characters_are_left_out(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     kept = df.select("a", "b", products.may_be_similar(products._elements(F.col("a")), products._elements(F.col("b"))).alias("ok")).collect()
     assert all(r.ok for r in kept if SequenceMatcher(None, r.a, r.b).ratio() >= 0.75) and not all(r.ok for r in kept)
+
+
+def test_equal_events_keep_their_own_ids(spark):
+    from tillwise.operators.activities import emit_activity
+
+    rows = spark.createDataFrame([("x", 1, 5), ("x", 2, 5), ("y", 1, 5)], "tenant string, nr int, n int")
+    emit = lambda: [r.activity_id for r in emit_activity(rows, "receipt_added", F.lit("Added"), ["n"], AT, ["tenant"], ["nr"]).collect()]
+    assert len(set(emit())) == 3 and emit() == emit()

@@ -65,11 +65,18 @@ def recent_activities(activities: DataFrame, keys: Sequence[str] = (), limit: in
     )
 
 
-def emit_activity(rows: DataFrame, kind: str, description: Column, payload_columns: Sequence[str], as_of, keys: Sequence[str] = ()) -> DataFrame:
-    """One audit row per input row; the id is a hash of kind, time and payload."""
+def emit_activity(
+    rows: DataFrame, kind: str, description: Column, payload_columns: Sequence[str], as_of, keys: Sequence[str] = (), row_key: Sequence[str] = (),
+) -> DataFrame:
+    """One audit row per input row; the id is a hash of kind, time, payload, tenant and ``row_key``.
+
+    Events whose payloads may be equal need the columns of a row key, which tell them apart; the same input then gives the
+    same ids again.
+    """
     payload = F.to_json(F.struct(*payload_columns))
     stamp = instant(as_of)
-    ident = F.sha2(F.concat_ws("|", F.lit(kind), stamp.cast("string"), payload), 256)
+    more = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*keys, *row_key)]
+    ident = F.sha2(F.concat_ws("|", F.lit(kind), stamp.cast("string"), payload, *more), 256)
     return rows.select(
         *keys, F.substring(ident, 1, 32).alias("activity_id"), stamp.alias("timestamp"), F.lit(kind).alias("kind"),
         description.alias("description"), payload.alias("payload"),

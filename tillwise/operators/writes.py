@@ -110,10 +110,12 @@ def update_receipts(
     bad_date = given("purchased_at") & blank_to_null(F.col("purchased_at")).isNotNull() & F.trim("purchased_at").try_cast("timestamp").isNull()
     bad_category = given("receipt_category") & blank_to_null(F.col("receipt_category")).isNotNull() & category_alias(F.col("receipt_category")).isNull()
     name = normalize_store_name(F.col("store_name"))
-    named = updates.where(given("store_name") & ~bad_date & ~bad_category).select(*on, name.alias("store_name"))
+    # A name is normalised once; all that follows reads the result.
+    updates = pin(updates.withColumn("store_name", name).withColumn("_valid", ~F.coalesce(bad_date | bad_category, F.lit(False))))
+    named = updates.where(given("store_name") & F.col("_valid")).select(*on, "store_name")
     known = receipts.select(*on, *([F.col(f"merchant_hints.{c}").alias(c) for c in ("branch_name", *HINT_FIELDS)] if "merchant_hints" in receipts.columns else []))
     placed, stores = place_stores(named.join(known, on), stores, store_aliases, as_of, keys)
-    ready = _with_places(updates.withColumn("store_name", name), placed, keys)
+    ready = _with_places(updates.drop("_valid"), placed, keys)
     before = receipts if "store_entity_id" in receipts.columns else receipts.withColumn("store_entity_id", F.lit(None).cast("string"))
     after, fixes = maintain.apply_receipt_updates(before, ready, keys)
     after = settle(after)
