@@ -85,3 +85,19 @@ def test_config_ranges():
         Config(baseline_window=2)
     with pytest.raises(ValueError):
         Config.from_options({"nope": 1})
+
+
+def test_rounding_follows_the_binary_value(spark):
+    import random
+
+    from tillwise.functions.amounts import half_even
+
+    rng = random.Random(4)
+    values = [2.675, 2.665, 1.005, 0.125, 0.375, 2.5, 3.5, -2.675, -0.125, 0.0, 1e15 + 0.5, 1e300, 0.285, 1.115]
+    values += [rng.randint(-10**6, 10**6) / 10 ** rng.randint(1, 7) for _ in range(3000)] + [(2 * rng.randint(0, 10**5) + 1) / 2000 for _ in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (0, 1, 2, 3, 4, 6, 7):
+        got = df.select("v", half_even("v", places).alias("r")).collect()
+        assert [(r.v, r.r) for r in got if r.r != round(r.v, places)] == [], places
+    empty = df.select(half_even(F.lit(None).cast("double"), 2).alias("n"), half_even(F.lit(float("nan")), 2).alias("x")).first()
+    assert empty.n is None and empty.x != empty.x

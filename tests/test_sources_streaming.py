@@ -104,6 +104,24 @@ def test_file_stream_keeps_old_files(spark, tmp_path):
     assert sorted(r.filename for r in spark.read.parquet(target).collect()) == ["a.pdf", "epoch.pdf", "old.pdf"]
 
 
+def test_file_stream_forgets_nothing_and_rereads_nothing(spark, tmp_path):
+    """Copies of contents from any earlier batch are left out, known ones too, and a batch that is run again feeds the same."""
+    inbox, target = tmp_path / "in", str(tmp_path / "out")
+    known = lambda: spark.createDataFrame([("sha256:" + __import__("hashlib").sha256(b"known").hexdigest(),)], "fingerprint string")
+    sink = lambda df, epoch: df.select("filename", "fingerprint", "status").write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+    for i in range(5):
+        write_inbox(inbox, {f"new{i}.pdf": b"new%d" % i, f"copy{i}.pdf": b"new0", f"known{i}.pdf": b"known", f"x{i}.txt": b"text%d" % i})
+        jobs.stream_ingest_files(jobs.stream_inbox(spark, str(inbox)), known, sink, str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(target)
+    assert got.count() == 5 == got.select("fingerprint").distinct().count() and {r.status for r in got.collect()} == {"imported"}
+    before = sorted(tuple(r) for r in got.collect())
+    last = max(int(f.name) for f in (tmp_path / "cp" / "commits").iterdir() if f.name.isdigit())
+    (tmp_path / "cp" / "commits" / str(last)).unlink()
+    (tmp_path / "cp" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    jobs.stream_ingest_files(jobs.stream_inbox(spark, str(inbox)), known, sink, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == before
+
+
 def test_weeks_are_local_monday_weeks(spark, tmp_path):
     rows = [("2024-03-10 23:30:00", 1.0), ("2024-03-11 10:00:00", 2.0), ("2024-03-18 10:00:00", 4.0), ("2024-06-01 00:00:00", 0.0)]
     df = spark.createDataFrame(rows, "purchased_at string, total double").select(F.col("purchased_at").cast("timestamp"), "total", F.lit("grocery").alias("receipt_category"))

@@ -93,6 +93,24 @@ def iqr_stability(q25: Column, q75: Column, median: Column) -> Column:
     return clamp01(1.0 - spread / 0.25)
 
 
+#: Dekker's constant: splits a double into two halves whose products with numbers below 2^26 are exact.
+SPLIT = float((1 << 27) + 1)
+
+
 def half_even(c: Column | str, places: int) -> Column:
-    """Presentation rounding; ties go to the even digit."""
-    return F.bround(c, places)
+    """Presentation rounding of a double by its binary value; only true ties go to the even digit.
+
+    The built-in rounds the shortest decimal form, which for 2.675 is a tie although the number lies below it. Where that
+    form is a tie, the exact distance to it decides. Up to 7 places; beyond, and for other types, the built-in holds.
+    """
+    x = F.col(c) if isinstance(c, str) else c
+    if not 0 <= places <= 7:
+        return F.bround(x, places)
+    scale = float(2 * 10**places)
+    v = x.cast("double")
+    nearest = F.rint(v * scale)
+    tie = (F.abs(nearest) < 2.0**53) & (F.abs(nearest % 2) == 1) & (v == nearest / scale)
+    high = v * SPLIT - (v * SPLIT - v)
+    above = (high * scale - nearest) + (v - high) * scale
+    plain = F.bround(x, places)
+    return F.when(tie & (above > 0), (nearest + 1) / scale).when(tie & (above < 0), (nearest - 1) / scale).otherwise(plain)

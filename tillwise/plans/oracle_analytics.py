@@ -114,7 +114,7 @@ recs AS (
       + 0.25 * CASE WHEN age <= 7 THEN 1 WHEN age <= 30 THEN 1 - (age - 7) / 23 * 0.4 WHEN age <= 60 THEN 0.6 - (age - 30) / 30 * 0.6 ELSE 0 END
     ))) AS confidence
   FROM wr WHERE gap >= 0.02)"""
-PLAN = """votes AS (SELECT * FROM recs WHERE round_even(confidence, 3) >= 0.75),
+PLAN = """votes AS (SELECT * FROM recs WHERE CAST(printf('%.3f', confidence) AS DOUBLE) >= 0.75),
 plan AS (
   SELECT store, count(*) AS wins, row_number() OVER (ORDER BY count(*) DESC, min(product_id), store) AS place FROM votes GROUP BY 1
   QUALIFY place <= 2)"""
@@ -287,21 +287,21 @@ obs AS (
 list AS (SELECT id, name, c_mktsegment, lower(CASE c_mktsegment WHEN 'MACHINERY' THEN split_part(name, ' @ ', 1) ELSE name[8:] END) AS key FROM raw_list
   WHERE name IS NOT NULL AND NOT complete),
 named AS (
-  SELECT s.product_id, coalesce(c_name, CAST(s.product_id AS VARCHAR)) AS name, s.confidence, planned_store AS store, round_even(r.confidence, 3) AS sc,
-    planned_store IS NOT NULL AND round_even(r.confidence, 3) >= 0.75 AS tagged
+  SELECT s.product_id, coalesce(c_name, CAST(s.product_id AS VARCHAR)) AS name, s.confidence, planned_store AS store, CAST(printf('%.3f', r.confidence) AS DOUBLE) AS sc,
+    planned_store IS NOT NULL AND CAST(printf('%.3f', r.confidence) AS DOUBLE) >= 0.75 AS tagged
   FROM statuses s LEFT JOIN customer ON c_custkey = s.product_id LEFT JOIN recs r ON r.product_id = s.product_id
     LEFT JOIN planned p ON p.product_id = s.product_id WHERE status = 'candidate'),
 j AS (SELECT n.*, '[Auto] ' || n.name || CASE WHEN tagged THEN ' @ ' || store ELSE '' END AS new_name, l.id, l.name AS old_name, l.c_mktsegment AS seg, s.tag_confidence
   FROM named n LEFT JOIN list l ON l.key = lower(n.name) LEFT JOIN state s ON s.product_id = n.product_id),
 a AS (SELECT *, CASE WHEN id IS NULL THEN 'add' WHEN lower(old_name) = lower(new_name) THEN 'already_present'
   WHEN tagged AND (seg <> 'MACHINERY' OR sc >= greatest(0.75, coalesce(tag_confidence, 0) + 0.10::DOUBLE)) THEN 'rename' ELSE 'already_present' END AS action FROM j)
-SELECT product_id, action, new_name, old_name, CASE WHEN action <> 'add' THEN id END AS shopping_list_item_id, store, round_even(confidence, 3) AS confidence FROM a""",
+SELECT product_id, action, new_name, old_name, CASE WHEN action <> 'add' THEN id END AS shopping_list_item_id, store, CAST(printf('%.3f', confidence) AS DOUBLE) AS confidence FROM a""",
     "auto_shopping_skipped": f"WITH {RUN_LEVELS}, {STATE}, {STATUSES} SELECT product_id, status FROM statuses WHERE status <> 'candidate'",
     "inventory_recently_seen": f"""WITH s AS (SELECT user_id AS product_id, max(ts) AS seen, max(value) / 500 AS conf FROM events WHERE event_type = 'view' GROUP BY 1)
-SELECT product_id, c_name AS product, strftime(seen, {DAY}) AS last_seen_at, strftime(seen + INTERVAL 7 DAY, {DAY}) AS expires_at, round_even(conf, 3) AS confidence
+SELECT product_id, c_name AS product, strftime(seen, {DAY}) AS last_seen_at, strftime(seen + INTERVAL 7 DAY, {DAY}) AS expires_at, CAST(printf('%.3f', conf) AS DOUBLE) AS confidence
 FROM s JOIN customer ON c_custkey = product_id WHERE seen + INTERVAL 7 DAY > {EVENTS_AS_OF} ORDER BY seen DESC, product_id""",
     "inventory_by_day": f"""WITH s AS (SELECT user_id AS product_id, max(ts) AS seen, max(value) / 500 AS conf FROM events WHERE event_type = 'view' GROUP BY 1),
-top AS (SELECT product_id, c_name, seen, round_even(conf, 3) AS conf FROM s JOIN customer ON c_custkey = product_id
+top AS (SELECT product_id, c_name, seen, CAST(printf('%.3f', conf) AS DOUBLE) AS conf FROM s JOIN customer ON c_custkey = product_id
   WHERE seen + INTERVAL 7 DAY > {EVENTS_AS_OF})
 SELECT CAST(CAST(seen AS DATE) AS VARCHAR) AS day, count(*) OVER (PARTITION BY CAST(seen AS DATE)) AS n, product_id,
   c_name || ' (' || CAST(round_even(conf * 100, 0) AS BIGINT) || '%)' AS item FROM top""",

@@ -657,11 +657,14 @@ def stream_ingest_files(spark, d):
 
 
 def stream_observations(spark, d):
-    """Line items and receipts as two streams that wait for each other; the current observations of all of them."""
+    """Line items and receipts as two streams that wait for each other; the current observations of all of them.
+
+    Lines of the table are told apart by their price too, as some share all other numbers.
+    """
     lines = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
     orders = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
     items = _stream(spark, d, "lineitem", lines).select(
-        F.col("l_orderkey").cast("string").alias("receipt_id"), tables.line_item_id().alias("line_item_id"), F.lit("Thing").alias("raw_name"), F.col("l_extendedprice").alias("line_total"),
+        F.col("l_orderkey").cast("string").alias("receipt_id"), F.concat_ws("|", tables.line_item_id(), F.col("l_extendedprice").cast("string")).alias("line_item_id"), F.lit("Thing").alias("raw_name"), F.col("l_extendedprice").alias("line_total"),
         F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(" pcs")).alias("qty_raw"), F.lit(None).cast("double").alias("unit_price_raw"), F.col("l_linenumber").cast("long").alias("arrival"))
     receipts = _stream(spark, d, "orders", orders).select(
         F.col("o_orderkey").cast("string").alias("receipt_id"), F.concat(F.lit("Store "), (F.col("o_custkey") % 40).cast("string")).alias("store_name"),
@@ -670,7 +673,7 @@ def stream_observations(spark, d):
     observed = jobs.observation_table(spark, f"{base}/rows")
     jobs.stream_observations(items, receipts, observed, f"{base}/state").awaitTermination()
     rows = jobs.current_observations(spark, observed)
-    return rows.select(F.col("receipt_id").cast("long").alias("receipt_id"), "line_item_id", "store_name", day("observed_at"), "unit_price")
+    return rows.select(F.col("receipt_id").cast("long").alias("receipt_id"), F.substring_index("line_item_id", "|", 1).alias("line_item_id"), "store_name", day("observed_at"), "unit_price")
 
 
 def write_tables(spark, d):

@@ -12,7 +12,7 @@ from tillwise.functions.text import blank_to_null
 from tillwise.operators.derive import priced_items
 from tillwise.operators.products import learnt_names, match_products
 from tillwise.session import settle
-from tillwise.sources.files import RECEIPT_EXTENSIONS, hashed_listing, split_new_and_duplicate
+from tillwise.sources.files import RECEIPT_EXTENSIONS, hashed_listing
 from tillwise.streaming.tables import BatchTable
 
 INBOX_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -31,25 +31,21 @@ def stream_ingest_files(
     files: DataFrame, known: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str,
     extensions=RECEIPT_EXTENSIONS, **trigger
 ) -> StreamingQuery:
-    """Feed the first file of each new content to ``sink``, however old the file is.
+    """Feed one file of each new content to ``sink``, however old the file is.
 
-    Contents that ``known()`` lists or that an earlier batch fed are left out. The fingerprints of each batch
-    are written beside the stream's checkpoint under the batch number before the sink runs, and a batch compares with earlier
-    numbers only: a batch that is run again gives the same rows. The sink has to write by batch number to be exactly-once.
+    The fingerprints met are keyed state of the stream (on a cluster, in the RocksDB state store), so a batch looks up its own
+    contents only and reads nothing that earlier batches wrote. Each file is read and hashed once; its content goes
+    before the shuffle. Contents that ``known()`` lists are left out. Of equal files that arrive together one stands
+    for all. The sink has to write by batch number to be exactly-once.
     """
-    seen = f"{checkpoint.rstrip('/')}-seen"
+    unique = hashed_listing(files, extensions).dropDuplicates(["fingerprint"])
 
     def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        spark.createDataFrame([], "fingerprint string").write.mode("overwrite").parquet(f"{seen}/epoch=-1")
-        earlier = spark.read.schema("fingerprint string, epoch long").parquet(seen).where(F.col("epoch") < epoch)
-        old = known().select("fingerprint").union(earlier.select("fingerprint")).distinct()
-        fresh = split_new_and_duplicate(hashed_listing(df, extensions), old).where("status = 'imported'")
-        fresh.select("fingerprint").write.mode("overwrite").parquet(f"{seen}/epoch={epoch}")
-        sink(fresh, epoch)
+        old = known().select("fingerprint").distinct()
+        sink(settle(df.join(old, "fingerprint", "left_anti").select(*df.columns, F.lit("imported").alias("status"))), epoch)
 
     return (
-        files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+        unique.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 
