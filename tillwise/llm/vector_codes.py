@@ -52,6 +52,7 @@ class Tree:
     def __init__(self, points: np.ndarray):
         self.points = points.astype(float)
         self.nodes: list[list] = []  # [points, left, right]
+        self.balls: dict[int, tuple[np.ndarray, float]] = {}  # (center, radius) of a node
         root = self.grow(np.arange(len(points)))
         self.lay_out(points, root)
 
@@ -68,6 +69,15 @@ class Tree:
         self.nodes.append([at, left, right])
         return len(self.nodes) - 1
 
+    def ball(self, at: np.ndarray, node: int) -> tuple[np.ndarray, float]:
+        """The middle of the points of a node, and how far the farthest is from it."""
+        if node not in self.balls:
+            x = self.points[at]
+            center = x.sum(axis=0) / len(at)
+            x -= center
+            self.balls[node] = center, float(np.einsum("ij,ij->i", x, x).max()) ** 0.5
+        return self.balls[node]
+
     def anchors(self, at: np.ndarray) -> list[np.ndarray]:
         """About sqrt(n) groups of points, each nearest to its own anchor."""
         x = self.points[at]
@@ -92,8 +102,7 @@ class Tree:
         live: dict[int, tuple[np.ndarray, int, np.ndarray, float]] = {}
 
         def ball(at: np.ndarray, node: int) -> tuple:
-            center = self.points[at].mean(axis=0)
-            return at, node, center, float(np.sqrt(((self.points[at] - center) ** 2).sum(axis=1).max()))
+            return at, node, *self.ball(at, node)
 
         queue: list[tuple[float, int, int]] = []
 
@@ -139,14 +148,16 @@ class Tree:
         n, size = len(ids), points.shape[1]
         self.first, self.last, self.left, self.right = (np.full(n, -1, np.int32) for _ in range(4))
         self.radius, self.sums, self.center = np.zeros(n), np.zeros((n, size), np.int64), np.zeros((n, size))
+        upto = np.zeros((len(points) + 1, size), np.int64)
+        np.cumsum(points[self.order], axis=0, out=upto[1:])
         for node, k in ids.items():
             at, left, right = self.nodes[node]
-            self.first[k], self.last[k] = place[at].min(), place[at].max() + 1
+            self.first[k] = place[at].min()
+            self.last[k] = self.first[k] + len(at)
             if left >= 0:
                 self.left[k], self.right[k] = ids[left], ids[right]
-            self.sums[k] = points[at].sum(axis=0)
-            self.center[k] = self.points[at].mean(axis=0)
-            self.radius[k] = np.sqrt(((self.points[at] - self.center[k]) ** 2).sum(axis=1).max())
+            self.center[k], self.radius[k] = self.ball(at, node)
+        self.sums[:] = upto[self.last] - upto[self.first]
 
 
 def owners(tree: dict[str, np.ndarray], points: np.ndarray, book: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
