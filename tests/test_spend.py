@@ -86,7 +86,7 @@ def test_timing_and_days_are_not_capped(spark):
     got = [tuple(r) for r in quality.processing_timing(runs, "2024-01-01").collect()]
     assert sorted(got) == [("method", "ocr", 1000, 500.5, 500.5, 950.0, None, 1000), ("overall", "all", 1000, 500.5, 500.5, 950.0, None, 1000)]
     got = [tuple(r) for r in quality.processing_timing(runs, "2024-01-01", ["tenant"]).where("group_kind = 'overall'").collect()]
-    assert sorted(got, key=repr) == [("t", "overall", "all", 600, 300.5, 300.5, 570.0), (None, "overall", "all", 400, 800.5, 800.5, 980.0)]
+    assert sorted(got, key=repr) == [("t", "overall", "all", 600, 300.5, 300.5, 570.0, None, 600), (None, "overall", "all", 400, 800.5, 800.5, 980.0, None, 400)]
     assert quality.processing_timing(runs, "2024-01-01", window_n=200).where("group_kind = 'overall'").first()["count"] == 200
     seen = spark.range(120).select(
         F.col("id").alias("product_id"), F.lit("p").alias("product"), F.timestamp_seconds("id").alias("last_seen_at"), F.lit(0.5).alias("confidence"))
