@@ -2,6 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tillwise import schema
 from tillwise.config import Config
 from tillwise.operators import activities, inventory, maintain, shopping
@@ -30,6 +31,27 @@ def test_semantic_duplicates_merge(spark):
     assert merged["a"].currency == "kr" and len(merged["a"].line_items_raw) == 2
 
 
+def test_semantic_duplicates_stay_inside_their_key(spark):
+    base = dict(total=10.0, purchased_at=D(2024, 1, 1, 9), store_name="ICA", source_type="telegram")
+    rows = [dict(base, receipt_id=i, currency=k, filename=f, created_at=D(2024, 1, n)) for n, (k, i, f) in enumerate(
+        [("a", "1", "1.pdf"), ("b", "1", "1.pdf"), ("a", "2", "2.jpg"), ("b", "3", "3.jpg")], 1)]
+    table = receipts(spark, *rows).withColumn("tenant", F.col("currency")).withColumn("ocr_text", F.when(F.col("filename").endswith("jpg"), F.col("receipt_id")))
+    twins = maintain.semantic_duplicates(table, keys=["tenant"])
+    assert sorted((r.tenant, r.receipt_id, r.kept_receipt_id) for r in twins.collect()) == [("a", "2", "1"), ("b", "3", "1")]
+    merged = maintain.merge_semantic_duplicates(table, twins, ["tenant"])
+    assert sorted((r.tenant, r.receipt_id, r.ocr_text) for r in merged.collect()) == [("a", "1", "2"), ("b", "1", "3")]
+
+
+def test_orders_that_look_alike_merge_their_own_photos(spark, sf_dir, tmp_path):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority = '1-URGENT'").limit(20)
+    copies = orders.unionByName(orders.withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000))
+    copies.write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("lineitem", "part"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = entry.queries()["merge_semantic_duplicates"](spark, str(tmp_path)).collect()
+    assert len(rows) == 40 and {(r.ocr_text, r.n_items) for r in rows} == {("read from photo", 2)}
+
+
 def test_updates(spark):
     table = receipts(spark, dict(receipt_id="a", total=10.0, store_name="Old", receipt_category="grocery", receipt_category_source="auto", purchased_at=D(2024, 1, 1)),
                      dict(receipt_id="b", total=10.0))

@@ -232,22 +232,25 @@ def semantic_signature(receipts: DataFrame) -> DataFrame:
     )
 
 
-def semantic_duplicates(receipts: DataFrame, source_type: str = "telegram") -> DataFrame:
+def semantic_duplicates(receipts: DataFrame, source_type: str = "telegram", keys: Sequence[str] = ()) -> DataFrame:
     """(receipt_id, kept_receipt_id): the pdf or image twin of an older receipt of the same day, store and total.
 
-    The oldest receipt of a signature is kept and every member of the other file class goes.
+    The oldest receipt of a signature is kept and every member of the other file class goes. With ``keys``, receipts of
+    different keys are never twins.
     """
+    keys = list(keys)
     rows = semantic_signature(receipts.where(F.col("source_type") == source_type)).where("_sig is not null and _class is not null")
-    kept = rows.groupBy("_sig").agg(F.min(F.struct("created_at", "receipt_id", "_class")).alias("_k"))
-    return rows.join(kept, "_sig").where("_class <> _k._class").select(
-        "receipt_id", F.col("_k.receipt_id").alias("kept_receipt_id"), F.col("_sig").alias("signature")
+    kept = rows.groupBy(*keys, "_sig").agg(F.min(F.struct("created_at", "receipt_id", "_class")).alias("_k"))
+    return rows.join(kept, [*keys, "_sig"]).where("_class <> _k._class").select(
+        *keys, "receipt_id", F.col("_k.receipt_id").alias("kept_receipt_id"), F.col("_sig").alias("signature")
     )
 
 
-def merge_semantic_duplicates(receipts: DataFrame, duplicates: DataFrame) -> DataFrame:
+def merge_semantic_duplicates(receipts: DataFrame, duplicates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Receipts without the duplicates; kept ones take missing fields and longer item lists from theirs."""
-    pairs = duplicates.select("receipt_id", "kept_receipt_id")
-    gone = receipts.join(pairs, "receipt_id")
+    on_columns = [*keys, "receipt_id"]
+    pairs = duplicates.select(*on_columns, "kept_receipt_id")
+    gone = receipts.join(pairs, on_columns)
     fields = [c for c in MERGED_FIELDS if c in receipts.columns]
 
     def first_value(c: str) -> Column:
@@ -256,10 +259,10 @@ def merge_semantic_duplicates(receipts: DataFrame, duplicates: DataFrame) -> Dat
         return F.min_by(F.col(c), F.when(filled, F.struct("created_at", "receipt_id"))).alias(f"_d_{c}")
 
     item_count = F.coalesce(F.size("line_items_raw"), F.lit(0))
-    merged = gone.groupBy(F.col("kept_receipt_id").alias("receipt_id")).agg(
+    merged = gone.groupBy(*keys, F.col("kept_receipt_id").alias("receipt_id")).agg(
         *[first_value(c) for c in fields], F.max_by("line_items_raw", F.struct(item_count, "created_at", "receipt_id")).alias("_d_items"),
     )
-    kept = receipts.join(pairs.select("receipt_id"), "receipt_id", "left_anti").join(merged, "receipt_id", "left")
+    kept = receipts.join(pairs.select(*on_columns), on_columns, "left_anti").join(merged, on_columns, "left")
     for c in fields:
         own = F.nullif(F.col(c), F.lit("")) if receipts.schema[c].dataType.typeName() == "string" else F.col(c)
         kept = kept.withColumn(c, F.coalesce(own, f"_d_{c}"))
