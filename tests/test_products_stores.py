@@ -170,3 +170,12 @@ def test_addresses_pair_only_where_a_field_agrees(spark):
     rows = spark.range(400).selectExpr("concat('house', id, ' street') as _addr", "concat('town', id) as _city", "cast(null as string) as _postal")
     found = stores._address_matches(rows, rows, [], ["postal", "city"])
     assert found.count() == 400 and found.where("_addr = _store_addr").count() == 400
+
+
+def test_history_answers_every_row_from_its_own_hints(spark):
+    ddl = "id string, store_name string, org_number string, phone string, store_id string, address string, postal_code string, city string"
+    none = (None,) * 4
+    history = spark.createDataFrame([("1", "ICA", "55-1", None, *none), ("2", "Coop", "55-2", "070", *none)], ddl).withColumnRenamed("id", "receipt_id")
+    asked = spark.createDataFrame([("a", None, "551", None, *none), ("a", None, "552", "070", *none), ("b", None, "55 1", None, *none), ("c", None, None, None, *none)], ddl)
+    rows = stores.infer_store_from_history(asked.drop("store_name").withColumnRenamed("id", "probe_id"), history).collect()
+    assert sorted((r.probe_id, r.store_name, r.score) for r in rows) == [("a", "Coop", 18), ("a", "ICA", 10), ("b", "ICA", 10)]

@@ -262,7 +262,7 @@ def match_stores(hints: DataFrame, stores: DataFrame, keys: Sequence[str] = ())
     """
     keys = list(keys)
     signature = ["chain_name", *HINT_FIELDS]
-    probe = F.sha2(F.to_json(F.struct(*[blank_to_null(F.col(c)).alias(c) for c in signature])), 256)
+    probe = F.unhex(F.md5(F.to_json(F.struct(*[blank_to_null(F.col(c)).alias(c) for c in signature]))))
     tagged = hints.withColumn("_probe", probe)
     distinct = tagged.groupBy(*keys, "_probe").agg(*[F.first(c).alias(c) for c in signature])
     attributes = _attributes()
@@ -401,9 +401,14 @@ def infer_store_from_history(hints: DataFrame, history: DataFrame, keys: Sequenc
     """
     keys = list(keys)
     known = history.where(blank_to_null(F.col("store_name")).isNotNull())
+    # Equal hints are matched, and normalised, once: there are far fewer of them than rows.
+    probe = F.unhex(F.md5(F.to_json(F.struct(*HINT_FIELDS)))).alias("_probe")
+    tagged = hints.where(_has_any(*HINT_FIELDS)).select(*keys, "probe_id", probe, *HINT_FIELDS)
+    distinct = tagged.groupBy(*keys, "_probe").agg(*[F.first(c).alias(c) for c in HINT_FIELDS])
     for name, column in _attributes().items():
-        hints, known = hints.withColumn(f"_{name}", column), known.withColumn(f"_{name}", column)
-    hints = hints.withColumn("_addr", norm_text(F.col("address"))).withColumn("_probe", F.col("probe_id"))
+        distinct, known = distinct.withColumn(f"_{name}", column), known.withColumn(f"_{name}", column)
+    distinct = settle(distinct.withColumn("_addr", norm_text(F.col("address"))))
+    names = ["org", "phone", "sid", "postal", "city"]
     known = known.withColumn("_addr", norm_text(F.col("address"))).withColumn(
         "_target", blank_to_null(F.col("store_name"))
     ).withColumn("_order", F.struct("receipt_id"))
@@ -411,14 +416,13 @@ def infer_store_from_history(hints: DataFrame, history: DataFrame, keys: Sequenc
     def allowed(subset: tuple[str, ...]) -> bool:
         return sum(POINTS.get(s, ADDRESS_STRONG) for s in subset) >= ACCEPT_WITH_ID
 
-    best = _best_by_hints(hints, known, keys, ["org", "phone", "sid", "postal", "city"], allowed, "_order")
-    given = hints.select(*keys, "_probe", _has_any("_org", "_phone", "_sid").alias("_given"))
+    best = _best_by_hints(distinct, known, keys, names, allowed, "_order")
+    given = distinct.select(*keys, "_probe", _has_any("_org", "_phone", "_sid").alias("_given"))
     accepted = best.join(given, [*keys, "_probe"]).where(
         (F.col("_score") >= ACCEPT) | ((F.col("_score") >= ACCEPT_WITH_ID) & F.col("_given"))
     )
-    return accepted.select(
-        *keys, F.col("_probe").alias("probe_id"), F.col("_target").alias("store_name"), F.col("_score").cast("long").alias("score")
-    )
+    found = accepted.select(*keys, "_probe", F.col("_target").alias("store_name"), F.col("_score").cast("long").alias("score"))
+    return tagged.select(*keys, "probe_id", "_probe").join(settle(found), [*keys, "_probe"]).drop("_probe")
 
 
 def learn_store_aliases(aliases: DataFrame, corrections: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
