@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tillwise.operators import extract
+from tillwise.session import spread
 from tillwise.sources import documents
 
 AS_OF = "2024-03-03"
@@ -62,6 +63,26 @@ def test_receipts_take_no_date_from_the_file_name(spark):
     assert extract.with_date(lines, AS_OF).first().found_date == datetime(2001, 2, 3)
 
 
+def test_items_are_worked_out_once(spark, sf_dir):
+    """One row per item adds a filter of empty arrays, which must not repeat the reading of the text."""
+    from tillwise.plans.queries_data import extract_line_items
+
+    plan = extract_line_items(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") + plan.count("att betala") == 1
+
+
+def test_rows_are_dealt_by_their_number(spark, tmp_path):
+    spark.range(5000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(rows, 100).rdd.getNumPartitions() == 50
+    assert spread(rows, 100_000).rdd.getNumPartitions() == spread(rows).rdd.getNumPartitions()
+
+
+def test_months_of_every_pack_are_dated(spark):
+    rows = read(spark, [("x 4okt2003 y", "", "sv-SE"), ("a 3 ENERO  24", "", "es-CO"), ("7.8.01", "", "zz"), ("due 1 maj 03\n2 juni 2003", "", "base")])
+    assert [r.found_date for r in rows] == [datetime(2003, 10, 4), datetime(2024, 1, 3), datetime(2001, 8, 7), None]
+
+
 def test_cleaning(spark):
     items = [("Summa 50,00", 50.0), ("Rabatt total", -5.0), ("12.00", 12.0), ("Cheese", 60.0), ("Cheese", 40.0), ("a 1,00 b 2,00", 3.0), ("##", 50.0)]
     df = spark.createDataFrame([(50.0, [(n, t, None, None) for n, t in items])], f"t double, i array<{extract.ITEM}>")

@@ -91,7 +91,8 @@ MONTHS = {
     "base": ENGLISH_MONTHS, "mixed": ENGLISH_MONTHS, "sv-SE": {**ENGLISH_MONTHS, **SWEDISH_MONTHS},
     "es-ES": {**ENGLISH_MONTHS, **SPANISH_MONTHS}, "es-CO": {**ENGLISH_MONTHS, **SPANISH_MONTHS},
 }
-NEVER = r"(?!)"
+#: Month names of all packs.
+MONTH_NAMES = tuple(dict.fromkeys(name for names in MONTHS.values() for name in names))
 
 
 def locale_id(language: Column, country: Column) -> Column:
@@ -108,13 +109,9 @@ def locale_id(language: Column, country: Column) -> Column:
     )
 
 
-def pattern(locale: Column, kind: str) -> Column:
-    """Regex of one keyword list, chosen per row by its pack; a list without words matches nothing."""
-    chain = None
-    for pack, lists in PACKS.items():
-        words = F.lit(any_of(lists[kind]) or NEVER)
-        chain = F.when(locale == pack, words) if chain is None else chain.when(locale == pack, words)
-    return chain.otherwise(F.lit(any_of(BASE[kind]) or NEVER))
+def any_pack(*kinds: str) -> str:
+    """Regex that finds the words which any pack lists under one of the kinds."""
+    return any_of(dict.fromkeys(w for lists in PACKS.values() for kind in kinds for w in lists[kind]))
 
 
 def words(locale: Column, kind: str) -> Column:

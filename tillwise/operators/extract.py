@@ -16,7 +16,7 @@ from tillwise.functions.categories import (
 )
 from tillwise.functions.dates import days_after, instant, make_day
 from tillwise.functions.text import (
-    any_of, blank_to_null, fold, normalize_store_name, squeeze, strip, text_lines,
+    any_of, blank_to_null, bound, fold, normalize_store_name, squeeze, strip, text_lines,
 )
 from tillwise.session import pin
 
@@ -34,8 +34,18 @@ NOT_A_STORE = ("summa", "total", "datum", "date", "tid", "time")
 ITEM = "struct<raw_name:string,line_total:double,qty_raw:string,unit_price_raw:double>"
 
 
-def _rank(c: Column, name: Column, points: int) -> Column:
-    return F.when(F.regexp_like(c, name), F.lit(points)).otherwise(F.lit(0))
+# What a line has to hold, whatever its locale, to be scored or dated; only such lines are looked at closely.
+TOTAL_HINT = packs.any_pack("total_strong", "total_weak", "total_minor")
+DATE_HINT = rf"\d[-./]\d{{1,2}}[-./]\d|\d{{8}}|\d\s*(?i:{any_of(packs.MONTH_NAMES)})\s*\d"
+
+
+def _holds(c: Column, words: Column) -> Column:
+    """One of the words occurs in the text."""
+    return F.exists(words, lambda w: c.contains(w))
+
+
+def _rank(c: Column, words: Column, points: int) -> Column:
+    return F.when(_holds(c, words), F.lit(points)).otherwise(F.lit(0))
 
 
 def with_lines(df: DataFrame) -> DataFrame:
@@ -50,22 +60,26 @@ def with_total(df: DataFrame) -> DataFrame:
     loc = F.col("locale")
     staged = df.withColumn(
         "_kw",
-        F.struct(*[packs.pattern(loc, k).alias(k) for k in ("total_negative", "total_strong", "total_weak", "total_minor")]),
+        F.struct(*[packs.words(loc, k).alias(k) for k in ("total_negative", "total_strong", "total_weak", "total_minor")]),
     )
 
     def line_score(low: Column) -> Column:
-        skipped = F.regexp_like(low, F.col("_kw.total_negative")) | low.contains("subtotal")
+        skipped = _holds(low, F.col("_kw.total_negative")) | low.contains("subtotal")
         score = (
             _rank(low, F.col("_kw.total_strong"), 5) + _rank(low, F.col("_kw.total_weak"), 3)
             + _rank(low, F.col("_kw.total_minor"), 2)
         )
         return F.when(skipped, F.lit(0)).otherwise(score)
 
-    # Score every line first; amounts are only looked for on lines that count.
+    # Score first; amounts are only looked for on lines that count.
+    lowered = F.transform("_lines", lambda line, i: F.struct(F.lower(line).alias("low"), i.alias("idx"), line.alias("line")))
     staged = staged.withColumn(
         "_scored",
         F.filter(
-            F.transform("_lines", lambda line, i: F.struct(line_score(F.lower(line)).alias("score"), i.alias("idx"), line.alias("line"))),
+            F.transform(
+                F.filter(lowered, lambda s: s["low"].rlike(TOTAL_HINT)),
+                lambda s: F.struct(line_score(s["low"]).alias("score"), s["idx"].alias("idx"), s["line"].alias("line")),
+            ),
             lambda s: s["score"] > 0,
         ),
     )
@@ -89,24 +103,27 @@ def with_total(df: DataFrame) -> DataFrame:
 
 def day_like(value: Column, months: Column) -> Column:
     """A timestamp from one date text in any of the known notations, else null."""
-    v = strip(value)
-    dashed = F.regexp_replace(v, "[./]", "-")
-    iso = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"), v.try_cast("timestamp"))
-    compact = F.when(
-        dashed.rlike(r"^\d{8}$"),
-        make_day(F.substring(dashed, 1, 4), F.substring(dashed, 5, 2), F.substring(dashed, 7, 2)),
-    )
-    three = r"^(\d{1,4})-(\d{1,2})-(\d{1,4})$"
-    a, b, c = (F.regexp_extract(dashed, three, i) for i in (1, 2, 3))
-    parts = F.when(
-        dashed.rlike(three), F.when(F.length(a) == 4, make_day(a, b, c)).otherwise(make_day(c, b, a))
-    )
+    three = r"^\d{1,4}-\d{1,2}-\d{1,4}$"
     named = r"\b(\d{1,2})\s*([A-Za-zÅÄÖåäö]+)\s*(\d{2,4})\b"
-    month = F.element_at(months, F.lower(F.regexp_extract(v, named, 2)))
-    spelled = F.when(
-        month.isNotNull(), make_day(F.regexp_extract(v, named, 3), month.cast("string"), F.regexp_extract(v, named, 1))
-    )
-    return F.coalesce(iso, compact.cast("timestamp"), parts.cast("timestamp"), spelled.cast("timestamp"))
+
+    def pieces(p: Column) -> Column:
+        a, b, c = (F.get(p, F.lit(i)) for i in range(3))
+        return F.when(F.length(a) == 4, make_day(a, b, c)).otherwise(make_day(c, b, a))
+
+    def numeric(dashed: Column) -> Column:
+        compact = make_day(F.substring(dashed, 1, 4), F.substring(dashed, 5, 2), F.substring(dashed, 7, 2))
+        return F.when(dashed.rlike(r"^\d{8}$"), compact).when(dashed.rlike(three), bound(F.split(dashed, "-"), pieces))
+
+    def read(v: Column) -> Column:
+        iso = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?\s?(Z|[+-]\d{2}:?\d{2})?)?$"), v.try_cast("timestamp"))
+        month = F.element_at(months, F.lower(F.regexp_extract(v, named, 2)))
+        spelled = bound(month, lambda m: F.when(
+            m.isNotNull(), make_day(F.regexp_extract(v, named, 3), m.cast("string"), F.regexp_extract(v, named, 1))
+        ))
+        numbers = bound(F.regexp_replace(v, "[./]", "-"), numeric)
+        return F.coalesce(iso, numbers.cast("timestamp"), spelled.cast("timestamp"))
+
+    return bound(strip(value), read)
 
 
 def filename_day(filename: Column) -> Column:
@@ -120,18 +137,16 @@ def filename_day(filename: Column) -> Column:
 def with_date(df: DataFrame, as_of, use_filename: bool = True) -> DataFrame:
     """Adds ``found_date``: the best-scored date of all lines, else, with ``use_filename``, a date in the file name."""
     loc, cutoff = F.col("locale"), days_after(instant(as_of), 2)
-    staged = df.withColumn("_good", packs.pattern(loc, "date_positive")).withColumn(
-        "_bad", packs.pattern(loc, "date_negative")
+    staged = df.withColumn("_good", packs.words(loc, "date_positive")).withColumn(
+        "_bad", packs.words(loc, "date_negative")
     ).withColumn("_months", packs.months(loc))
-    # Lines without two digits in a row or next to a separator cannot hold a date.
-    lines = F.filter("_lines", lambda line: line.rlike(r"\d"))
+    lines = F.filter("_lines", lambda line: line.rlike(DATE_HINT))
+    rank = lambda low: _rank(low, F.col("_good"), 5) - _rank(low, F.col("_bad"), 5)
     staged = staged.withColumn(
         "_dated",
         F.transform(
             lines,
-            lambda line: F.struct(
-                (_rank(fold(line), F.col("_good"), 5) - _rank(fold(line), F.col("_bad"), 5)).alias("score"), line.alias("line")
-            ),
+            lambda line: F.struct(bound(fold(line), rank).alias("score"), line.alias("line")),
         ),
     )
 
@@ -186,59 +201,58 @@ def filename_store(filename: Column) -> Column:
     return F.when(F.length(cleaned).between(3, 80), cleaned)
 
 
-def has_brand(candidate: Column, brands: Column) -> Column:
-    """A brand occurs in the text, or a word of it is one or two slips away from a brand."""
-    low = fold(candidate)
-    tokens = F.filter(F.split(low, r"[\s\-–—|]+"), lambda t: F.length(t) >= 4)
+def has_brand(low: Column, brands: Column, compact: Column) -> Column:
+    """A brand occurs in the folded text, or a word of it is one or two slips away from a brand.
+
+    ``compact`` holds the brands without spaces. Lengths too far apart rule a word out before its letters are compared.
+    """
+    tokens = F.filter(F.split(F.regexp_replace(low, r"[\s\-–—|]+", "\n"), "\n"), lambda t: F.length(t) >= 4)
 
     def near(token: Column, brand: Column) -> Column:
-        compact = F.replace(brand, F.lit(" "), F.lit(""))
-        longest = F.greatest(F.length(token), F.length(compact))
-        same = longest - F.levenshtein(token, compact)
-        return 2.0 * same / (F.length(token) + F.length(compact)) >= 0.86
+        size, longest = F.length(token) + F.length(brand), F.greatest(F.length(token), F.length(brand))
+        alike = lambda same: 2.0 * same / size >= 0.86
+        return alike(F.least(F.length(token), F.length(brand))) & alike(longest - F.levenshtein(token, brand))
 
-    return F.exists(brands, lambda b: low.contains(b)) | F.exists(tokens, lambda t: F.exists(brands, lambda b: near(t, b)))
+    return _holds(low, brands) | F.exists(tokens, lambda t: F.exists(compact, lambda b: near(t, b)))
 
 
 def with_store(df: DataFrame, use_filename: bool = True) -> DataFrame:
     """Adds ``found_store``: the best-scored line of the whole text, with its location lines when it is a chain."""
     loc = F.col("locale")
     staged = df.withColumn("_stop", packs.words(loc, "stop_exact")).withColumn(
-        "_stop_in", packs.pattern(loc, "stop_contains")
-    ).withColumn("_address", packs.pattern(loc, "address")).withColumn("_brands", packs.words(loc, "brands"))
-    staged = staged.withColumn(
-        "_heads",
-        F.filter(
-            F.transform(
-                "_lines",
-                lambda line, i: F.struct(
-                    i.alias("idx"), line.alias("line"),
-                    letters_only(F.when(line.rlike(r"\d"), without_contact(line)).otherwise(line)).alias("name"),
-                ),
+        "_stop_in", packs.words(loc, "stop_contains")
+    ).withColumn("_address", packs.words(loc, "address")).withColumn("_brands", packs.words(loc, "brands"))
+    staged = staged.withColumn("_compact", F.transform("_brands", lambda b: F.replace(b, F.lit(" "), F.lit(""))))
+    named = F.filter(
+        F.transform(
+            "_lines",
+            lambda line, i: F.struct(
+                i.alias("idx"), line.alias("line"),
+                letters_only(F.when(line.rlike(r"\d"), without_contact(line)).otherwise(line)).alias("name"),
             ),
-            lambda s: F.length(s["name"]).between(3, 80),
         ),
-    ).withColumn(
+        lambda s: F.length(s["name"]).between(3, 80),
+    )
+    folded = F.transform(named, lambda s: F.struct(s["idx"].alias("idx"), s["line"].alias("line"), s["name"].alias("name"), fold(s["name"]).alias("low")))
+    allowed = F.filter(folded, lambda s: ~F.array_contains(F.col("_stop"), s["low"]) & ~_holds(s["low"], F.col("_stop_in")))
+    staged = staged.withColumn(
         "_heads",
-        F.transform("_heads", lambda s: F.struct(
-            s["idx"].alias("idx"), s["line"].alias("line"), s["name"].alias("name"), has_brand(s["name"], F.col("_brands")).alias("brand")
+        F.transform(allowed, lambda s: F.struct(
+            s["idx"].alias("idx"), s["line"].alias("line"), s["name"].alias("name"), s["low"].alias("low"),
+            has_brand(s["low"], F.col("_brands"), F.col("_compact")).alias("brand"),
         )),
     )
     low_stop = any_of(NOT_A_STORE)
 
     def usable(s: Column) -> Column:
-        low = fold(s["name"])
-        digits = F.length(F.regexp_replace(s["line"], r"[^0-9]", ""))
-        return (
-            ~F.array_contains(F.col("_stop"), low) & ~F.regexp_like(low, F.col("_stop_in")) & ((digits < 6) | s["brand"])
-        )
+        return s["brand"] | (F.length(F.regexp_replace(s["line"], r"[^0-9]", "")) < 6)
 
     def score(s: Column) -> Column:
         place = F.when(s["idx"] <= 2, 6).when(s["idx"] <= 6, 3).when(s["idx"] <= 12, 1).otherwise(0)
         letters = F.length(F.regexp_replace(s["name"], r"[^\p{L}]", ""))
         return (
             place + F.when(s["brand"], 6).otherwise(0) + F.when(letters >= 5, 2).otherwise(0)
-            - F.when(fold(s["name"]).rlike(low_stop), 4).otherwise(0)
+            - F.when(s["low"].rlike(low_stop), 4).otherwise(0)
         )
 
     scored = F.transform(
@@ -251,17 +265,20 @@ def with_store(df: DataFrame, use_filename: bool = True) -> DataFrame:
     staged = staged.withColumn("_best", F.array_max(scored)).withColumn("_at", -F.col("_best.early"))
 
     def location(line: Column) -> Column:
+        def fits(cleaned: Column, low: Column) -> Column:
+            return (
+                F.length(cleaned).between(3, 50) & ~F.array_contains(F.col("_stop"), low) & ~_holds(low, F.col("_stop_in"))
+                & ~_holds(low, F.col("_address")) & ~low.rlike(low_stop)
+            )
+
         cleaned = letters_only(without_contact(line))
-        low = fold(cleaned)
-        fits = (
-            F.length(cleaned).between(3, 50) & ~F.array_contains(F.col("_stop"), low) & ~F.regexp_like(low, F.col("_stop_in"))
-            & ~F.regexp_like(low, F.col("_address")) & ~low.rlike(low_stop)
-        )
-        return F.when(fits, cleaned)
+        return bound(cleaned, lambda c: F.when(bound(fold(c), lambda low: fits(c, low)), c))
 
+    # Only a chain is followed by its place.
+    line_at = lambda i: F.when(F.col("_best.brand"), F.get("_lines", F.col("_at") + i))
     name = F.col("_best.name")
-    staged = staged.withColumn("_next", location(F.get("_lines", F.col("_at") + 1))).withColumn(
-        "_after", location(F.get("_lines", F.col("_at") + 2))
+    staged = staged.withColumn("_next", location(line_at(1))).withColumn(
+        "_after", location(line_at(2))
     )
     repeats = lambda c: fold(c) == fold(name)
     first = F.when(~repeats(F.col("_next")), F.col("_next"))
@@ -273,7 +290,7 @@ def with_store(df: DataFrame, use_filename: bool = True) -> DataFrame:
     if use_filename:
         chosen = F.when(empty_text, filename_store(F.col("filename"))).otherwise(chosen)
     return staged.withColumn("found_store", chosen).drop(
-        "_stop", "_stop_in", "_address", "_brands", "_heads", "_best", "_at", "_next", "_after"
+        "_stop", "_stop_in", "_address", "_brands", "_compact", "_heads", "_best", "_at", "_next", "_after"
     )
 
 
@@ -281,28 +298,29 @@ def with_store(df: DataFrame, use_filename: bool = True) -> DataFrame:
 
 def with_items(df: DataFrame) -> DataFrame:
     """Adds ``found_items``: lines that end in an amount."""
-    split = rf"^(.*?)({SIGNED_AMOUNT})\s*$"
+    last = rf"({SIGNED_AMOUNT})\s*$"
 
-    def item(line: Column) -> Column:
-        low = F.lower(line)
+    no_item = rf"^(?:---|===|\*\*\*)|{any_of(READ_WORDS)}"
+
+    def quantity(low: Column) -> Column:
         counted = F.regexp_extract(low, r"((?:\d+(?:\.\d+)?)\s*(?:st|pcs|pc)\b)", 1)
         starred = F.regexp_extract(low, r"(\b\d+\s*st\*)", 1)
+        return F.coalesce(F.nullif(counted, F.lit("")), F.nullif(starred, F.lit("")))
+
+    def item(line: Column) -> Column:
         return F.struct(
-            squeeze(strip(F.regexp_extract(line, split, 1))).alias("raw_name"),
-            parse_amount(F.regexp_extract(line, split, 2)).alias("line_total"),
-            F.coalesce(F.nullif(counted, F.lit("")), F.nullif(starred, F.lit(""))).alias("qty_raw"),
+            squeeze(strip(F.regexp_replace(line, last, ""))).alias("raw_name"),
+            parse_amount(F.regexp_extract(line, last, 1)).alias("line_total"),
+            bound(F.lower(line), quantity).alias("qty_raw"),
             F.lit(None).cast("double").alias("unit_price_raw"),
         )
 
-    candidates = F.filter(
-        "_lines",
-        lambda line: line.rlike(rf"{AMOUNT}\s*$") & ~F.lower(line).rlike(r"^(---|===|\*\*\*)")
-        & ~F.lower(line).rlike(any_of(READ_WORDS)),
-    )
+    candidates = F.filter("_lines", lambda line: line.rlike(rf"{AMOUNT}\s*$") & ~F.lower(line).rlike(no_item))
     items = F.filter(
         F.transform(candidates, item), lambda i: i["line_total"].isNotNull() & (F.length(i["raw_name"]) >= 2)
     )
-    return df.withColumn("found_items", items.cast(f"array<{ITEM}>"))
+    # Items are mostly put one to a row, whose filter of empty arrays would work them out again, even inside a join.
+    return pin(df.withColumn("found_items", items.cast(f"array<{ITEM}>")))
 
 
 def clean_items(items: Column, total: Column) -> Column:
@@ -410,7 +428,7 @@ def extract_receipts(df: DataFrame, as_of, overwrite: bool = False) -> DataFrame
     ``df`` has ``text, filename, locale, model`` and the current ``total, purchased_at, store_name,
     line_items_raw``. A field is set when it is empty or ``overwrite`` is given.
     """
-    found = pin(with_items(with_store(with_date(with_total(with_lines(df)), as_of, use_filename=False), use_filename=False)).drop("_lines"))
+    found = with_items(with_store(with_date(with_total(with_lines(df)), as_of, use_filename=False), use_filename=False)).drop("_lines")
     found = pin(sanitize_model_fields(found, as_of))
 
     def settled(current: str, value: Column) -> Column:
