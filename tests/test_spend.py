@@ -99,3 +99,14 @@ def test_long_errors_with_one_beginning_are_two_reasons(spark):
     errors = spark.createDataFrame([(same + "a",), (same + "a",), (same + "b",), ("Timeout",), (None,)], "error string")
     got = sorted(tuple(r) for r in quality.failure_reasons(errors).collect())
     assert got == [("parse_failed", 1), ("timed_out", 1), ("x" * 220 + "...", 1), ("x" * 220 + "...", 2)]
+
+
+def test_subcategory_totals_are_worked_out_once(spark, sf_dir):
+    """One row per subcategory, and a filter on the totals, must not repeat the sums below."""
+    from tillwise.plans.queries_analytics import receipt_subcategory_totals
+
+    plan = receipt_subcategory_totals(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(coalesce(") == 1
+    some = spend.with_subcategory_totals(receipts(spark, [(1, None, 9.0, "", None)])).where(F.exists("subcategory_totals", lambda s: s["total"] > 3))
+    assert some._jdf.queryExecution().optimizedPlan().toString().count("lower(coalesce(") == 1
+    assert some.count() == 1
