@@ -170,3 +170,10 @@ def test_audit_rows(spark):
     rows = spark.createDataFrame([("r1", 3)], "receipt_id string, item_count int")
     got = activities.emit_activity(rows, "receipt_added", F.lit("Receipt added"), ["receipt_id", "item_count"], "2024-01-01").first()
     assert (got.kind, got.payload, len(got.activity_id)) == ("receipt_added", '{"receipt_id":"r1","item_count":3}', 32)
+
+
+def test_subcategory_rows_are_worked_out_once(spark, sf_dir):
+    from tillwise.plans.queries_data import sanitize_subcategories
+
+    plan = sanitize_subcategories(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(lambda") == 1

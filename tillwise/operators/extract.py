@@ -363,24 +363,30 @@ MODEL_SCHEMA = (
 
 def sanitize_rows(rows: Column, residual_total: Column | None = None) -> Column:
     """Known subcategories summed by name, largest first, with the rest of ``residual_total`` as unclassified."""
-    named = F.filter(
+    empty = F.array().cast("array<struct<subcategory:string,total:double>>")
+    named = F.coalesce(F.filter(
         F.transform(rows, lambda r: F.struct(
             subcategory_alias(r["subcategory"]).alias("subcategory"), r["total"].try_cast("double").alias("total"))),
         lambda r: r["subcategory"].isNotNull() & (r["total"] > 0),
-    )
-    named = F.coalesce(named, F.array().cast("array<struct<subcategory:string,total:double>>"))
-    if residual_total is not None:
-        known = F.aggregate(named, F.lit(0.0), lambda acc, r: acc + r["total"])
-        rest = F.struct(F.lit("unclassified").alias("subcategory"), (residual_total - known).alias("total"))
-        named = F.when(residual_total > known + RESIDUAL_TOLERANCE, F.concat(named, F.array(rest))).otherwise(named)
-    names = F.array_distinct(F.transform(named, lambda r: r["subcategory"]))
-    summed = F.transform(names, lambda n: F.struct(
-        (-F.aggregate(named, F.lit(0.0), lambda acc, r: acc + F.when(r["subcategory"] == n, r["total"]).otherwise(0.0))).alias("neg"),
-        F.array_position(names, n).alias("seq"), n.alias("subcategory"),
-    ))
-    return F.transform(F.array_sort(summed), lambda r: F.struct(
-        r["subcategory"].alias("subcategory"), F.bround(-r["neg"], 2).alias("total")
-    ))
+    ), empty)
+
+    def with_rest(named: Column) -> Column:
+        rest = lambda known: F.when(
+            residual_total > known + RESIDUAL_TOLERANCE,
+            F.array(F.struct(F.lit("unclassified").alias("subcategory"), (residual_total - known).alias("total"))),
+        ).otherwise(empty)
+        return F.concat(named, bound(F.aggregate(named, F.lit(0.0), lambda acc, r: acc + r["total"]), rest))
+
+    def summed(named: Column) -> Column:
+        by_name = lambda n, i: F.struct(
+            (-F.aggregate(named, F.lit(0.0), lambda acc, r: acc + F.when(r["subcategory"] == n, r["total"]).otherwise(0.0))).alias("neg"),
+            i.alias("seq"), n.alias("subcategory"),
+        )
+        return F.transform(F.array_sort(F.transform(F.array_distinct(named["subcategory"]), by_name)), lambda r: F.struct(
+            r["subcategory"].alias("subcategory"), F.bround(-r["neg"], 2).alias("total")
+        ))
+
+    return bound(named if residual_total is None else bound(named, with_rest), summed)
 
 
 def sanitize_model_fields(df: DataFrame, as_of, fields: str = "model") -> DataFrame:

@@ -11,7 +11,7 @@ from tillwise.functions.categories import (
     subcategory_alias, subcategory_allowed,
 )
 from tillwise.functions.dates import in_date_range, instant, ms_between
-from tillwise.functions.text import blank_to_null, is_image, is_pdf, normalize_store_name, semantic_store_key
+from tillwise.functions.text import blank_to_null, bound, is_image, is_pdf, normalize_store_name, semantic_store_key
 from tillwise.operators.extract import ITEM, clean_items, extract_receipts, sanitize_rows
 from tillwise.operators.stats import top_rows
 from tillwise.session import pin
@@ -46,9 +46,8 @@ def auto_subcategories(
 ) -> Column:
     """Subcategory rows after an update; ``explicit`` is null when the update carries none."""
     model = F.coalesce(model_rows, F.array().cast(SUBCATEGORY_ROWS))
-    rest = sanitize_rows(model, total)
-    dining = F.filter(rest, lambda r: r["subcategory"].isin(*DINING_SUBCATEGORIES))
-    grocery = F.filter(rest, lambda r: r["subcategory"].isin(*GROCERY_SUBCATEGORIES))
+    dining = F.filter(sanitize_rows(model, total), lambda r: r["subcategory"].isin(*DINING_SUBCATEGORIES))
+    grocery = F.filter(sanitize_rows(model, total), lambda r: r["subcategory"].isin(*GROCERY_SUBCATEGORIES))
     whole = F.when(total > 0, F.array(F.struct(F.lit("unclassified").alias("subcategory"), F.bround(total, 2).alias("total")))).otherwise(
         F.array().cast(SUBCATEGORY_ROWS)
     )
@@ -58,8 +57,8 @@ def auto_subcategories(
     return (
         F.when(explicit.isNotNull(), allowed)
         .when(nothing_new, sanitize_rows(stored, total))
-        .when(known == DINING, F.when(F.size(dining) > 0, F.slice(dining, 1, 1)).otherwise(whole))
-        .when(known == GROCERY, F.when(F.size(grocery) > 0, grocery).otherwise(whole))
+        .when(known == DINING, bound(dining, lambda rows: F.when(F.size(rows) > 0, F.slice(rows, 1, 1)).otherwise(whole)))
+        .when(known == GROCERY, bound(grocery, lambda rows: F.when(F.size(rows) > 0, rows).otherwise(whole)))
         .otherwise(F.array().cast(SUBCATEGORY_ROWS))
     )
 
