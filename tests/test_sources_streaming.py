@@ -216,3 +216,13 @@ def test_batch_tables_keep_the_newest_version(spark, tmp_path):
     table.write(rows([("a", 3, "old"), ("b", 1, "b2")]), 1)
     table.write(rows([("a", None, "none")]), 2)
     assert {r.k: r.v for r in table.read(spark).collect()} == {"a": "new", "b": "b2", None: "n"}
+
+
+def test_observations_without_names_are_stored_once(spark, sf_dir, monkeypatch):
+    from tillwise.plans.queries_data import stream_observations
+
+    def refuse(df):
+        raise AssertionError("stored between the join and the table")
+
+    monkeypatch.setattr(jobs, "settle", refuse)
+    assert stream_observations(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()

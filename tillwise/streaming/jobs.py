@@ -139,16 +139,16 @@ def stream_observations(
         live = F.col("raw_name").isNotNull() & F.col("line_total").isNotNull() & F.col("observed_at").isNotNull()
         price, unit = F.when(live, F.col("unit_price")), F.when(live, F.col("unit_type"))
         rows = priced_items(rows).withColumn("pack_price", F.col("line_total")).withColumn("unit_price", price).withColumn("unit_type", unit)
-        rows = settle(rows)
-        without = rows.where("unit_price is null").withColumn("product_id", F.lit(None).cast("string")).withColumn("match_confidence", F.lit(None).cast("int"))
-        priced = rows.where("unit_price is not null")
+        unmatched = lambda some: some.withColumn("product_id", F.lit(None).cast("string")).withColumn("match_confidence", F.lit(None).cast("int"))
         if names is None:
-            matched = priced.withColumn("product_id", F.lit(None).cast("string")).withColumn("match_confidence", F.lit(None).cast("int"))
-        else:
-            known = names.read(df.sparkSession, before=epoch)
-            matched, aliases = match_products(priced, known=known)
-            names.write(learnt_names(aliases, known), epoch)
-        observed.write(matched.unionByName(without), epoch)
+            # Read once, by the write itself, so nothing is stored in between.
+            observed.write(unmatched(rows), epoch)
+            return
+        rows = settle(rows)
+        known = names.read(df.sparkSession, before=epoch)
+        matched, aliases = match_products(rows.where("unit_price is not null"), known=known)
+        names.write(learnt_names(aliases, known), epoch)
+        observed.write(matched.unionByName(unmatched(rows.where("unit_price is null"))), epoch)
 
     return (
         met.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
