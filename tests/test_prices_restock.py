@@ -112,3 +112,20 @@ def test_store_plan(spark):
     assert [(r.store, r.place) for r in restock.plan_stores(recs).orderBy("place").collect()] == [("X", 1), ("Y", 2)]
     got = {r.product_id: r.planned_store for r in restock.store_plan(recs, offers).collect()}
     assert got == {"a": "X", "b": "X", "c": "X", "d": "Y"}
+
+
+@pytest.mark.parametrize("window_n", [1, 2, 3, 5])
+def test_recent_baselines_equal_counted_ones(spark, window_n):
+    rng = random.Random(window_n)
+    rows = [(f"p{rng.randint(0, 9)}", rng.choice("st"), f"2001-07-{rng.randint(1, 28):02d}", rng.choice([None, round(rng.uniform(1, 9), 2)])) for _ in range(60)]
+    obs = observations(spark, rows + [(None, "s", "2001-07-01", 1.0)] * 3).dropDuplicates(["line_item_id"])
+    for keys in ([], ["store_name"]):
+        want = prices.price_baselines(obs, window_n, keys).select(*keys, "product_id", "baseline").collect()
+        assert sorted(prices.recent_baselines(obs, window_n, keys).collect()) == sorted(want)
+
+
+def test_overpaid_by_tenant_derives_observations_twice(spark, sf_dir):
+    from tillwise.plans.queries_analytics import QUERIES
+
+    plan = QUERIES["overpaid_items_by_tenant"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "l_orderkey" in line for line in plan.splitlines()) == 2
