@@ -110,3 +110,24 @@ def test_subcategory_totals_are_worked_out_once(spark, sf_dir):
     some = spend.with_subcategory_totals(receipts(spark, [(1, None, 9.0, "", None)])).where(F.exists("subcategory_totals", lambda s: s["total"] > 3))
     assert some._jdf.queryExecution().optimizedPlan().toString().count("lower(coalesce(") == 1
     assert some.count() == 1
+
+
+def test_unknown_items_ask_once_for_each_name(spark):
+    """Names of totals are keys already: they are not made keys again to tell the unknown ones."""
+    rows = receipts(spark, [(1, "2024-03-01", 10.0, "grocery", subs((" Other ", 4), ("DAIRY", 2), ("other", 1), ("-", 3)))])
+    asked = []
+    settle, quality.settle = quality.settle, lambda df: asked.append(df) or settle(df)
+    try:
+        items = spark.createDataFrame([], "receipt_id long, pos int, raw_name string, line_total double")
+        got = quality.unknown_subcategory_items(rows, items).collect()
+    finally:
+        quality.settle = settle
+    assert [(r.item, r.total, r["count"]) for r in got] == [("[No line items] S", 5.0, 1)]
+    plan = asked[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 3  # one for the subcategories, two for the category; more when the names are made keys again
+
+
+def test_totals_of_repeated_and_single_names(spark):
+    rows = receipts(spark, [(1, None, 9.0, "", subs(("a", 1), ("A ", 2), ("b", 3))), (2, None, 6.0, "", subs(("b", 4), ("a", 2)))])
+    got = {r[0]: [tuple(s) for s in r[1]] for r in spend.with_subcategory_totals(rows, "t").select("receipt_id", "t").collect()}
+    assert got == {1: [("a", 3.0), ("b", 3.0), ("unclassified", 3.0)], 2: [("b", 4.0), ("a", 2.0)]}
