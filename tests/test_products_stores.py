@@ -179,3 +179,19 @@ def test_history_answers_every_row_from_its_own_hints(spark):
     asked = spark.createDataFrame([("a", None, "551", None, *none), ("a", None, "552", "070", *none), ("b", None, "55 1", None, *none), ("c", None, None, None, *none)], ddl)
     rows = stores.infer_store_from_history(asked.drop("store_name").withColumnRenamed("id", "probe_id"), history).collect()
     assert sorted((r.probe_id, r.store_name, r.score) for r in rows) == [("a", "Coop", 18), ("a", "ICA", 10), ("b", "ICA", 10)]
+
+
+def test_equal_hints_are_learnt_from_once(spark):
+    """Stores learn from the earliest of the receipts that say the same, and tell nulls from blanks and joined texts."""
+    hints = [("org_number", None), ("phone", None), ("store_id", None), ("address", "Main St 1"), ("postal_code", "1"), ("city", "X")]
+    rows = [(i, "s1", "hints", True, "ICA", None, *[v for _, v in hints]) for i in (5, 3, 4)] + [(1, "s1", "hints", False, " ", "B", None, None, None, None, None, None)]
+    matched = spark.createDataFrame(rows, "receipt_id long, store_entity_id string, match_kind string, learn_alias boolean, chain_name string, branch_name string, " + ", ".join(f"{n} string" for n, _ in hints))
+    known = spark.createDataFrame([("s1", "Ica", None, None, None, None, None, None, None, ["Ica"], None, None)], (
+        "store_entity_id string, chain_name string, branch_name string, address string, postal_code string, city string, org_number string, phone string, store_id string, "
+        "aliases array<string>, created_at timestamp, updated_at timestamp"))
+    found = stores.enrich_stores(known, matched, "2024-01-01")
+    got = found.first()
+    assert (got.chain_name, got.branch_name, got.address, got.postal_code, got.city, got.aliases) == ("Ica", "B", "Main St 1", "1", "X", ["ICA", "Ica"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+    texts = spark.createDataFrame([("a", None), (None, "a"), ("a", ""), ("a,1:b", None), ("a", "b"), ("", None), (None, None), ("-", None)], "x string, y string")
+    assert texts.select(stores._fingerprint(["x", "y"]).alias("f")).distinct().count() == 8

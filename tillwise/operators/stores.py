@@ -254,6 +254,12 @@ def _has_any(*names: str) -> Column:
     return sum((F.col(n).isNotNull().cast("int") for n in names), F.lit(0)) > 0
 
 
+def _fingerprint(columns: Sequence[str]) -> Column:
+    """Hash of the values; each is told apart by its length, a null by having none."""
+    told = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.unhex(F.md5(F.concat_ws(",", *told)))
+
+
 def match_stores(hints: DataFrame, stores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Store of every receipt: adds ``store_entity_id`` and ``match_kind`` (hints, chain, new, none).
 
@@ -262,8 +268,7 @@ def match_stores(hints: DataFrame, stores: DataFrame, keys: Sequence[str] = ())
     """
     keys = list(keys)
     signature = ["chain_name", *HINT_FIELDS]
-    probe = F.unhex(F.md5(F.to_json(F.struct(*[blank_to_null(F.col(c)).alias(c) for c in signature]))))
-    tagged = hints.withColumn("_probe", probe)
+    tagged = hints.withColumn("_probe", _fingerprint(signature))
     distinct = tagged.groupBy(*keys, "_probe").agg(*[F.first(c).alias(c) for c in signature])
     attributes = _attributes()
     for name, column in attributes.items():
@@ -375,6 +380,8 @@ def enrich_stores(stores: DataFrame, matched: DataFrame, as_of, keys: Sequence[s
         value = blank_to_null(F.col(column))
         return F.min(F.when(value.isNotNull(), F.struct("receipt_id", value.alias("v"))))["v"].alias(f"_new_{column}")
 
+    # Receipts that say the same are reduced to the earliest before their texts are looked at.
+    rows = rows.groupBy(*keys, "store_entity_id", "learn_alias", "chain_name", *DETAIL_FIELDS).agg(F.min("receipt_id").alias("receipt_id"))
     learnt = rows.groupBy(*keys, "store_entity_id").agg(
         *[earliest(c) for c in ("chain_name", *DETAIL_FIELDS)],
         F.collect_set(F.when(F.col("learn_alias"), blank_to_null(F.col("chain_name")))).alias("_names"),
@@ -402,7 +409,7 @@ def infer_store_from_history(hints: DataFrame, history: DataFrame, keys: Sequenc
     keys = list(keys)
     known = history.where(blank_to_null(F.col("store_name")).isNotNull())
     # Equal hints are matched, and normalised, once: there are far fewer of them than rows.
-    probe = F.unhex(F.md5(F.to_json(F.struct(*HINT_FIELDS)))).alias("_probe")
+    probe = _fingerprint(HINT_FIELDS).alias("_probe")
     tagged = hints.where(_has_any(*HINT_FIELDS)).select(*keys, "probe_id", probe, *HINT_FIELDS)
     distinct = tagged.groupBy(*keys, "_probe").agg(*[F.first(c).alias(c) for c in HINT_FIELDS])
     for name, column in _attributes().items():
