@@ -101,3 +101,31 @@ def test_rounding_follows_the_binary_value(spark):
         assert [(r.v, r.r) for r in got if r.r != round(r.v, places)] == [], places
     empty = df.select(half_even(F.lit(None).cast("double"), 2).alias("n"), half_even(F.lit(float("nan")), 2).alias("x")).first()
     assert empty.n is None and empty.x != empty.x
+
+
+def test_unit_price_reads_quantities_like_its_patterns(spark):
+    import random
+    import re
+
+    from tillwise.functions import amounts
+    from tillwise.operators.derive import priced_items
+
+    rng = random.Random(5)
+    texts = ["1.5\tKG", "2 pcs", "3pc", "0 st", "12.", "x 2 l 3 kg", "5..5ml", "", None, " ", "7 kg", "pcs", "1.2.3 g"]
+    texts += ["".join(rng.choice("0125. \t\nkglmpcsx") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    rows = priced_items(spark.createDataFrame([(t, 6.0, None) for t in texts] + [("1 kg", 6.0, 2.5)], "qty_raw string, line_total double, unit_price_raw double"))
+    assert rows.where("unit_price is not null")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 2
+
+    def want(text):
+        low = (text or "").strip(" \t\n ").lower()
+        if not low:
+            return None, "unknown"
+        found, count = re.search(amounts.QUANTITY, low, re.ASCII), re.search(amounts.COUNT, low)
+        if found:
+            qty = float(found[1]) / (1000.0 if found[2] in ("g", "ml") else 1.0)
+            return (6.0 / qty, {"g": "kg", "ml": "l", "pc": "pcs"}.get(found[2], found[2])) if qty > 0 else (None, "unknown")
+        return (6.0 / float(count[1]), "pcs") if count and float(count[1]) > 0 else (None, "unknown")
+
+    got = [(r.qty_raw, r.unit_price, r.unit_type) for r in rows.collect()]
+    assert got[-1] == ("1 kg", 2.5, "unknown")
+    assert [g for g in got[:-1] if g[1:] != want(g[0])] == []

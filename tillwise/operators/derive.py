@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.functions.amounts import unit_price
+from tillwise.functions.amounts import price_and_unit
 from tillwise.functions.text import blank_to_null
 from tillwise.operators.products import match_products
 
@@ -26,8 +26,10 @@ def usable_items(receipts: DataFrame, items: DataFrame) -> DataFrame:
 
 def priced_items(items: DataFrame) -> DataFrame:
     """Adds ``unit_price`` and ``unit_type``; the price is null where the item gives none."""
-    price, unit = unit_price(F.col("line_total"), F.col("qty_raw"), F.col("unit_price_raw"))
-    return items.withColumn("unit_price", price).withColumn("unit_type", unit)
+    found = price_and_unit(F.col("line_total"), F.col("qty_raw"), F.col("unit_price_raw"))
+    # A generated column: worked out once for the price, the unit and what is asked of them above.
+    priced = items.withColumn("_found", F.explode(F.array(found)))
+    return priced.withColumn("unit_price", F.col("_found.price")).withColumn("unit_type", F.col("_found.unit")).drop("_found")
 
 
 def derive_observations(
