@@ -117,3 +117,21 @@ def test_all_fields_and_overwrite(spark):
     forced = {r.receipt_id: r for r in extract.extract_receipts(df, AS_OF, overwrite=True).collect()}
     assert (forced["r"].total, forced["m"].store_name) == (12.9, "Willys")
     assert [i.raw_name for i in forced["r"].line_items_raw] == ["Mjölk"]
+
+
+def test_only_missing_fields_are_read(spark):
+    """Fields that are there stay and their readers get no lines; missing ones are read from the same text."""
+    text = "WILLYS\nHelsingborg\nDatum 2024-01-02\nMjölk 12,50\nAtt betala 12,50"
+    fields = [12.0, "2023-05-06 00:00:00", "Shop", [("Bread", 3.0, None, None)]]
+    rows = [(i, text, "scan.pdf", "sv_se", *[f if i >> k & 1 else None for k, f in enumerate(fields)]) for i in range(16)]
+    df = spark.createDataFrame(rows, f"receipt_id int, text string, filename string, locale string, total double, purchased_at string, store_name string, line_items_raw array<{extract.ITEM}>")
+    df = df.withColumn("purchased_at", F.col("purchased_at").cast("timestamp")).withColumn("model", F.from_json(F.lit("{}"), extract.MODEL_SCHEMA))
+    read = extract.extract_receipts(df, "2024-06-01")
+    got = {r.receipt_id: (r.total, str(r.purchased_at), r.store_name, [i.raw_name for i in r.line_items_raw]) for r in read.collect()}
+    none, full = got[0], got[15]
+    assert none == (12.5, "2024-01-02 00:00:00", none[2], ["Mjölk"]) and none[2].lower().startswith("willys")
+    assert full == (12.0, "2023-05-06 00:00:00", "Shop", ["Bread"])
+    for i in range(16):
+        assert got[i][:3] == tuple((full if i >> k & 1 else none)[k] for k in range(3))
+    asked = [line for line in read._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_all_lines" in line]
+    assert any("isnull(total" in line for line in asked) and any("isnull(store_name" in line for line in asked)

@@ -434,15 +434,25 @@ def extract_receipts(df: DataFrame, as_of, overwrite: bool = False) -> DataFrame
     ``df`` has ``text, filename, locale, model`` and the current ``total, purchased_at, store_name,
     line_items_raw``. A field is set when it is empty or ``overwrite`` is given.
     """
-    found = with_items(with_store(with_date(with_total(with_lines(df)), as_of, use_filename=False), use_filename=False)).drop("_lines")
-    found = pin(sanitize_model_fields(found, as_of))
+    has_items = F.coalesce(F.size("line_items_raw") > 0, F.lit(False))
+    readers = (
+        (F.col("total").isNull(), with_total),
+        (F.col("purchased_at").isNull(), lambda rows: with_date(rows, as_of, use_filename=False)),
+        (F.col("store_name").isNull(), lambda rows: with_store(rows, use_filename=False)),
+        (~has_items, with_items),
+    )
+    found = with_lines(df).withColumnRenamed("_lines", "_all_lines")
+    # A field that stays as it is needs no reading: its reader gets no lines.
+    for missing, reader in readers:
+        asked = F.when(missing | F.lit(overwrite), F.col("_all_lines")).otherwise(F.array().cast("array<string>"))
+        found = reader(found.withColumn("_lines", asked))
+    found = pin(sanitize_model_fields(found.drop("_lines", "_all_lines"), as_of))
 
     def settled(current: str, value: Column) -> Column:
         return F.coalesce(value, F.col(current)) if overwrite else F.coalesce(F.col(current), value)
 
     store = F.coalesce("m_store", "found_store")
     named = F.when(F.col("store_name").isNull() | F.lit(overwrite), normalize_store_name(store))
-    has_items = F.coalesce(F.size("line_items_raw") > 0, F.lit(False))
     new_items = F.when(F.coalesce(F.size("m_items") > 0, F.lit(False)), F.col("m_items")).otherwise(F.col("found_items"))
     result = (
         found.withColumn("total", settled("total", F.coalesce("m_total", "found_total")))
