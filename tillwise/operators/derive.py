@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tillwise.functions.amounts import price_and_unit
+from tillwise.functions.amounts import price_of, quantity_count, quantity_found, quantity_parts, quantity_text
 from tillwise.functions.text import blank_to_null
 from tillwise.operators.products import match_products
 
@@ -25,11 +25,19 @@ def usable_items(receipts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def priced_items(items: DataFrame) -> DataFrame:
-    """Adds ``unit_price`` and ``unit_type``; the price is null where the item gives none."""
-    found = price_and_unit(F.col("line_total"), F.col("qty_raw"), F.col("unit_price_raw"))
-    # A generated column: worked out once for the price, the unit and what is asked of them above.
-    priced = items.withColumn("_found", F.explode(F.array(found)))
-    return priced.withColumn("unit_price", F.col("_found.price")).withColumn("unit_type", F.col("_found.unit")).drop("_found")
+    """Adds ``unit_price`` and ``unit_type``; the price is null where the item gives none.
+
+    Each step of reading the quantity is a column of its own, which Spark works out once and in compiled code; inside one
+    expression only a lambda could keep a step, and lambdas are interpreted row by row.
+    """
+    text = items.withColumn("_text", quantity_text(F.col("qty_raw")))
+    found = text.withColumn("_at", quantity_found(F.col("_text")))
+    qty, unit = quantity_parts(F.col("_at"))
+    parts = found.withColumns({"_qty": qty, "_unit": unit}).withColumn("_count", quantity_count(F.col("_qty"), F.col("_text")))
+    price = price_of(F.col("line_total"), F.col("unit_price_raw"), F.col("_qty"), F.col("_unit"), F.col("_count"))
+    # A generated column: filters on the price are not pushed below it, where they would repeat all steps.
+    priced = parts.withColumn("_price", price).drop("_text", "_at", "_qty", "_unit", "_count").withColumn("_found", F.explode(F.array("_price")))
+    return priced.withColumn("unit_price", F.col("_found.price")).withColumn("unit_type", F.col("_found.unit")).drop("_price", "_found")
 
 
 def derive_observations(

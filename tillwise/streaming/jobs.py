@@ -13,7 +13,7 @@ from tillwise.operators.derive import priced_items
 from tillwise.operators.products import learnt_names, match_products
 from tillwise.session import settle
 from tillwise.sources.files import RECEIPT_EXTENSIONS, hashed_listing
-from tillwise.streaming.tables import BatchTable
+from tillwise.streaming.tables import BatchTable, newest
 
 INBOX_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -114,14 +114,20 @@ def product_name_table(spark: SparkSession, path: str, every: int = 16) -> Batch
     return BatchTable(path, spark.createDataFrame([], PRODUCT_NAMES).schema, ["name"], (), every)
 
 
+#: What is kept of an item and of a receipt.
+LINE = ("line_item_id", "raw_name", "line_total", "qty_raw", "unit_price_raw", "arrival")
+HEAD = ("store_name", "observed_at", "receipt_version")
+
+
 def stream_observations(
     items: DataFrame, receipts: DataFrame, observed: BatchTable, checkpoint: str, names: BatchTable | None = None, **trigger
 ) -> StreamingQuery:
     """Price observations from two streams, items and receipts, whichever of a pair comes first.
 
     ``items`` has ``line_item_id, receipt_id, raw_name, line_total, qty_raw, unit_price_raw`` and a whole number
-    ``arrival``; ``receipts`` has ``receipt_id, store_name, purchased_at`` and ``updated_at``. Both sides wait in the state of
-    the join, without a time limit: an item is never lost for a late receipt. A receipt that comes again with a
+    ``arrival``; ``receipts`` has ``receipt_id, store_name, purchased_at`` and ``updated_at``. What comes is kept, without a time
+    limit, in a table in the checkpoint's folder: a batch joins its items to all receipts and its receipts to the items of earlier
+    batches, so an item is never lost for a late receipt, and no row has to stay in memory. A receipt that comes again with a
     later ``updated_at``, or a line item with a later ``arrival``, gives its observations anew, and ``observed`` keeps
     the newest of each line item. An item without name or total, or of an undated receipt, has no price and withdraws
     what was observed before; :func:`current_observations` leaves such rows out.
@@ -130,18 +136,31 @@ def stream_observations(
     written under its number. A batch that is run again reads what was known before it and so writes the same rows.
     """
     heads = receipts.select("receipt_id", "store_name", F.col("purchased_at").alias("observed_at"), F.col("updated_at").alias("receipt_version"))
-    met = items.select("line_item_id", "receipt_id", "raw_name", "line_total", "qty_raw", "unit_price_raw", "arrival").join(heads, "receipt_id")
+    both = items.select("receipt_id", F.lit(False).alias("head"), *LINE).unionByName(heads.withColumn("head", F.lit(True)), allowMissingColumns=True)
+    both = both.where("receipt_id is not null")
+    arrived = BatchTable(f"{checkpoint}/arrived", both.schema, ["receipt_id", "head", "line_item_id"], ["receipt_version", "arrival"], observed.every)
+
+    def met(spark: SparkSession, epoch: int) -> DataFrame:
+        """The pairs of which one side came in this batch, each with the newest receipt at hand."""
+        new, old = arrived.batch(spark, epoch), arrived.stored(spark, before=epoch)
+        lines, heads = ([df.where(kind).select("receipt_id", *side, "epoch") for df in (new, old)] for kind, side in (("not head", LINE), ("head", HEAD)))
+        last = lambda some: newest(some, ["receipt_id"], ["receipt_version", "epoch"]).drop("epoch")
+        asked = heads[1].join(lines[0].select("receipt_id"), "receipt_id", "left_semi")
+        now = lines[0].drop("epoch").join(last(heads[0].unionByName(asked)), "receipt_id")
+        return now.unionByName(lines[1].drop("epoch").join(last(heads[0]), "receipt_id"))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        newest = F.max_by(F.struct(*[c for c in df.columns if c != "line_item_id"]), F.struct("receipt_version", "arrival")).alias("_n")
-        rows = df.groupBy("line_item_id").agg(newest).select("line_item_id", "_n.*")
-        rows = rows.withColumn("raw_name", blank_to_null(F.col("raw_name"))).withColumn("qty_raw", blank_to_null(F.col("qty_raw")))
+        arrived.write(df, epoch)
+        rows = met(df.sparkSession, epoch)
+        if names is not None:
+            rows = newest(rows, ["line_item_id"], ["receipt_version", "arrival"])
+        rows = rows.withColumn("raw_name", blank_to_null(F.col("raw_name")))
         live = F.col("raw_name").isNotNull() & F.col("line_total").isNotNull() & F.col("observed_at").isNotNull()
         price, unit = F.when(live, F.col("unit_price")), F.when(live, F.col("unit_type"))
         rows = priced_items(rows).withColumn("pack_price", F.col("line_total")).withColumn("unit_price", price).withColumn("unit_type", unit)
         unmatched = lambda some: some.withColumn("product_id", F.lit(None).cast("string")).withColumn("match_confidence", F.lit(None).cast("int"))
         if names is None:
-            # Read once, by the write itself, so nothing is stored in between.
+            # Read once, by the write itself, so nothing is stored in between; the table's readers take the newest of each line item.
             observed.write(unmatched(rows), epoch)
             return
         rows = settle(rows)
@@ -151,7 +170,7 @@ def stream_observations(
         observed.write(matched.unionByName(unmatched(rows.where("unit_price is null"))), epoch)
 
     return (
-        met.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+        both.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 

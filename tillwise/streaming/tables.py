@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 
 def _folder(spark: SparkSession, path: str):
@@ -29,6 +30,16 @@ def numbered(spark: SparkSession, path: str, name: str) -> list[int]:
     return sorted(int(p.getName().split("=", 1)[1]) for p in found if files.exists(mark(p, "_SUCCESS")))
 
 
+def newest(rows: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
+    """The row of the highest ``version`` of each key; nulls are the lowest.
+
+    Meant for rows of which few share a key: they are dealt by key as they are and sorted once, not before the shuffle too.
+    Only the columns that a reader asks for are shuffled.
+    """
+    order = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in version])
+    return rows.repartition(*keys).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 @dataclass(frozen=True)
 class BatchTable:
     """Rows by key under ``path``; of rows with one key that of the highest (``version``, batch number) is the current one.
@@ -52,8 +63,12 @@ class BatchTable:
             self.merge(rows.sparkSession, epoch)
 
     def merge(self, spark: SparkSession, upto: int) -> None:
-        """Writes the base of all batches up to ``upto``, then drops what lies before the base that it follows."""
-        self._current(spark, upto + 1).write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
+        """Writes the base of all batches up to ``upto``, then drops what lies before the base that it follows.
+
+        A base that an earlier try has written is replaced, so it is not read.
+        """
+        rows = self.stored(spark, before=upto).unionByName(self.batch(spark, upto))
+        newest(rows, self.keys, [*self.version, "epoch"]).write.mode("overwrite").parquet(f"{self.path}/base/upto={upto}")
         older = [n for n in numbered(spark, f"{self.path}/base", "upto") if n < upto]
         if older:
             for n in older[:-1]:
@@ -64,7 +79,7 @@ class BatchTable:
 
     def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         """The current rows, or those that were current before batch ``before``."""
-        return self._current(spark, before).drop("epoch")
+        return newest(self.stored(spark, before), self.keys, [*self.version, "epoch"]).drop("epoch")
 
     def sources(self, spark: SparkSession, before: int | None = None) -> list[str]:
         """The folders that a reader needs."""
@@ -73,16 +88,19 @@ class BatchTable:
         after = [n for n in numbered(spark, f"{self.path}/batches", "epoch") if n > base and (before is None or n < before)]
         return [f"{self.path}/base/upto={base}"] * (base >= 0) + [f"{self.path}/batches/epoch={n}" for n in after]
 
-    def _current(self, spark: SparkSession, before: int | None) -> DataFrame:
+    def batch(self, spark: SparkSession, epoch: int) -> DataFrame:
+        """The rows of one batch, as they were written, with its number."""
+        return self._rows(spark, [f"{self.path}/batches/epoch={epoch}"])
+
+    def stored(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """What a reader needs, with the batch numbers: all current rows, and those of their keys that newer ones replaced since."""
+        return self._rows(spark, self.sources(spark, before))
+
+    def _rows(self, spark: SparkSession, folders: Sequence[str]) -> DataFrame:
         with_epoch = T.StructType([*self.schema.fields, T.StructField("epoch", T.LongType())])
-        rows = spark.createDataFrame([], with_epoch)
-        folders = self.sources(spark, before)
         bases, batches = [f for f in folders if "/base/upto=" in f], [f for f in folders if "/batches/epoch=" in f]
-        if bases:
-            rows = rows.unionByName(spark.read.schema(with_epoch).parquet(*bases))
+        parts = [spark.read.schema(with_epoch).parquet(*bases)] if bases else []
         if batches:
-            fresh = spark.read.schema(with_epoch).option("basePath", f"{self.path}/batches").parquet(*batches)
-            rows = rows.unionByName(fresh)
-        values = [f.name for f in self.schema if f.name not in self.keys]
-        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values, "epoch"), F.struct(*self.version, "epoch")).alias("_last"))
-        return last.select(*[f.name if f.name in self.keys else f"_last.{f.name}" for f in self.schema], "_last.epoch")
+            parts.append(spark.read.schema(with_epoch).option("basePath", f"{self.path}/batches").parquet(*batches))
+        # The filter tells the optimizer that nothing is there.
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], with_epoch).where("false")
